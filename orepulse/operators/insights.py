@@ -114,7 +114,7 @@ def detect_trend(df: DataFrame, date_column: str, value: str, *, freq: str = "W"
     )
 
 
-def _breach(rule: Mapping) -> Column:
+def breach(rule: Mapping) -> Column:
     value, limit = F.col(rule["column"]), F.lit(float(rule["threshold"]))
     return {
         ">": value > limit,
@@ -140,7 +140,7 @@ def check_thresholds(df: DataFrame, rules: Sequence[Mapping]) -> DataFrame:
     """Breach count and share per rule ``{column, operator, threshold, label}``, all in one aggregation."""
     good = [(i, r) for i, r in enumerate(rules) if rule_problem(df, r) is None]
     wide = df.agg(
-        F.count(F.lit(1)).alias("rows"), *[F.count_if(_breach(r)).alias(f"b{i}") for i, r in good]
+        F.count(F.lit(1)).alias("rows"), *[F.count_if(breach(r)).alias(f"b{i}") for i, r in good]
     )
     counted = {i for i, _ in good}
     cells = []
@@ -167,7 +167,7 @@ def threshold_samples(df: DataFrame, rules: Sequence[Mapping], limit: int = 10)
         if rule_problem(df, rule) is None:
             order = [F.asc("value")]
             smallest = (
-                df.filter(_breach(rule))
+                df.filter(breach(rule))
                 .select(F.lit(rule.get("label")).alias("rule"), F.col(rule["column"]).cast("double").alias("value"))
                 .orderBy(*order)
                 .limit(limit)
