@@ -40,7 +40,7 @@ def time_window_chunks(
     valid = df.filter(F.col(date).isNotNull())
     starts = valid.groupBy(source).agg(F.min(date).alias("_t0"))
     width = window_days * 86400 * 1_000_000
-    number = F.floor((F.unix_micros(date) - F.unix_micros("_t0")) / width)
+    number = F.floor((F.unix_micros(F.col(date).cast("timestamp")) - F.unix_micros(F.col("_t0").cast("timestamp"))) / width)
     placed = valid.join(starts, source).withColumn("_win", number).drop("_t0")
     if on_overflow == "split":
         ranked = ordered_scan(placed, [source, "_win"], [date, *order], row_index="_at")
@@ -82,7 +82,7 @@ def dropped_by_cap(df: DataFrame, source: str, date: str, *, window_days: int =
     """How many rows the per-window cap leaves out, per source."""
     valid = df.filter(F.col(date).isNotNull())
     starts = valid.groupBy(source).agg(F.min(date).alias("_t0"))
-    number = F.floor((F.unix_micros(date) - F.unix_micros("_t0")) / (window_days * 86400 * 1_000_000))
+    number = F.floor((F.unix_micros(F.col(date).cast("timestamp")) - F.unix_micros(F.col("_t0").cast("timestamp"))) / (window_days * 86400 * 1_000_000))
     sizes = valid.join(starts, source).groupBy(source, number.alias("_win")).agg(F.count(F.lit(1)).alias("n"))
     return sizes.groupBy(source).agg(
         F.sum("n").alias("rows"), F.sum(F.greatest(F.col("n") - max_rows, F.lit(0))).alias("dropped_rows")

@@ -314,31 +314,17 @@ def kpi_catalogue(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "kpi string, description string, unit string, formula string, section string")
 
 
-def required_columns(spark: SparkSession) -> DataFrame:
-    rows = [(k.name, c) for k in REGISTRY.values() for c in k.required]
-    return spark.createDataFrame(rows, "kpi string, column_name string")
-
-
 def assess_feasibility(headers: DataFrame) -> DataFrame:
-    """Relational division of required by available columns.
+    """Which KPIs the columns of each file allow, and the sorted missing columns of the others.
 
-    ``headers`` has ``(source_file, column_name)``. Result per file and KPI: feasible or not, and the
-    sorted list of missing columns.
+    ``headers`` has ``(source_file, column_name)``. One set of names per file meets the registry's
+    fixed requirements row by row, so nothing is joined.
     """
-    required = F.broadcast(required_columns(headers.sparkSession))
-    present = (
-        headers.join(required, "column_name")
-        .groupBy("source_file", "kpi")
-        .agg(F.collect_set("column_name").alias("present"))
-    )
-    needed = F.broadcast(required_columns(headers.sparkSession).groupBy("kpi").agg(F.collect_set("column_name").alias("need")))
-    files = headers.select("source_file").distinct()
-    every = files.select("source_file", F.explode(F.array(*[F.lit(n) for n in REGISTRY])).alias("kpi"))
-    joined = every.join(needed, "kpi").join(present, ["source_file", "kpi"], "left")
-    missing = F.array_sort(F.array_except("need", F.coalesce("present", F.array().cast("array<string>"))))
-    return joined.select(
-        "source_file",
-        "kpi",
-        (F.size(missing) == 0).alias("feasible"),
-        F.array_join(missing, ",").alias("missing_columns"),
+    have = headers.groupBy("source_file").agg(F.collect_set("column_name").alias("have"))
+    cells = []
+    for kpi in REGISTRY.values():
+        missing = F.array_sort(F.array_except(F.array(*[F.lit(c) for c in dict.fromkeys(kpi.required)]), "have"))
+        cells.append(F.struct(F.lit(kpi.name).alias("kpi"), missing.alias("missing")))
+    return have.select("source_file", F.inline(F.array(*cells))).select(
+        "source_file", "kpi", (F.size("missing") == 0).alias("feasible"), F.array_join("missing", ",").alias("missing_columns")
     )

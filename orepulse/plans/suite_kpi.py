@@ -9,9 +9,9 @@ from orepulse.operators.kpi import (
     SECTION_KPIS,
     assess_feasibility,
     calculate_kpi,
-    kpi_catalogue,
     rollup_kpis,
 )
+from orepulse.operators.schema import kpi_section_column
 from orepulse.plans.suite import Suite
 from orepulse.sources.tables import fleet_sql, fleet_view
 
@@ -225,5 +225,5 @@ _SECTIONS = ", ".join(f"('{n}', '{s}')" for s, names in SECTION_KPIS.items() for
 )
 def _section_values(spark, sf):
     computed = calculate_kpi(fleet_view(spark, sf), group_by="client_id")
-    catalogue = F.broadcast(kpi_catalogue(spark).select("kpi", "section"))  # 47 rows
-    return computed.join(catalogue, "kpi").select(F.col("group_value").alias("client_id"), "section", "kpi", "value", "unit")
+    placed = computed.withColumn("section", kpi_section_column(F.col("kpi"))).filter("section IS NOT NULL")
+    return placed.select(F.col("group_value").alias("client_id"), "section", "kpi", "value", "unit")
