@@ -8,18 +8,16 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-EXACT_SUM = "DECIMAL(18,4)"
-"""Inputs are summed as decimals so a total does not depend on partitioning."""
+def total(column: str) -> str:
+    """Null-skipping sum as SQL; 0 when there is nothing to add."""
+    return f"coalesce(sum(CAST(`{column}` AS DOUBLE)), 0.0D)"
 
 
-def total(column: str) -> Column:
-    """Null-skipping sum; 0 when there is nothing to add."""
-    return F.coalesce(F.sum(F.col(column).cast(EXACT_SUM)).cast("double"), F.lit(0.0))
-
-
-def safe_divide(numerator: Column, denominator: Column, scale: float = 1) -> Column:
-    """``numerator / denominator * scale`` to 3 decimals, 0.0 on a vanishing denominator."""
-    return F.when(F.abs(denominator) > 1e-9, F.round(numerator / denominator * scale, 3)).otherwise(F.lit(0.0))
+def safe_divide(numerator: str, denominator: str, scale: float = 1) -> str:
+    """``numerator / denominator * scale`` to 3 decimals, 0.0 on a vanishing denominator, as SQL."""
+    return (
+        f"CASE WHEN abs({denominator}) > 1e-9 THEN round({numerator} / {denominator} * {scale:g}, 3) ELSE 0.0D END"
+    )
 
 
 @dataclass(frozen=True)
@@ -29,7 +27,11 @@ class Kpi:
     description: str
     formula: str
     required: tuple[str, ...]
-    build: Callable[[], Column]
+    aggregate: str | Callable[[], Column]
+    """SQL aggregate expression, or a function giving an aggregate column (a grouped pandas UDF for example)."""
+
+    def column(self) -> Column:
+        return F.expr(self.aggregate) if isinstance(self.aggregate, str) else self.aggregate()
 
 
 REGISTRY: dict[str, Kpi] = {}
@@ -94,7 +96,7 @@ def _register_ratio(name: str, top: str, bottom: str, scale: float, unit: str, d
             description,
             f"sum({top}) / sum({bottom}){factor}",
             (top, bottom),
-            lambda: safe_divide(total(top), total(bottom), scale),
+            safe_divide(total(top), total(bottom), scale),
         )
     )
 
@@ -104,19 +106,16 @@ def _register_all() -> None:
         name, top, bottom, scale, unit, description = [part.strip() for part in line.split("|")]
         _register_ratio(name, top, bottom, float(scale), unit, description)
 
-    def per_failure(top: str) -> Callable[[], Column]:
-        return lambda: safe_divide(total(top), F.greatest(total("failure_count"), F.lit(1.0)))
-
-    def share_without(whole: str, part: str) -> Callable[[], Column]:
-        return lambda: safe_divide(total(whole) - total(part), total(whole), 100)
+    def per_failure(top: str) -> str:
+        return safe_divide(total(top), f"greatest({total('failure_count')}, 1.0D)")
 
-    def mean_cycle() -> Column:
-        return F.round(F.avg(F.col("cycle_time_min").cast(EXACT_SUM)).cast("double"), 2)
+    def share_without(whole: str, part: str) -> str:
+        return safe_divide(f"({total(whole)} - {total(part)})", total(whole), 100)
 
-    def accuracy() -> Column:
-        target = F.nullif(F.col("target_payload_tonnes"), F.lit(0.0))
-        deviation = F.abs(F.col("payload_tonnes") - F.col("target_payload_tonnes")) / target
-        return F.round(F.avg(deviation) * 100, 1)
+    mean_cycle = "round(avg(CAST(cycle_time_min AS DOUBLE)), 2)"
+    accuracy = (
+        "round(avg(abs(payload_tonnes - target_payload_tonnes) / nullif(CAST(target_payload_tonnes AS DOUBLE), 0.0D)) * 100, 1)"
+    )
 
     specials = [
         Kpi("mean_cycle_time", "min", "Mean haul cycle time", "mean(cycle_time_min)", ("cycle_time_min",), mean_cycle),
@@ -142,7 +141,7 @@ def _register_all() -> None:
             "CO2 emitted per tonne moved",
             "sum(co2_grams) / 1000 / sum(tonnes_moved)",
             ("co2_grams", "tonnes_moved"),
-            lambda: safe_divide(total("co2_grams") / 1000, total("tonnes_moved")),
+            safe_divide(f"({total('co2_grams')} / 1000)", total("tonnes_moved")),
         ),
         Kpi(
             "dust_compliance_rate",
@@ -158,7 +157,7 @@ def _register_all() -> None:
             "Tonnes hauled",
             "sum(payload_tonnes)",
             ("payload_tonnes",),
-            lambda: F.round(total("payload_tonnes"), 1),
+            f"round({total('payload_tonnes')}, 1)",
         ),
         Kpi(
             "payload_accuracy",
@@ -250,60 +249,51 @@ def calculate_kpi(
     groups = [] if group_by is None else [group_by] if isinstance(group_by, str) else list(group_by)
     labels = ["group_value"] if len(groups) == 1 else groups
 
-    entries: list[tuple[str, Column | None, str, str | None]] = []
+    computed: list[tuple[str, Column, str]] = []
+    failed: list[tuple[str, str, str]] = []
     for name in wanted:
         direct = (direct_columns or {}).get(name)
         kpi = REGISTRY.get(name)
         if direct and direct in df.columns:
-            as_total = direct_totals and name.startswith("total_")
-            value = total(direct) if as_total else F.avg(F.col(direct).cast("double"))
-            entries.append((name, F.round(value, 3), kpi.unit if kpi else "", None))
+            value = total(direct) if direct_totals and name.startswith("total_") else f"avg(CAST(`{direct}` AS DOUBLE))"
+            computed.append((name, F.expr(f"round({value}, 3)"), kpi.unit if kpi else ""))
         elif kpi is None:
-            entries.append((name, None, "", f"Unknown KPI '{name}'"))
+            failed.append((name, "", f"Unknown KPI '{name}'"))
         else:
             missing = sorted(c for c in kpi.required if c not in df.columns)
-            problem = f"Missing columns: {', '.join(missing)}" if missing else None
-            entries.append((name, None if missing else kpi.build(), kpi.unit, problem))
+            if missing:
+                failed.append((name, kpi.unit, f"Missing columns: {', '.join(missing)}"))
+            else:
+                computed.append((name, kpi.column(), kpi.unit))
 
-    computed = [(n, c, u) for n, c, u, problem in entries if problem is None]
-    failed = [(n, None, u, "error", problem) for n, _, u, problem in entries if problem is not None]
     keys = [F.col(g).cast("string").alias(label) for g, label in zip(groups, labels)]
     for g in groups:
         df = df.filter(F.col(g).isNotNull())
-    rows_used = F.count(F.lit(1)).alias("_rows")
-    measures = [c.alias(f"_k{i}") for i, (_, c, _) in enumerate(computed)] + [rows_used]
+    measures = [c.alias(f"_k{i}") for i, (_, c, _) in enumerate(computed)] + [F.expr("count(1) AS _rows")]
     wide = df.groupBy(*keys).agg(*measures) if groups else df.agg(*measures)
 
-    has_rows = F.col("_rows") > 0
+    cell = "named_struct('kpi', {}, 'value', {}, 'unit', {}, 'status', {}, 'error', {})"
     cells = [
-        F.struct(
-            F.lit(n).alias("kpi"),
-            F.when(has_rows, F.col(f"_k{i}")).alias("value"),
-            F.lit(u).alias("unit"),
-            F.when(has_rows, "computed").otherwise("error").alias("status"),
-            F.when(~has_rows, "No rows match the filter").alias("error"),
+        cell.format(
+            _text(n), f"CASE WHEN _rows > 0 THEN _k{i} END", _text(u), "if(_rows > 0, 'computed', 'error')",
+            "if(_rows > 0, CAST(NULL AS STRING), 'No rows match the filter')",
         )
         for i, (n, _, u) in enumerate(computed)
     ]
-    cells += [
-        F.struct(
-            F.lit(n).alias("kpi"),
-            F.lit(None).cast("double").alias("value"),
-            F.lit(u).alias("unit"),
-            F.lit("error").alias("status"),
-            F.lit(problem).alias("error"),
-        )
-        for n, _, u, _, problem in failed
-    ]
-    out_keys = [F.col(label) for label in labels] if groups else []
-    return wide.select(*out_keys, F.inline(F.array(*cells)))
+    cells += [cell.format(_text(n), "CAST(NULL AS DOUBLE)", _text(u), "'error'", _text(problem)) for n, u, problem in failed]
+    return wide.selectExpr(*(labels if groups else []), f"inline(array({', '.join(cells)}))")
+
+
+def _text(value: str) -> str:
+    escaped = value.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"
 
 
 def rollup_kpis(df: DataFrame, names: Sequence[str], levels: Sequence[str]) -> DataFrame:
     """KPIs at every level of a hierarchy (for example tenant, then equipment) in a single pass."""
     names = list(names)
     wide = df.rollup(*levels).agg(
-        F.grouping_id().alias("level"), *[REGISTRY[n].build().alias(f"_k{i}") for i, n in enumerate(names)]
+        F.grouping_id().alias("level"), *[REGISTRY[n].column().alias(f"_k{i}") for i, n in enumerate(names)]
     )
     cells = [F.struct(F.lit(n).alias("kpi"), F.col(f"_k{i}").alias("value")) for i, n in enumerate(names)]
     return wide.select("level", *levels, F.inline(F.array(*cells)))

@@ -111,7 +111,7 @@ def fleet_view(spark: SparkSession, folder: str) -> DataFrame:
     joined = line.join(orders, F.col("o.o_orderkey") == F.col("l.l_orderkey")).join(
         part, F.col("p.p_partkey") == F.col("l.l_partkey")
     )
-    return joined.select(*[F.expr(e).alias(name) for name, e in _fleet_expressions().items()])
+    return joined.selectExpr(*[f"{e} AS {name}" for name, e in _fleet_expressions().items()])
 
 
 def fleet_sql(columns: list[str] | None = None) -> str:
