@@ -7,15 +7,16 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(text: pd.Series) -> pd.Series:
     """Unicode NFC; Spark has no built-in for it."""
     return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def first_json_object(text: pd.Series) -> pd.Series:
     """The first balanced ``{...}`` of a text, quotes respected; the text itself when there is none."""
 

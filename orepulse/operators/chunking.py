@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from orepulse.functions.text import chunk_id, file_stem, iso_timestamp, parent_folder
 from orepulse.operators.scans import ordered_scan
+from orepulse.session import checkpoint_cut
 
 # Name endings of columns that add up.
 SUM_SUFFIXES = (
@@ -220,9 +221,11 @@ def chunk_documents(
     """One row per chunk with ``chunk_id``, ``text`` and a ``metadata`` struct.
 
     ``markers`` (``source, missing_fields, unmapped_columns, active_domains``) adds coverage lines.
-    Every part is an aggregate per chunk, joined on ``(source, chunk_index)``.
+    Every part is an aggregate per chunk, joined on ``(source, chunk_index)``; the chunk rows are
+    written once and read by each of them.
     """
     key = [source, "chunk_index"]
+    chunks = checkpoint_cut(chunks)
     base = row_ranges(chunks, source).join(
         chunks.groupBy(*key).agg(F.min(date).alias("t_min"), F.max(date).alias("t_max")), key
     )

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from orepulse.session import checkpoint_cut
 
-BLOCK = "_block"
+BLOCK = "_scan_block"
 
 
 def ordered_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -46,59 +46,59 @@ def ordered_scan(
     sums, fills, previous = dict(sums or {}), dict(fills or {}), dict(previous or {})
     keys = list(keys)
     by_block = [BLOCK, *keys]
-    summed = {out: f"_add_{i}" for i, out in enumerate(sums)}
+    summed = {out: f"_scan_add_{i}" for i, out in enumerate(sums)}
     blocks = ordered_blocks(df.withColumns({summed[o]: c for o, c in sums.items()}), keys, order)
 
     inside = Window.partitionBy(*by_block).orderBy(*order)
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local: dict[str, Column] = {"_n": F.row_number().over(inside)}
+    local: dict[str, Column] = {"_scan_n": F.row_number().over(inside)}
     for i, (out, column) in enumerate(sums.items()):
-        local[f"_sum_{i}"] = F.sum(summed[out]).over(upto)
+        local[f"_scan_sum_{i}"] = F.sum(summed[out]).over(upto)
     for i, column in enumerate(fills.values()):
-        local[f"_fill_{i}"] = F.last(column, ignorenulls=True).over(upto)
+        local[f"_scan_fill_{i}"] = F.last(column, ignorenulls=True).over(upto)
     for i, column in enumerate(previous.values()):
-        local[f"_prev_{i}"] = F.lag(F.struct(F.col(column).alias("v"))).over(inside)
+        local[f"_scan_prev_{i}"] = F.lag(F.struct(F.col(column).alias("v"))).over(inside)
 
     position = F.struct(*[F.col(c) for c in order])
-    tail = [F.count(F.lit(1)).alias("_rows")]
-    tail += [F.sum(summed[out]).alias(f"_t_sum_{i}") for i, out in enumerate(sums)]
+    tail = [F.count(F.lit(1)).alias("_scan_rows")]
+    tail += [F.sum(summed[out]).alias(f"_scan_t_sum_{i}") for i, out in enumerate(sums)]
     tail += [
-        F.max_by(F.col(c), F.when(F.col(c).isNotNull(), position)).alias(f"_t_fill_{i}")
+        F.max_by(F.col(c), F.when(F.col(c).isNotNull(), position)).alias(f"_scan_t_fill_{i}")
         for i, c in enumerate(fills.values())
     ]
     tail += [
-        F.max_by(F.struct(F.col(c).alias("v")), position).alias(f"_t_prev_{i}")
+        F.max_by(F.struct(F.col(c).alias("v")), position).alias(f"_scan_t_prev_{i}")
         for i, c in enumerate(previous.values())
     ]
     tails = blocks.groupBy(*by_block).agg(*tail)
     across = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(BLOCK)
     before = across.rowsBetween(Window.unboundedPreceding, -1)
-    carried = {"_b_rows": F.coalesce(F.sum("_rows").over(before), F.lit(0))}
+    carried = {"_scan_b_rows": F.coalesce(F.sum("_scan_rows").over(before), F.lit(0))}
     for i in range(len(sums)):
-        carried[f"_b_sum_{i}"] = F.sum(f"_t_sum_{i}").over(before)
+        carried[f"_scan_b_sum_{i}"] = F.sum(f"_scan_t_sum_{i}").over(before)
     for i in range(len(fills)):
-        carried[f"_b_fill_{i}"] = F.last(f"_t_fill_{i}", ignorenulls=True).over(before)
+        carried[f"_scan_b_fill_{i}"] = F.last(f"_scan_t_fill_{i}", ignorenulls=True).over(before)
     for i in range(len(previous)):
-        carried[f"_b_prev_{i}"] = F.last(f"_t_prev_{i}", ignorenulls=True).over(before)
+        carried[f"_scan_b_prev_{i}"] = F.last(f"_scan_t_prev_{i}", ignorenulls=True).over(before)
     carry = tails.select(
-        F.col(BLOCK).alias("_cb"),
-        *[F.col(k).alias(f"_ck_{i}") for i, k in enumerate(keys)],
+        F.col(BLOCK).alias("_scan_cb"),
+        *[F.col(k).alias(f"_scan_ck_{i}") for i, k in enumerate(keys)],
         *[expr.alias(name) for name, expr in carried.items()],
     )
 
-    same = [F.col(BLOCK) == F.col("_cb")]
-    same += [F.col(k).eqNullSafe(F.col(f"_ck_{i}")) for i, k in enumerate(keys)]
+    same = [F.col(BLOCK) == F.col("_scan_cb")]
+    same += [F.col(k).eqNullSafe(F.col(f"_scan_ck_{i}")) for i, k in enumerate(keys)]
     joined = blocks.withColumns(local).join(carry, reduce(lambda a, b: a & b, same))
     result = [F.col(c) for c in df.columns]
     if row_index:
-        result.append((F.col("_b_rows") + F.col("_n") - 1).alias(row_index))
+        result.append((F.col("_scan_b_rows") + F.col("_scan_n") - 1).alias(row_index))
     for i, out in enumerate(sums):
-        total = F.coalesce(F.col(f"_b_sum_{i}") + F.col(f"_sum_{i}"), F.col(f"_sum_{i}"), F.col(f"_b_sum_{i}"))
+        total = F.coalesce(F.col(f"_scan_b_sum_{i}") + F.col(f"_scan_sum_{i}"), F.col(f"_scan_sum_{i}"), F.col(f"_scan_b_sum_{i}"))
         result.append(total.alias(out))
     for i, out in enumerate(fills):
-        result.append(F.coalesce(F.col(f"_fill_{i}"), F.col(f"_b_fill_{i}")).alias(out))
+        result.append(F.coalesce(F.col(f"_scan_fill_{i}"), F.col(f"_scan_b_fill_{i}")).alias(out))
     for i, out in enumerate(previous):
-        result.append(F.coalesce(F.col(f"_prev_{i}"), F.col(f"_b_prev_{i}"))["v"].alias(out))
+        result.append(F.coalesce(F.col(f"_scan_prev_{i}"), F.col(f"_scan_b_prev_{i}"))["v"].alias(out))
     return joined.select(*result)
 
 
@@ -119,10 +119,10 @@ def trailing_rows(
     bucket = F.floor(F.col(index) / bucket_rows)
     last = F.col(index) % bucket_rows >= bucket_rows - (size - 1)
     copies = F.when(last, F.array(bucket, bucket + 1)).otherwise(F.array(bucket))
-    spread = df.withColumn("_bucket", F.explode(copies))
-    frame = Window.partitionBy(*keys, "_bucket").orderBy(index).rowsBetween(-(size - 1), Window.currentRow)
+    spread = df.withColumn("_scan_bucket", F.explode(copies))
+    frame = Window.partitionBy(*keys, "_scan_bucket").orderBy(index).rowsBetween(-(size - 1), Window.currentRow)
     return (
         spread.withColumns({name: expr.over(frame) for name, expr in aggregates.items()})
-        .filter(F.col("_bucket") == bucket)
-        .drop("_bucket")
+        .filter(F.col("_scan_bucket") == bucket)
+        .drop("_scan_bucket")
     )
