@@ -166,3 +166,8 @@ def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity; 0 when either norm is 0."""
     norms = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
     return F.when(norms == 0, 0.0).otherwise(dot(a, b) / norms)
+
+
+def distance_to_similarity(distance: Column) -> Column:
+    """``1 - d``; its own inverse."""
+    return 1 - distance

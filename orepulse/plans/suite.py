@@ -11,7 +11,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def half_up(expression: str, digits: int = 3) -> str:
     """SQL rounding by decimal digits, halves away from zero, as Spark rounds doubles."""
-    return f"CAST(ROUND(CAST({expression} AS DECIMAL(38,10)), {digits}) AS DOUBLE)"
+    return f"CAST(ROUND(CAST(CAST({expression} AS VARCHAR) AS DECIMAL(38,15)), {digits}) AS DOUBLE)"
 
 
 class Suite:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -13,6 +13,11 @@ from orepulse.sources.ledger import append_ledger
 from orepulse.sources.sinks import overwrite_keys
 
 
+def _mean(value: str) -> Column:
+    """Mean of decimals, so that arrival order cannot change it."""
+    return F.round(F.avg(F.col(value).cast("DECIMAL(18,4)")).cast("double"), 3)
+
+
 def file_stream(spark: SparkSession, path: str, schema: str, *, fmt: str = "parquet", per_trigger: int = 1000, **options: str) -> DataFrame:
     """New files under ``path`` as a stream."""
     reader = spark.readStream.format(fmt).schema(schema).option("maxFilesPerTrigger", per_trigger)
@@ -51,7 +56,7 @@ def replace_by_key_stream(
 def hourly_mean_stream(stream: DataFrame, moment: str, value: str, *, lateness: str = "1 hour") -> DataFrame:
     """Mean per tumbling hour."""
     windowed = stream.withWatermark(moment, lateness).groupBy(F.window(moment, "1 hour"))
-    return windowed.agg(F.round(F.avg(value), 3).alias("mean_value"), F.count(F.lit(1)).alias("n")).select(
+    return windowed.agg(_mean(value).alias("mean_value"), F.count(F.lit(1)).alias("n")).select(
         F.col("window.start").alias("hour"), "mean_value", "n"
     )
 
@@ -61,7 +66,7 @@ def sliding_mean_stream(
 ) -> DataFrame:
     """Mean per key over a sliding window."""
     windowed = stream.withWatermark(moment, lateness).groupBy(F.window(moment, width, slide), *keys)
-    return windowed.agg(F.round(F.avg(value), 3).alias("mean_value"), F.count(F.lit(1)).alias("n")).select(
+    return windowed.agg(_mean(value).alias("mean_value"), F.count(F.lit(1)).alias("n")).select(
         F.col("window.start").alias("from"), F.col("window.end").alias("to"), *keys, "mean_value", "n"
     )
 
