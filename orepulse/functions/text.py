@@ -44,7 +44,7 @@ def first_json_object(text: pd.Series) -> pd.Series:
 
 def strip(text: Column) -> Column:
     """Trim all white space, line breaks included."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.btrim(text, F.lit(" \t\n\u000b\f\r"))
 
 
 def json_from_text(text: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from orepulse.functions.text import clean_body, clean_title, file_slug, section_id, strip
 from orepulse.operators.scans import ordered_scan
+from orepulse.session import checkpoint_cut
 
 # Classification limits and the document-type tags that decide a class.
 MIN_PAGE_CHARS = 200
@@ -264,7 +265,8 @@ def normalise_sections(
 ) -> DataFrame:
     """Clean sections, drop short ones, split long ones and number what is emitted per source.
 
-    Titles and bodies are cleaned row-wise; only part counts go through the running sum.
+    Cleaned texts are written once: the part counts (a number per section, all that goes through the
+    running sum) and the parts themselves both read them.
     """
     text = clean_body(F.coalesce(body, F.lit("")))
     cleaned = df.select(source, order, clean_title(F.coalesce(title, F.lit(""))).alias("_title"), text.alias("_body"),
@@ -274,6 +276,7 @@ def normalise_sections(
         cleaned = cleaned.withColumn(
             "_body", F.when(has_table, F.concat("_body", F.lit("\n\n"), tables)).otherwise(F.col("_body"))
         )
+    cleaned = checkpoint_cut(cleaned.select(source, order, "_title", "_body"))
     pieces = length_pieces(F.col("_body"), MAX_BODY, BODY_OVERLAP)
     cleaned = cleaned.withColumn("_parts", F.when(F.length("_body") < MIN_BODY, F.array().cast("array<string>")).otherwise(pieces))
     counts = cleaned.select(source, order, F.size("_parts").alias("_n"))

@@ -36,15 +36,17 @@ def exact_quantiles(
         row = values.agg(*[F.percentile(f"v{i}", wanted).alias(f"q{i}") for i in range(len(columns))]).first()
         return {c: list(row[f"q{i}"] or [None] * len(probs)) for i, c in enumerate(columns)}
 
-    counts = values.agg(*[F.count(f"v{i}").alias(f"n{i}") for i in range(len(columns))]).first()
-    slots = []
+    edges = [max(0.0, min(1.0, p + side * 3 / accuracy)) for p in probs for side in (-1, 1)]
+    sketch = [F.percentile_approx(f"v{i}", edges, accuracy).alias(f"e{i}") for i in range(len(columns))]
+    first = values.agg(*[F.count(f"v{i}").alias(f"n{i}") for i in range(len(columns))], *sketch).first()
+    slots, proposed = [], []
     for i in range(len(columns)):
         for j, p in enumerate(probs):
-            if counts[f"n{i}"]:
-                at = float(p) * (counts[f"n{i}"] - 1)
-                bracket = {"low": -math.inf, "high": math.inf, "below": 0, "rows": counts[f"n{i}"]}
-                slots.append({"col": i, "prob": j, "at": at, **bracket})
-    _narrow(values, slots, accuracy, bracket_rows)
+            n = first[f"n{i}"]
+            if n:
+                slots.append({"col": i, "prob": j, "at": float(p) * (n - 1), "low": -math.inf, "high": math.inf, "below": 0, "rows": n})
+                proposed.append((first[f"e{i}"][2 * j], first[f"e{i}"][2 * j + 1]))
+    _narrow(values, slots, proposed, accuracy, bracket_rows)
     picked = _pick(values, slots)
     result: dict[str, list[float | None]] = {c: [None] * len(probs) for c in columns}
     for slot_id, slot in enumerate(slots):
@@ -58,36 +60,38 @@ def _inside(slot: dict):
     return value.isNotNull() & (value >= F.lit(slot["low"])) & (value <= F.lit(slot["high"]))
 
 
-def _narrow(values: DataFrame, slots: list[dict], accuracy: int, bracket_rows: int) -> None:
+def _narrow(
+    values: DataFrame, slots: list[dict], proposed: list[tuple[float, float]], accuracy: int, bracket_rows: int
+) -> None:
     """Shrink each slot's [low, high] around its ranks until it holds few rows or a single value.
 
     A sketch proposes the next bracket and exact counts confirm it, so a bracket always holds its ranks.
     """
     pending = list(slots)
     while pending:
-        sketches = []
-        for k, slot in enumerate(pending):
-            share = (slot["at"] - slot["below"]) / max(slot["rows"] - 1, 1)
-            edges = [max(0.0, share - 3 / accuracy), min(1.0, share + 3 / accuracy)]
-            inside = F.when(_inside(slot), F.col(f"v{slot['col']}"))
-            sketches.append(F.percentile_approx(inside, edges, accuracy).alias(f"e{k}"))
-        edges_row = values.agg(*sketches).first()
-        proposals = [
-            {**slot, "low": edges_row[f"e{k}"][0], "high": edges_row[f"e{k}"][1]} for k, slot in enumerate(pending)
-        ]
+        tried = [{**slot, "low": low, "high": high} for slot, (low, high) in zip(pending, proposed)]
         check = values.agg(
-            *[F.count_if(F.col(f"v{p['col']}") < F.lit(p["low"])).alias(f"b{k}") for k, p in enumerate(proposals)],
-            *[F.count_if(_inside(p)).alias(f"c{k}") for k, p in enumerate(proposals)],
+            *[F.count_if(F.col(f"v{t['col']}") < F.lit(t["low"])).alias(f"b{k}") for k, t in enumerate(tried)],
+            *[F.count_if(_inside(t)).alias(f"c{k}") for k, t in enumerate(tried)],
         ).first()
-        still_wide = []
-        for k, (slot, proposal) in enumerate(zip(pending, proposals)):
+        wide = []
+        for k, (slot, t) in enumerate(zip(pending, tried)):
             below, rows = check[f"b{k}"], check[f"c{k}"]
             holds = below <= math.floor(slot["at"]) and math.ceil(slot["at"]) < below + rows
             if holds and rows < slot["rows"]:
-                slot.update(low=proposal["low"], high=proposal["high"], below=below, rows=rows)
+                slot.update(low=t["low"], high=t["high"], below=below, rows=rows)
                 if rows > bracket_rows and slot["low"] < slot["high"]:
-                    still_wide.append(slot)
-        pending = still_wide
+                    wide.append(slot)
+        pending = wide
+        if pending:
+            sketches = []
+            for k, slot in enumerate(pending):
+                share = (slot["at"] - slot["below"]) / max(slot["rows"] - 1, 1)
+                edges = [max(0.0, share - 3 / accuracy), min(1.0, share + 3 / accuracy)]
+                inside = F.when(_inside(slot), F.col(f"v{slot['col']}"))
+                sketches.append(F.percentile_approx(inside, edges, accuracy).alias(f"e{k}"))
+            row = values.agg(*sketches).first()
+            proposed = [tuple(row[f"e{k}"]) for k in range(len(pending))]
 
 
 def _pick(values: DataFrame, slots: list[dict]) -> dict[int, tuple[float, float]]:

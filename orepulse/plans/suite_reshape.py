@@ -522,14 +522,14 @@ suite.add(
 
 def _masked_sql(column: str) -> str:
     text = column
-    for pattern, tag in quality.MASKS:
+    for _, pattern, tag in quality.MASKS:
         text = f"REGEXP_REPLACE({text}, '{pattern}', '{tag}', 'g')"
     return text
 
 
 suite.add(
     "quality_mask_identifiers",
-    lambda spark, sf: table(spark, sf, "documents").select("doc_id", quality.mask_identifiers(F.col("text")).alias("masked")),
+    lambda spark, sf: quality.mask_identifiers(table(spark, sf, "documents").select("doc_id", F.col("text").alias("masked")), "masked"),
     f"SELECT doc_id, {_masked_sql('text')} AS masked FROM documents",
 )
 suite.add(
@@ -538,7 +538,7 @@ suite.add(
     " UNION ALL ".join(
         f"SELECT '{tag}' AS kind, COUNT(*) FILTER (WHERE LEN(REGEXP_EXTRACT_ALL(text, '{p}')) > 0) AS rows_hit, "
         f"CAST(SUM(LEN(REGEXP_EXTRACT_ALL(text, '{p}'))) AS BIGINT) AS hits FROM documents"
-        for p, tag in quality.MASKS
+        for _, p, tag in quality.MASKS
     ),
 )
 suite.add(

@@ -232,8 +232,14 @@ def _clustered(spark, sf):
 # ---- screens --------------------------------------------------------------------------------
 
 
+_SCREEN = (
+    "equipment_id", "equipment_type", "idle_hours", "active_hours", "failure_count", "engine_on_hours", "speed_kph", "payload_tonnes",
+    "fuel_litres", "failure_probability", "repair_time_hours", "gps_x", "gps_y",
+)
+
+
 def numbered_fleet(spark, sf) -> DataFrame:
-    return with_row_index(fleet_view(spark, sf), FLEET_ORDER, name="row_no")
+    return with_row_index(fleet_view(spark, sf).select(*FLEET_ORDER, *_SCREEN), FLEET_ORDER, name="row_no")
 
 
 def _numbered_sql(*columns: str) -> str:

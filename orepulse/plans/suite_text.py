@@ -532,7 +532,7 @@ suite.add(
 )
 suite.add(
     "chunk_text_masked",
-    lambda spark, sf: _documents_of_chunks(spark, sf).select("source_file", "chunk_index", F.length(mask_identifiers(F.col("text"))).alias("n_chars")),
+    lambda spark, sf: mask_identifiers(_documents_of_chunks(spark, sf), "text").select("source_file", "chunk_index", F.length("text").alias("n_chars")),
     f"SELECT source_file, chunk_index, LENGTH(text) AS n_chars FROM ({_CHUNK_DOC_SQL})",
 )
 

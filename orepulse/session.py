@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,14 +29,21 @@ def spark_session(master: str | None = None, app: str = "orepulse", **conf: str)
 
 
 def checkpoint_cut(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint.
+    """Cut lineage by writing the rows to the shared checkpoint folder and reading them back.
 
-    The folder is the shared one the cluster names in ``spark.checkpoint.dir``; only a session that
-    names none (local tests) gets a folder of its own.
+    The written table survives lost executors, and being parquet it is compressed and lets each reader
+    fetch only the columns it uses. The folder is the one the cluster names in ``spark.checkpoint.dir``;
+    only a session that names none (local tests) gets a folder of its own.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="orepulse-checkpoint-"))
-    return df.checkpoint(eager=True)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
+    path = f"{folder.rstrip('/')}/orepulse-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@lru_cache(maxsize=1)
+def _own_folder() -> str:
+    folder = tempfile.mkdtemp(prefix="orepulse-checkpoint-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
