@@ -271,7 +271,7 @@ def profile_text(profile: DataFrame, samples: DataFrame) -> DataFrame:
 # Identifiers that are masked, in this order: a text every match contains (empty: none), pattern, tag.
 MASKS = (
     ("@", "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:[.][A-Za-z0-9-]+)+", "{EMAIL}"),
-    ("(", r"[+]?1?[ .-]?[(][0-9]{3}[)][ .-]?[0-9]{3}[ .-][0-9]{4}", "{PHONE}"),
+    ("(", r"(?:[+]?1[ .-]?)?[(][0-9]{3}[)][ .-]?[0-9]{3}[ .-][0-9]{4}", "{PHONE}"),
     (
         "",
         "[0-9]{1,5} [A-Z][a-z]+(?: [A-Z][a-z]+)? (?:Street|St|Avenue|Ave|Road|Rd|Boulevard|Blvd|Lane|Ln|Drive|Dr)[.]?",

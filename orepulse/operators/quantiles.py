@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -105,7 +106,8 @@ def _pick(values: DataFrame, slots: list[dict]) -> dict[int, tuple[float, float]
         ]
     )
     counted = (
-        values.select(F.explode(F.array_compact(tagged)).alias("t"))
+        values.filter(reduce(lambda a, b: a | b, [_inside(s) for s in slots]))
+        .select(F.explode(F.array_compact(tagged)).alias("t"))
         .groupBy("t.slot", "t.value")
         .agg(F.count(F.lit(1)).alias("n"))
     )

@@ -46,7 +46,13 @@ def is_date_name(name: str) -> bool:
 def coerce_dates(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
     """Parse date-named (or the given) text columns; values that do not parse become null."""
     chosen = list(columns) if columns is not None else [c for c, t in df.dtypes if t == "string" and is_date_name(c)]
-    return df.withColumns({c: F.try_to_timestamp(F.col(c)) for c in chosen if c in df.columns})
+    return df.withColumns({c: _moment(F.col(c)) for c in chosen if c in df.columns})
+
+
+def _moment(text: Column) -> Column:
+    """ISO-like or month/day/year text. A full date is required: a bare time would mean today."""
+    iso = F.when(text.rlike(r"^\s*\d{4}-\d"), F.try_to_timestamp(text))
+    return F.coalesce(iso, F.try_to_timestamp(text, F.lit("M/d/yyyy[ H:mm[:ss]]")))
 
 
 def coerce_numbers(df: DataFrame, columns: Iterable[str]) -> DataFrame:

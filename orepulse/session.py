@@ -21,6 +21,7 @@ def spark_session(master: str | None = None, app: str = "orepulse", **conf: str)
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.python.sql.dataFrameDebugging.enabled": "false",  # call sites are costly to record per column
         **conf,
     }
     for key, value in settings.items():

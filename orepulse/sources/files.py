@@ -69,7 +69,9 @@ def load_csv(
         reader = reader.option("comment", comment)
     if schema is not None:
         return coerce_dates(normalise_headers(reader.schema(schema).csv(path)), date_columns)
-    df = normalise_headers(reader.option("inferSchema", not as_text).csv(path))
+    # An explicit format keeps inference from reading ids such as T1 as a time of day; dates are parsed below.
+    reader = reader.option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss").option("inferSchema", not as_text)
+    df = normalise_headers(reader.csv(path))
     return df if as_text else coerce_dates(df, date_columns)
 
 
