@@ -55,16 +55,17 @@ def time_window_chunks(
             .withColumn("_sub", F.lit(0).cast("bigint"))
         )
     per_chunk = kept.groupBy(source, "_win", "_sub").agg(F.count(F.lit(1)).alias("_n"))
-    along = Window.partitionBy(source).orderBy("_win", "_sub")
-    borders = per_chunk.select(
-        source,
-        "_win",
-        "_sub",
-        (F.row_number().over(along) - 1).cast("bigint").alias("chunk_index"),
-        (F.sum("_n").over(along.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_lo"),
+    if on_overflow == "split":
+        numbered = ordered_scan(per_chunk, [source], ["_win", "_sub"], row_index="chunk_index", sums={"_upto": F.col("_n")})
+    else:  # one row per calendar window
+        along = Window.partitionBy(source).orderBy("_win")
+        upto = F.sum("_n").over(along.rowsBetween(Window.unboundedPreceding, 0))
+        numbered = per_chunk.withColumns({"chunk_index": F.row_number().over(along) - 1, "_upto": upto})
+    borders = numbered.select(
+        source, "_win", "_sub", F.col("chunk_index").cast("bigint").alias("chunk_index"), (F.col("_upto") - F.col("_n")).alias("_lo")
     )
     own = kept.join(borders, [source, "_win", "_sub"]).withColumn("_g", F.col("_lo") + F.col("_rn"))
-    carry = [c for c in df.columns]
+    carry = df.columns
     mine = own.select(*carry, "chunk_index", "_g", F.col("_lo").alias("_chunk_lo"))
     if overlap > 0:
         wanted = borders.filter(F.col("_lo") > 0).select(
@@ -108,9 +109,8 @@ def row_count_chunks(
 def row_ranges(chunks: DataFrame, source: str) -> DataFrame:
     """Cumulative ``[row_start, row_end)`` per chunk, overlap rows counted."""
     sizes = chunks.groupBy(source, "chunk_index").agg(F.count(F.lit(1)).alias("row_count"))
-    along = Window.partitionBy(source).orderBy("chunk_index").rowsBetween(Window.unboundedPreceding, 0)
-    end = F.sum("row_count").over(along)
-    return sizes.select(source, "chunk_index", "row_count", (end - F.col("row_count")).alias("row_start"), end.alias("row_end"))
+    scanned = ordered_scan(sizes, [source], ["chunk_index"], sums={"row_end": F.col("row_count")})
+    return scanned.select(source, "chunk_index", "row_count", (F.col("row_end") - F.col("row_count")).alias("row_start"), "row_end")
 
 
 def adds_up(column: str) -> bool:

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orepulse.functions.text import title_label
 from orepulse.operators.kpi import SECTION_KPIS, calculate_kpi, feasible_kpis
+from orepulse.operators.quantiles import grouped_quantiles
 from orepulse.operators.schema import column_section, kpi_section_column
-from orepulse.operators.stats import FREQUENCIES, aggregate, period_end
+from orepulse.operators.stats import FREQUENCIES, aggregate
+from orepulse.session import checkpoint_cut
 
 # The chart palette and how much of each kind of finding a report shows.
 PALETTE = ("#2563EB", "#16A34A", "#DC2626", "#D97706", "#7C3AED", "#0891B2", "#DB2777", "#65A30D")
@@ -70,16 +72,15 @@ def tenant_statistics(df: DataFrame, metrics: Sequence[str]) -> DataFrame:
 def tenant_outliers(df: DataFrame, metrics: Sequence[str], cutoff: float = 1.5) -> DataFrame:
     """IQR outlier counts per tenant and metric.
 
-    Quartiles come from counted distinct values (``percentile`` with frequencies), so a tenant with most
-    of the rows contributes its distinct readings only.
+    Readings are counted once per distinct value and written; quartiles and outlier counts both read
+    the counts, and no tenant's values are gathered in one task.
     """
     long = df.select("client_id", *[F.col(m).cast("double").alias(m) for m in metrics]).unpivot(
         ["client_id"], list(metrics), "metric", "value"
     )
     counted = long.filter("value IS NOT NULL").groupBy("client_id", "metric", "value").agg(F.count(F.lit(1)).alias("n"))
-    quartiles = counted.groupBy("client_id", "metric").agg(
-        F.percentile("value", F.array(F.lit(0.25), F.lit(0.75)), F.col("n")).alias("q")
-    )
+    counted = checkpoint_cut(counted)
+    quartiles = grouped_quantiles(counted, ["client_id", "metric"], "value", (0.25, 0.75))
     spread = F.col("q")[1] - F.col("q")[0]
     bounds = quartiles.select(
         "client_id", "metric", (F.col("q")[0] - cutoff * spread).alias("lower_bound"), (F.col("q")[1] + cutoff * spread).alias("upper_bound")
@@ -98,8 +99,6 @@ def tenant_outliers(df: DataFrame, metrics: Sequence[str], cutoff: float = 1.5)
 
 def tenant_trends(df: DataFrame, date: str, metrics: Sequence[str], freq: str = "W") -> DataFrame:
     """Trend per tenant and metric; all metrics share the per-period aggregation."""
-    from pyspark.sql import Window
-
     start = F.date_trunc(FREQUENCIES[freq][0], F.col(date))
     periods = df.filter(F.col(date).isNotNull()).groupBy("client_id", start.alias("s")).agg(*[aggregate(m, "mean").alias(m) for m in metrics])
     long = periods.unpivot(["client_id", "s"], list(metrics), "metric", "y").filter("y IS NOT NULL")
@@ -119,8 +118,6 @@ def tenant_trends(df: DataFrame, date: str, metrics: Sequence[str], freq: str =
 
 def tenant_rankings(df: DataFrame, entity: str, metric: str, n: int = TOP_ENTITIES) -> DataFrame:
     """Top ``n`` entities per tenant by rounded mean."""
-    from pyspark.sql import Window
-
     means = df.filter(F.col(entity).isNotNull()).groupBy("client_id", F.col(entity).alias("entity")).agg(
         F.round(aggregate(metric, "mean"), 3).alias("value")
     )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from orepulse.functions import text as fx
 from orepulse.operators import chunking, documents, insights, kpi, quality, reshape, retrieval, scans, schema, stats
-from orepulse.operators.quantiles import exact_quantiles
+from orepulse.operators.quantiles import exact_quantiles, grouped_quantiles
 
 
 def rows(df, *columns):
@@ -97,6 +97,17 @@ def test_exact_quantiles_with_ties_skew_and_nulls(spark, bounded):
         assert math.isclose(value, pd.Series(x).quantile(p), rel_tol=1e-12)
 
 
+@pytest.mark.parametrize("bounded", [10**9, 0])
+def test_grouped_quantiles_with_a_hot_group(spark, bounded):
+    rng = random.Random(8)
+    data = [("hot" if i % 3 else rng.choice(["a", "b"]), float(rng.choice([5, rng.randint(0, 400)]))) for i in range(1500)] + [("one", 2.5)]
+    counted = spark.createDataFrame(data, "k string, v double").groupBy("k", "v").agg(F.count(F.lit(1)).alias("n"))
+    got = {r["k"]: r["q"] for r in grouped_quantiles(counted, ["k"], "v", (0.1, 0.25, 0.75), bounded_rows=bounded).collect()}
+    for k in ("hot", "a", "b", "one"):
+        values = pd.Series([v for g, v in data if g == k])
+        assert got[k] == pytest.approx([values.quantile(p) for p in (0.1, 0.25, 0.75)])
+
+
 def test_ranking_breaks_ties_by_entity(spark):
     df = spark.sql("SELECT * FROM VALUES ('b', 1.0D), ('a', 1.0D), ('c', 9.0D) AS t(e, v)")
     assert rows(stats.rank_entities(df, "v", "e")) == [(1, "c", 9.0), (2, "a", 1.0), (3, "b", 1.0)]
