@@ -168,7 +168,7 @@ def chunk_outliers(chunks: DataFrame, source: str, metric: str, date: str, *, ex
         source,
         "chunk_index",
         F.lit(metric).alias("metric"),
-        nth.alias("example_no"),
+        nth.cast("bigint").alias("example_no"),
         F.col(metric).alias("value"),
         F.col(date).alias("at"),
         (nth <= examples).alias("shown"),
@@ -182,7 +182,8 @@ def category_counts(chunks: DataFrame, source: str, columns: Sequence[str], k: i
     )
     counted = long.filter("value IS NOT NULL").groupBy(source, "chunk_index", "category", "value").agg(F.count(F.lit(1)).alias("n"))
     order = Window.partitionBy(source, "chunk_index", "category").orderBy(F.desc("n"), F.asc("value"))
-    return counted.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
+    top = counted.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
+    return top.withColumn("place", F.col("place").cast("bigint"))
 
 
 def entity_snapshot(chunks: DataFrame, source: str, columns: Sequence[str], k: int = 5) -> DataFrame:

@@ -172,7 +172,7 @@ def threshold_samples(df: DataFrame, rules: Sequence[Mapping], limit: int = 10)
                 .orderBy(*order)
                 .limit(limit)
             )
-            parts.append(smallest.select("rule", F.row_number().over(Window.orderBy(*order)).alias("position"), "value"))
+            parts.append(smallest.select("rule", F.row_number().over(Window.orderBy(*order)).cast("bigint").alias("position"), "value"))
     result = parts[0]
     for part in parts[1:]:
         result = result.unionByName(part)

@@ -37,7 +37,7 @@ def top_values(df: DataFrame, columns: Sequence[str], k: int = 5) -> DataFrame:
         value_counts(df, columns)
         .withColumn("position", F.row_number().over(order))
         .filter(F.col("position") <= k)
-        .select("column", "position", "value", "n")
+        .select("column", F.col("position").cast("bigint").alias("position"), "value", "n")
     )
 
 
@@ -172,7 +172,7 @@ def sample_values(df: DataFrame, columns: Sequence[str], row_index: str, k: int
     order = Window.partitionBy("column").orderBy("first_row", "value")
     return (
         seen.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= k)
-        .select("column", "position", "value", "first_row")
+        .select("column", F.col("position").cast("bigint").alias("position"), "value", "first_row")
     )
 
 

@@ -147,7 +147,7 @@ def nearest(
     return (
         partial.withColumn("rank", F.row_number().over(order))
         .filter(F.col("rank") <= k)
-        .select(F.col("qid").alias(query_id), F.col("vid").alias(vector_id), "score", "rank")
+        .select(F.col("qid").alias(query_id), F.col("vid").alias(vector_id), "score", F.col("rank").cast("bigint").alias("rank"))
     )
 
 
@@ -201,7 +201,10 @@ def fuse_ranks(hits: DataFrame, *, constant: int = RRF_CONSTANT, top: int = FUSE
     return (
         fused.withColumn("position", F.row_number().over(order))
         .filter(F.col("position") <= top)
-        .select("query_id", "position", "index", "locator", "score", "index_rank", F.round("rrf", 6).alias("rrf"))
+        .select(
+            "query_id", F.col("position").cast("bigint").alias("position"), "index", "locator", "score",
+            F.col("index_rank").cast("bigint").alias("index_rank"), F.round("rrf", 6).alias("rrf"),
+        )
     )
 
 
@@ -209,7 +212,8 @@ def merge_by_score(hits: DataFrame, top: int) -> DataFrame:
     """Union of hit lists: best score per id, then the ``top`` per query."""
     best = hits.groupBy("query_id", "id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id"))
-    return best.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= top)
+    ranked = best.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= top)
+    return ranked.withColumn("position", F.col("position").cast("bigint"))
 
 
 def context_block(position: Column, locator: Column, text: Column, findings: Column | None = None) -> Column:
@@ -279,5 +283,5 @@ def nearest_in_lists(
     return (
         merged.withColumn("rank", F.row_number().over(order))
         .filter(F.col("rank") <= k)
-        .select("query_id", "vec_id", "score", "rank")
+        .select("query_id", "vec_id", "score", F.col("rank").cast("bigint").alias("rank"))
     )

@@ -94,7 +94,7 @@ def rank_entities(
     )
     order = [F.col("value").asc() if ascending else F.col("value").desc(), F.col("entity").asc()]
     top = totals.orderBy(*order).limit(top_n)
-    return top.select(F.row_number().over(Window.orderBy(*order)).alias("rank"), "entity", "value")
+    return top.select(F.row_number().over(Window.orderBy(*order)).cast("bigint").alias("rank"), "entity", "value")
 
 
 def fleet_performance_summary(df: DataFrame, metric: str, entity: str, *, n: int = 5) -> DataFrame:
@@ -115,7 +115,7 @@ def fleet_performance_summary(df: DataFrame, metric: str, entity: str, *, n: int
         parts.append(
             side_rows.select(
                 F.lit(side).alias("side"),
-                F.row_number().over(Window.orderBy(*order)).alias("position"),
+                F.row_number().over(Window.orderBy(*order)).cast("bigint").alias("position"),
                 "entity",
                 "value",
             )

@@ -123,7 +123,7 @@ def tenant_rankings(df: DataFrame, entity: str, metric: str, n: int = TOP_ENTITI
     )
     order = Window.partitionBy("client_id").orderBy(F.desc("value"), F.asc("entity"))
     return means.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n).select(
-        "client_id", F.lit(metric).alias("metric"), "rank", "entity", "value"
+        "client_id", F.lit(metric).alias("metric"), F.col("rank").cast("bigint").alias("rank"), "entity", "value"
     )
 
 

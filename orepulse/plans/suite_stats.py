@@ -257,7 +257,7 @@ def _per_client(spark, sf):
     for side, direction in (("top", F.desc), ("bottom", F.asc)):
         order = Window.partitionBy("client_id").orderBy(direction("value"), F.asc("equipment_id"))
         ranked = means.withColumn("position", F.row_number().over(order)).filter("position <= 3")
-        sides.append(ranked.select("client_id", F.lit(side).alias("side"), "position", "equipment_id", "value"))
+        sides.append(ranked.select("client_id", F.lit(side).alias("side"), F.col("position").cast("bigint").alias("position"), "equipment_id", "value"))
     return sides[0].unionByName(sides[1])
 
 

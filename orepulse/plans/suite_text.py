@@ -97,7 +97,7 @@ def _json(spark, sf):
 def _vectors(spark, sf):
     e = table(spark, sf, "embeddings")
     back = fx.widen(fx.quantise(F.transform("embedding", lambda x: x.cast("double"))))
-    return e.select("vec_id", F.aggregate(back, F.lit(0.0), lambda a, x: a + x).cast("bigint").alias("quantised_sum"), F.size(back).alias("n"))
+    return e.select("vec_id", F.aggregate(back, F.lit(0.0), lambda a, x: a + x).cast("bigint").alias("quantised_sum"), F.size(back).cast("bigint").alias("n"))
 
 
 @suite.query(
@@ -532,7 +532,7 @@ suite.add(
 )
 suite.add(
     "chunk_text_masked",
-    lambda spark, sf: mask_identifiers(_documents_of_chunks(spark, sf), "text").select("source_file", "chunk_index", F.length("text").alias("n_chars")),
+    lambda spark, sf: mask_identifiers(_documents_of_chunks(spark, sf), "text").select("source_file", "chunk_index", F.length("text").cast("bigint").alias("n_chars")),
     f"SELECT source_file, chunk_index, LENGTH(text) AS n_chars FROM ({_CHUNK_DOC_SQL})",
 )
 
