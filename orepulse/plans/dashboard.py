@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orepulse.functions.text import title_label
-from orepulse.operators.kpi import SECTION_KPIS, calculate_kpi, feasible_kpis
+from orepulse.operators.kpi import REGISTRY, SECTION_KPIS, calculate_kpi, feasible_kpis
 from orepulse.operators.quantiles import grouped_quantiles
 from orepulse.operators.schema import column_section, kpi_section_column
 from orepulse.operators.stats import FREQUENCIES, aggregate
@@ -25,6 +25,13 @@ def kpi_findings(df: DataFrame, source: str, names: Sequence[str] | None = None)
     return calculate_kpi(df, names, group_by=["client_id", source])
 
 
+def analysis_table(df: DataFrame, source: str, date: str, entity: str, metrics: Sequence[str]) -> DataFrame:
+    """The columns an analysis reads, written once: five aggregations follow, and a joined view is costly to repeat."""
+    inputs = {c for n in feasible_kpis(df.columns) for c in REGISTRY[n].required}
+    wanted = {"client_id", source, date, entity, *metrics, *inputs}
+    return checkpoint_cut(df.select(*[c for c in df.columns if c in wanted]))
+
+
 def merge_files(kpis: DataFrame, sequence: str) -> DataFrame:
     """One row per tenant and KPI: the last computed value wins and an error never replaces one."""
     row = F.struct("value", "unit", "status", "error")
@@ -202,6 +209,7 @@ def _shown(value: Column) -> Column:
 def findings(df: DataFrame, source: str, date: str, entity: str, metrics: Sequence[str]) -> DataFrame:
     """All findings as ``(client_id, section, kind, name, text, brief)``, one row each, empty sections absent."""
     metrics = list(metrics)[:MAX_METRICS]
+    df = analysis_table(df, source, date, entity, metrics)
     kpi = merge_files(kpi_findings(df, source), source).withColumn("section", kpi_section_column(F.col("kpi")))
     value_text = F.when(
         F.col("status") == "error", F.concat(F.col("kpi"), F.lit(" = NOT COMPUTED ("), "error", F.lit(")"))
@@ -291,6 +299,7 @@ def tenant_report(df: DataFrame, files: DataFrame, source: str, date: str, entit
     Every block is a handful of rows per tenant by the time it is collected into the report.
     """
     metrics = list(metrics)[:MAX_METRICS]
+    df = analysis_table(df, source, date, entity, metrics)
     sections = F.array(*[F.lit(s) for s in SECTIONS])
     frame = overview(files)
 
