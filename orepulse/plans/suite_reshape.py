@@ -12,7 +12,7 @@ from orepulse.plans.suite import Suite, half_up
 from orepulse.sources.tables import FLEET_ORDER, fleet_sql, fleet_view, table
 
 suite = Suite()
-LINE_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+LINE_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
 LINE_SQL_ORDER = ", ".join(LINE_KEY)
 
 # ---- headers, filters, recipes --------------------------------------------------------------

@@ -91,7 +91,7 @@ FLEET_MEASURES = {
     "tire_pressure_rl_psi": "92 + l.l_partkey % 10",
     "tire_pressure_rr_psi": "93 + l.l_partkey % 10",
 }
-FLEET_ORDER = ["order_key", "line_number", "part_key", "supp_key"]
+FLEET_ORDER = ["order_key", "line_number", "part_key", "supp_key", "total_cost"]
 
 
 def _fleet_expressions(columns: list[str] | None = None) -> dict[str, str]:
