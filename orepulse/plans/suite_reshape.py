@@ -97,7 +97,6 @@ def _combine_header(spark, sf):
     return reshape.combine_header_rows(_customer_lines(spark, sf), [0, 1])
 
 
-_REGIONS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
 
 
 @suite.query(

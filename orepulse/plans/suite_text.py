@@ -149,7 +149,6 @@ suite.add(
 )
 
 # Documents with a numbered heading before every tenth line and shouted first words, as rulebooks have.
-_RULEBOOK = "REGEXP_REPLACE(text, '([^\\n]{{40,}})\\n', {}, 'g')"
 
 
 def rulebook(spark, sf) -> DataFrame:
