@@ -33,18 +33,25 @@ def checkpoint_cut(df: DataFrame) -> DataFrame:
     """Cut lineage by writing the rows to the shared checkpoint folder and reading them back.
 
     The written table survives lost executors, and being parquet it is compressed and lets each reader
-    fetch only the columns it uses. The folder is the one the cluster names in ``spark.checkpoint.dir``;
-    only a session that names none (local tests) gets a folder of its own.
+    fetch only the columns it uses. The folder is the one the cluster names in ``spark.checkpoint.dir``, or
+    the context's own checkpoint folder. A local session that names none (tests) gets a folder of its own;
+    a cluster without a shared folder is an error, since its executors could not see each other's files.
     """
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or _own_folder(spark)
     path = f"{folder.rstrip('/')}/orepulse-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _own_folder(spark: SparkSession) -> str:
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _test_folder()
+
+
 @lru_cache(maxsize=1)
-def _own_folder() -> str:
+def _test_folder() -> str:
     folder = tempfile.mkdtemp(prefix="orepulse-checkpoint-")
     atexit.register(shutil.rmtree, folder, ignore_errors=True)
     return folder
