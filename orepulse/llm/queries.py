@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orepulse.llm import mixing, quality
+from orepulse.llm import mixing, pseudonyms, quality, tokens
 from orepulse.llm.common import table
 from orepulse.plans.suite import Suite
 
 suite = Suite()
+DEMO_KEY = b"queries only; production passes a key of its own"
 
 
 @suite.query("op2_quality_bradley_terry")
@@ -19,3 +20,13 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
 @suite.query("op7_mix_sources", sql=mixing.SQL)
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents"))
+
+
+@suite.query("op1_format_preserving_pseudonyms")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return pseudonyms.pseudonymise(table(spark, folder, "documents"), DEMO_KEY)
+
+
+@suite.query("op6_viterbi_token_counts")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return tokens.count_tokens(table(spark, folder, "documents"))
