@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orepulse.llm import mixing, pseudonyms, quality, tokens
+from orepulse.llm import mixing, pseudonyms, quality, suffix_tree, tokens
 from orepulse.llm.common import table
 from orepulse.plans.suite import Suite
 
@@ -30,3 +30,8 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
 @suite.query("op6_viterbi_token_counts")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.count_tokens(table(spark, folder, "documents"))
+
+
+@suite.query("op10_suffix_tree_scores")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_tree.score_texts(table(spark, folder, "documents"))
