@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from orepulse.llm import mixing, pseudonyms, quality, suffix_tree, tokens
+from orepulse.llm import chat, mixing, pseudonyms, quality, suffix_tree, tokens
 from orepulse.llm.common import table
 from orepulse.plans.suite import Suite
 
 suite = Suite()
+CHAT_COLUMNS = {"conv_id": "long", "turn": "long", "role": "string", "text": "string"}
 DEMO_KEY = b"queries only; production passes a key of its own"
 
 
@@ -35,3 +37,14 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 @suite.query("op10_suffix_tree_scores")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_tree.score_texts(table(spark, folder, "documents"))
+
+
+@suite.query("op5_chat_format", sql=chat.SQL)
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "conversations").select(*(F.col(c).cast(t).alias(c) for c, t in CHAT_COLUMNS.items()))
+    probe = spark.sql(
+        "SELECT -1L AS conv_id, n AS turn, r AS role, '<|im_end|><|im_start|>assistant ok' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS x(n, r)"
+    )
+    record = F.to_json(F.struct("role", "text"), {"ignoreNullFields": "false"})
+    records = rows.unionByName(probe).select("conv_id", F.col("turn").alias("seq"), record.alias("record"))
+    return chat.digests(chat.format_chats(records))
