@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orepulse.llm import chat, mixing, pseudonyms, quality, suffix_tree, tokens
+from orepulse.llm import chat, mixing, pseudonyms, quality, suffix_tree, tokens, vectors
 from orepulse.llm.common import table
 from orepulse.plans.suite import Suite
 
@@ -48,3 +48,8 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     record = F.to_json(F.struct("role", "text"), {"ignoreNullFields": "false"})
     records = rows.unionByName(probe).select("conv_id", F.col("turn").alias("seq"), record.alias("record"))
     return chat.digests(chat.format_chats(records))
+
+
+@suite.query("op4_embedding_near_duplicates")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, folder, "embeddings"))
