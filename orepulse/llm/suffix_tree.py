@@ -9,60 +9,55 @@ state of a position is its longest kept context.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orepulse.llm.common import WORD, cut, remainder
+from orepulse.llm.common import cut, remainder
 
 DEPTH = 5  # bytes of context, at most; a context and its next symbol must fit into 63 bits
 LEAST_GAIN = 12.0  # divergence in nats, times occurrences, that a kept context needs
-MOST_GRAMS = 1 << 21  # (context, next) pairs that the tasks hold: with 16 bytes each the bound of what is sent to them
-MOST_WORDS = 300_000  # frequent words whose counts the tasks hold; all others are looked up by a join
+MOST_GRAMS = 1 << 20  # (context, next) pairs that the tasks hold: with 16 bytes each the bound of what is sent to them
+MOST_WORDS = 200_000  # frequent words whose counts the tasks hold; all others are looked up by a join
 HELD_OUT, FOLDS = 2, 7
-END_SYMBOL, BREAK = 10, 32  # fixed values: bytes that no word can hold
-CHUNK = 1 << 22  # bytes of text that are counted or scored at a time
+END_WORD = b"\n"  # fixed value: the end token, which no word equals
+CHUNK = 1 << 21  # bytes of text that are counted or scored at a time
 
-_WORDS = re.compile(WORD)
-_LOWER = {c: c + 32 for c in range(65, 91)}
+_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def words_of(text: str | None) -> list[str]:
-    return _WORDS.findall(text.translate(_LOWER)) if text else []
+def words_of(text: str | None) -> list[bytes]:
+    """The words of a text as UTF-8; ``bytes.split`` parts at exactly the blanks of the token rule."""
+    return text.encode("utf-8", "replace").translate(_LOWER).split() if text else []
 
 
-def spelled(words: list[str]) -> bytes:
+def spelled(words: list[bytes]) -> bytes:
     """Each word and a space, then the end mark."""
-    return (" ".join(words) + " \n" if words else "\n").encode("utf-8", "replace")
-
+    return b" ".join(words) + b" \n" if words else b"\n"
 
-def grams(data: np.ndarray, depth: int) -> np.ndarray:
-    """At every byte: the ``depth`` bytes before it (zeros before the text's start) and the byte itself, oldest first.
 
-    Contexts do not reach beyond the end mark of the text before.
-    """
-    wide = data.astype(np.int64)
-    out = wide.copy()
-    alive = np.ones(len(data), bool)
+def grams(texts: list[bytes], depth: int) -> np.ndarray:
+    """At every byte of the spelled texts: the ``depth`` bytes before it in its text (zeros before the start) and the byte itself."""
+    start = b"\0" * depth
+    data = np.frombuffer(start + start.join(texts), np.uint8)
+    real = np.ones(len(data), bool)
+    ends = np.cumsum([depth + len(t) for t in texts])
     for back in range(1, depth + 1):
-        if back >= len(data) + 1:
-            break
-        alive[:back] = False
-        alive[back:] &= data[: len(data) - back] != END_SYMBOL
-        out[back:] |= np.where(alive[back:], wide[: len(data) - back] << (8 * back), 0)
-    return out
+        real[np.concatenate([[0], ends[:-1]]) + back - 1] = False
+    out = data.astype(np.int64)
+    for back in range(1, depth + 1):
+        out[depth:] |= data[depth - back : len(data) - back].astype(np.int64) << (8 * back)
+    return out[real]
 
 
 def _chunks(texts, size: int = CHUNK):
-    """Lists of (row number, spelled text) of a bounded number of bytes; one text is never split."""
+    """Lists of (row number, words, spelled text) of a bounded number of bytes; one text is never split."""
     held, total = [], 0
     for row, text in enumerate(texts):
-        data = spelled(words_of(text))
-        held.append((row, data))
-        total += len(data)
+        words = words_of(text)
+        held.append((row, words, spelled(words)))
+        total += len(held[-1][2])
         if total >= size:
             yield held
             held, total = [], 0
@@ -76,7 +71,7 @@ def count_grams(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     def run(batches):
         for batch in batches:
             for held in _chunks(batch["text"]):
-                values, n = np.unique(grams(np.frombuffer(b"".join(d for _, d in held), np.uint8), depth), return_counts=True)
+                values, n = np.unique(grams([d for _, _, d in held], depth), return_counts=True)
                 for at in range(0, len(values), 500_000):
                     yield pd.DataFrame({"gram": values[at : at + 500_000], "n": n[at : at + 500_000]})
 
@@ -143,14 +138,16 @@ def _bar(contexts: DataFrame, most_grams: int) -> float:
 class Scorer:
     """Log10 probabilities of the kept states, looked up by (context, symbol)."""
 
-    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]], depth: int):
-        self.depth = depth
-        self.levels = []
-        for gram, p, back in rows:
-            order = np.argsort(gram, kind="stable")
-            gram, p, back = gram[order], p[order], back[order]
-            context, first = np.unique(gram >> 8, return_index=True)
-            self.levels.append((gram, p, context, back[first]))
+    def __init__(self, levels: list[tuple[np.ndarray, ...]], depth: int):
+        self.levels, self.depth = levels, depth
+
+    @staticmethod
+    def level(gram: np.ndarray, p: np.ndarray, back: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Sorted pairs with their probabilities, and sorted contexts with the weight of their parent."""
+        order = np.argsort(gram, kind="stable")
+        gram = gram[order]
+        context, first = np.unique(gram >> 8, return_index=True)
+        return gram, p[order], context, back[order][first]
 
     def log10(self, values: np.ndarray) -> np.ndarray:
         """For distinct full-depth sequences: the smoothed probability of the last byte in the longest kept context."""
@@ -167,8 +164,7 @@ class Scorer:
         return np.log10(out)
 
     def texts(self, held: list[bytes]) -> np.ndarray:
-        data = np.frombuffer(b"".join(held), np.uint8)
-        values, where = np.unique(grams(data, self.depth), return_inverse=True)
+        where, values = pd.factorize(grams(held, self.depth))
         each = self.log10(values)[where]
         starts = np.cumsum([0] + [len(d) for d in held[:-1]])
         return np.add.reduceat(each, starts)
@@ -193,42 +189,39 @@ def score_texts(
     totals = vocabulary.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     n, v = totals["n"] or 0, totals["v"]
     frequent = vocabulary.orderBy(F.desc("c"), "word").limit(most_words).toArrow()
-    known_words = spark.sparkContext.broadcast(dict(zip(frequent["word"].to_pylist(), frequent["c"].to_pylist())))
+    logs = np.log10((frequent["c"].to_numpy() + 1) / (n + v + 1)).tolist()
+    known_words = spark.sparkContext.broadcast(dict(zip(frequent["word"].to_pylist(), logs)))
     model = tree(cut(count_grams(training, depth)), depth, least_gain, most_grams).toArrow().to_pandas()
-    levels = [
-        tuple(model.loc[model["level"] == d, c].to_numpy(t) for c, t in (("gram", np.int64), ("p", np.float64), ("back", np.float64))) for d in range(depth + 1)
-    ]
+    columns = (("gram", np.int64), ("p", np.float64), ("back", np.float64))
+    levels = [Scorer.level(*(model.loc[model["level"] == d, c].to_numpy(t) for c, t in columns)) for d in range(depth + 1)]
     shipped = spark.sparkContext.broadcast(levels)
 
     def run(batches):
-        scorer, frequent = Scorer(shipped.value, depth), known_words.value
-        logs = {w: np.log10((c + 1) / (n + v + 1)) for w, c in frequent.items()}
+        scorer, logs = Scorer(shipped.value, depth), known_words.value
         for batch in batches:
-            size = len(batch)
-            score, base, tokens, known = np.zeros(size), np.zeros(size), np.zeros(size, int), np.zeros(size, int)
-            rare: list[dict] = [{} for _ in range(size)]
-            texts = batch["text"].to_numpy()
-            for part in _chunks(texts):
-                score[[r for r, _ in part]] = scorer.texts([d for _, d in part])
-            for r in range(size):
-                words = words_of(texts[r])
-                words.append("\n")
-                found = [logs.get(w) for w in words]
-                tokens[r] = len(words)
-                if None in found:
-                    missing = rare[r]
-                    for w, value in zip(words, found):
-                        if value is None:
-                            missing[w] = missing.get(w, 0) + 1
-                    found = [x for x in found if x is not None]
-                known[r], base[r] = len(found), sum(found)
-            yield pd.DataFrame({
-                "row": batch["row"], "doc_id": batch["doc_id"], "held_out": batch["held_out"], "n_tokens": tokens, "n_known": known,
-                "base_score": base, "score": score, "words": [list(x) for x in rare], "times": [list(x.values()) for x in rare],
-            })
+            for part in _chunks(batch["text"].to_numpy()):
+                frame = batch[["row", "doc_id", "held_out"]].iloc[[r for r, _, _ in part]]
+                base, tokens, known, rare = [], [], [], []
+                for _, words, _ in part:
+                    words.append(END_WORD)
+                    found = list(map(logs.get, words))
+                    tokens.append(len(found))
+                    missing: dict[bytes, int] = {}
+                    if None in found:
+                        for word, value in zip(words, found):
+                            if value is None:
+                                missing[word] = missing.get(word, 0) + 1
+                        found = [x for x in found if x is not None]
+                    known.append(len(found))
+                    base.append(sum(found))
+                    rare.append(missing)
+                yield frame.assign(
+                    n_tokens=tokens, n_known=known, base_score=base, score=scorer.texts([d for _, _, d in part]),
+                    words=[list(x) for x in rare], times=[list(x.values()) for x in rare],
+                )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, words array<string>, times array<long>"
+    schema = f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, words array<binary>, times array<long>"
     scored = cut(rows.select(own.alias("row"), "doc_id", "held_out", "text").mapInPandas(run, schema))
     parts = scored.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", "w.words", "w.times")
     looked = parts.join(vocabulary, F.col("words") == F.col("word"), "left").groupBy("row").agg(
@@ -256,10 +249,10 @@ def _word_counts(training: DataFrame) -> DataFrame:
             for text in batch["text"]:
                 for word in words_of(text):
                     counts[word] = counts.get(word, 0) + 1
-                counts["\n"] = counts.get("\n", 0) + 1
+                counts[END_WORD] = counts.get(END_WORD, 0) + 1
                 if len(counts) > 400_000:
                     yield from out()
                     counts.clear()
         yield from out()
 
-    return training.select("text").mapInPandas(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return training.select("text").mapInPandas(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
