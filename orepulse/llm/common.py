@@ -35,6 +35,11 @@ def drop_cut(df: DataFrame) -> None:
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def join_bounded(big: DataFrame, small: DataFrame, on, how: str = "inner", most_rows: int = 400_000) -> DataFrame:
+    """Join with a narrow table: sent to every task if its counted rows stay below the bound, shuffled on the key otherwise."""
+    return big.join(F.broadcast(small) if small.count() <= most_rows else small, on, how)
+
+
 def per_batch(df: DataFrame, work: Callable, schema: str) -> DataFrame:
     """``work(pandas frame) -> pandas frame`` over bounded Arrow batches of each partition."""
 

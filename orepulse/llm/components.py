@@ -4,14 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orepulse.llm.common import cut, drop_cut
+from orepulse.llm.common import cut, drop_cut, join_bounded
 
 MOST_ROUNDS = 60
 
 
+def ranked_id(times: Column) -> Column:
+    """A unique id for each row that is the smaller, the more often the row's content occurs (in steps of a quarter power of two).
+
+    The copy that occurs most often lies in the middle of its near copies, so that as the smallest id of a bucket it links to most of
+    them. Write the rows down before using the id twice.
+    """
+    rank = F.lit(127) - F.least(F.lit(127), F.floor(F.log2(times) * 4))
+    return F.shiftleft(rank.cast("long"), 55) + F.monotonically_increasing_id()
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every node's larger neighbours are linked to its smallest neighbour (or itself)."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -48,28 +58,32 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots)
 
 
-def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def linked(
+    members: DataFrame, verify: Callable[[DataFrame], DataFrame], sketches: DataFrame, plausible: Callable[[Column, Column], Column]
+) -> DataFrame:
     """Components of everything that shares a bucket and passes ``verify``; ``members`` are (id, key).
 
     First every member is held against the smallest id of its bucket. What then lies in one component needs no more comparison, so in
     the second round only the members outside the component of their bucket's smallest id meet the members of other components. A
     large group of copies is thus compared once per member, and no link between components is lost. ``verify`` turns pairs (a, b) into
-    those that are links.
+    those that are links. ``sketches`` (id, about) and ``plausible`` drop hopeless pairs of the second round before they are made.
     """
-    members = cut(members.distinct())
-    least = members.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("size")).where("size > 1").select("key", "least")
-    shared = cut(members.join(least, "key"))
-    drop_cut(members)
+    least = members.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
+    shared = cut(join_bounded(members, cut(least.select("key", "least")), "key").distinct())
     first = cut(verify(shared.where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()))
     found = cut(components(first))
     labelled = shared.join(found, "id", "left").select("id", "key", "least", F.coalesce("component", "id").alias("component"))
     main = found.select(F.col("id").alias("least"), F.col("component").alias("main"))
     labelled = labelled.join(main, "least", "left").select("id", "key", "least", "component", F.coalesce("main", "least").alias("main"))
     labelled = cut(labelled)
-    outside = labelled.where("component <> main").select("key", F.col("id").alias("x"), F.col("component").alias("cx"))
-    others = labelled.where("id <> least").join(outside.select("key").distinct(), "key", "left_semi")
-    others = others.select("key", F.col("id").alias("y"), F.col("component").alias("cy"), (F.col("component") == F.col("main")).alias("in_main"))
-    pairs = outside.join(others, "key").where((F.col("cx") != F.col("cy")) & (F.col("in_main") | (F.col("x") < F.col("y"))))
+    open_keys = labelled.where("component <> main").select("key").distinct()
+    candidates = labelled.join(open_keys, "key", "left_semi").join(sketches, "id")
+    outside = candidates.where("component <> main").select("key", F.col("id").alias("x"), F.col("component").alias("cx"), F.col("about").alias("ax"))
+    others = candidates.where("id <> least").select(
+        "key", F.col("id").alias("y"), F.col("component").alias("cy"), F.col("about").alias("ay"), (F.col("component") == F.col("main")).alias("in_main")
+    )
+    different = (F.col("cx") != F.col("cy")) & (F.col("in_main") | (F.col("x") < F.col("y")))
+    pairs = outside.alias("o").join(others.alias("p"), (F.col("o.key") == F.col("p.key")) & different & plausible(F.col("ax"), F.col("ay")))
     second = verify(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
     joins = cut(first.select("a", "b").unionByName(second.select("a", "b")))
     return components(joins)
