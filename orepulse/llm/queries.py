@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orepulse.llm import chat, lines, mixing, pseudonyms, quality, suffix_tree, tokens, vectors
+from orepulse.llm import chat, decontamination, lines, mixing, pseudonyms, quality, suffix_tree, tokens, vectors
 from orepulse.llm.common import table
 from orepulse.plans.suite import Suite
 
@@ -60,3 +60,8 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     found = lines.removed_lines(docs)
     return found.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed")
+
+
+@suite.query("op8_benchmark_decontamination")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
