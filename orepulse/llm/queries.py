@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orepulse.llm import chat, decontamination, lines, mixing, pseudonyms, quality, suffix_tree, tokens, vectors
+from orepulse.llm import chat, decontamination, lines, mixing, order_minhash, pseudonyms, quality, suffix_tree, tokens, vectors
 from orepulse.llm.common import table
 from orepulse.plans.suite import Suite
 
@@ -65,3 +65,9 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 @suite.query("op8_benchmark_decontamination")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@suite.query("op9_order_minhash_near_duplicates")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return order_minhash.near_documents(docs).select("doc_id", "class_id", "kept")
