@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from orepulse.session import checkpoint_cut
 
@@ -40,12 +43,19 @@ def join_bounded(big: DataFrame, small: DataFrame, on, how: str = "inner", most_
     return big.join(F.broadcast(small) if small.count() <= most_rows else small, on, how)
 
 
-def per_batch(df: DataFrame, work: Callable, schema: str) -> DataFrame:
-    """``work(pandas frame) -> pandas frame`` over bounded Arrow batches of each partition."""
+def per_batch(df: DataFrame, work: Callable[[list], list], added: str) -> DataFrame:
+    """``df`` with its ``text`` replaced by new columns: ``work`` gets the texts of a bounded Arrow batch and returns those columns.
+
+    All other columns stay in Arrow, so that large ids and nulls come through unchanged.
+    """
+    new = T.StructType.fromDDL(added)
+    fields = [(f.name, to_arrow_type(f.dataType)) for f in new.fields]
 
     def run(batches):
         for batch in batches:
-            if len(batch):
-                yield work(batch)
+            columns = {name: batch.column(name) for name in batch.schema.names if name != "text"}
+            made = work(batch.column("text").to_pylist())
+            columns |= {name: pa.array(values, kind) for (name, kind), values in zip(fields, made)}
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    return df.mapInPandas(run, schema)
+    return df.mapInArrow(run, T.StructType([f for f in df.schema.fields if f.name != "text"] + new.fields))

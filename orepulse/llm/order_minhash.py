@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orepulse.llm.common import SHINGLE_WORDS, SIMILARITY, cut, join_bounded
+from orepulse.llm.common import SHINGLE_WORDS, SIMILARITY, cut, join_bounded, per_batch
 from orepulse.llm.components import linked, ranked_id
 
 SAMPLES, PICKED = 24, 5  # at shingle similarity 0.8 a pair agrees on some sample with chance 1 - (1 - 0.8 ** 5) ** 24 = 0.9999
@@ -124,12 +124,17 @@ def aligned(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> boo
     return False
 
 
-def _chunks(batch: pd.DataFrame):
-    """Parts of a batch with a bounded number of characters; one text is never split."""
-    sizes = batch["text"].str.len().fillna(0).to_numpy(np.int64)
-    part = np.cumsum(sizes) // (CHUNK_WORDS * 6)
-    for number in np.unique(part):
-        yield batch[part == number]
+def _chunks(texts: list):
+    """Parts of a list of texts with a bounded number of characters; one text is never split."""
+    held, total = [], 0
+    for text in texts:
+        held.append(text)
+        total += len(text or "")
+        if total >= CHUNK_WORDS * 6:
+            yield held
+            held, total = [], 0
+    if held:
+        yield held
 
 
 def _placed(values: np.ndarray, rows: list[int], n: int) -> list:
@@ -143,19 +148,17 @@ def _placed(values: np.ndarray, rows: list[int], n: int) -> list:
 def sketches(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
     """``doc_id, k1, k2, keys, least``: the digest of the text, the sample keys and the smallest shingles of every row."""
 
-    def run(batches):
-        for batch in batches:
-            for part in _chunks(batch):
-                sequences = shingle_sequences(part["text"].tolist(), size)
-                full = [i for i, s in enumerate(sequences) if len(s)]
-                keys, least = samples([sequences[i] for i in full])
-                out = part.drop(columns="text")
-                out["keys"] = _placed(keys, full, len(part))
-                out["least"] = _placed(least, full, len(part))
-                yield out
+    def work(texts: list) -> list:
+        keys, least = [], []
+        for part in _chunks(texts):
+            sequences = shingle_sequences(part, size)
+            full = [i for i, s in enumerate(sequences) if len(s)]
+            k, x = samples([sequences[i] for i in full])
+            keys += _placed(k, full, len(part))
+            least += _placed(x, full, len(part))
+        return [keys, least]
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return digested(docs).mapInPandas(run, f"doc_id {kind}, k1 long, k2 long, keys array<long>, least array<long>")
+    return per_batch(digested(docs), work, "keys array<long>, least array<long>")
 
 
 def digested(docs: DataFrame) -> DataFrame:
@@ -186,18 +189,16 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE
         texts = join_bounded(digested(docs).select("k1", "k2", "doc_id", "text"), wanted.withColumnRenamed("doc_id", "of"), ["k1", "k2"])
         texts = texts.where(F.col("doc_id").eqNullSafe(F.col("of"))).select("id", "text")
 
-        def cut_up(batches):
-            for batch in batches:
-                for part in _chunks(batch):
-                    folded = [(s >> np.uint64(32)).astype(np.uint32).tobytes() for s in shingle_sequences(part["text"].tolist(), size)]
-                    yield pd.DataFrame({"id": part["id"].to_numpy(), "s": folded})
+        def cut_up(texts: list) -> list:
+            parts = [shingle_sequences(part, size) for part in _chunks(texts)]
+            return [[(s >> np.uint64(32)).astype(np.uint32).tobytes() for part in parts for s in part]]
 
         def compare(batches):
             for batch in batches:
                 alike = [aligned(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32), similarity) for x, y in zip(batch["x"], batch["y"])]
                 yield batch.loc[alike, ["a", "b"]]
 
-        sequences = cut(texts.mapInPandas(cut_up, "id long, s binary").dropDuplicates(["id"]))
+        sequences = cut(per_batch(texts, cut_up, "s binary").dropDuplicates(["id"]))
         left, right = sequences.select(F.col("id").alias("a"), F.col("s").alias("x")), sequences.select(F.col("id").alias("b"), F.col("s").alias("y"))
         fits = F.least(F.length("x"), F.length("y")) >= F.lit(similarity) * F.greatest(F.length("x"), F.length("y"))
         return pairs.join(left, "a").join(right, "b").where(fits).select("a", "b", "x", "y").mapInPandas(compare, "a long, b long")

@@ -12,7 +12,6 @@ import hashlib
 import hmac
 import re
 
-import pandas as pd
 from pyspark.sql import DataFrame
 
 from orepulse.llm.common import per_batch
@@ -197,9 +196,7 @@ def pseudonymise(docs: DataFrame, key: bytes, back: bool = False) -> DataFrame:
     (a card number with a wrong check digit, the 31st of February, an octet above 255) are left as they are.
     """
 
-    def work(batch: pd.DataFrame) -> pd.DataFrame:
-        done = [replace_all(t, key, back) for t in batch["text"]]
-        return pd.DataFrame({"doc_id": batch["doc_id"], "text": [t for t, _ in done], "n_replaced": [n for _, n in done]})
+    def work(texts: list) -> list:
+        return list(zip(*[replace_all(t, key, back) for t in texts])) or [[], []]
 
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string, n_replaced long"
-    return per_batch(docs.select("doc_id", "text"), work, schema)
+    return per_batch(docs.select("doc_id", "text"), work, "text string, n_replaced long")

@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,12 +67,10 @@ def text_features(text: str | None) -> list[float]:
 def features(docs: DataFrame) -> DataFrame:
     """``doc_id`` and the feature columns, one row per row of ``docs``."""
 
-    def work(batch: pd.DataFrame) -> pd.DataFrame:
-        values = np.array([text_features(t) for t in batch["text"]], float).reshape(len(batch), len(FEATURES))
-        return pd.concat([batch[["doc_id"]], pd.DataFrame(values, columns=list(FEATURES), index=batch.index)], axis=1)
+    def work(texts: list) -> list:
+        return list(np.array([text_features(t) for t in texts], float).reshape(len(texts), len(FEATURES)).T)
 
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"{f} double" for f in FEATURES)
-    return per_batch(docs.select("doc_id", "text"), work, schema)
+    return per_batch(docs.select("doc_id", "text"), work, ", ".join(f"{f} double" for f in FEATURES))
 
 
 def fit(x: np.ndarray, good: np.ndarray, pairs: int = PAIRS, ridge: float = 1e-3, seed: int = 7) -> dict:
@@ -120,10 +118,32 @@ def score_quality(docs: DataFrame, labels: DataFrame, max_training: int = MAX_TR
     an id are scored each by its own text.
     """
     known = cut(features(docs))
+    return _scores(known, train_model(known, labels, max_training, pairs, folds), folds)
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, max_training: int = MAX_TRAINING, pairs: int = PAIRS, folds: int = FOLDS) -> DataFrame:
+    """The rows of ``docs`` that are not rejected, with all their columns; the model is the one of ``score_quality``."""
+    model = train_model(cut(features(docs)), labels, max_training, pairs, folds)
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            values = np.array([text_features(t) for t in texts], float).reshape(len(texts), len(FEATURES))
+            raw = values @ model["weights"] + model["offset"] - model["threshold"] + math.log(CUT / (1 - CUT))
+            yield batch.filter(pa.array(1 / (1 + np.exp(-np.clip(raw, -30, 30))) >= CUT))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def train_model(known: DataFrame, labels: DataFrame, max_training: int = MAX_TRAINING, pairs: int = PAIRS, folds: int = FOLDS) -> dict:
+    """The model of the labelled rows of ``known`` (doc_id and features) outside the held-out fold."""
     train = labels.where(F.col("quality").isin(0, 1) & (remainder(F.col("doc_id"), folds) != 0)).select("doc_id", "quality")
     train = train.distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(max_training)
     rows = train.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", *FEATURES, "quality").limit(max_training).toPandas()
-    model = fit(rows[list(FEATURES)].to_numpy(float), rows["quality"].to_numpy(int), pairs)
+    return fit(rows[list(FEATURES)].to_numpy(float), rows["quality"].to_numpy(int), pairs)
+
+
+def _scores(known: DataFrame, model: dict, folds: int) -> DataFrame:
     raw = F.lit(model["offset"] - model["threshold"] + math.log(CUT / (1 - CUT)))
     for name, weight in zip(FEATURES, model["weights"]):
         raw = raw + F.lit(float(weight)) * F.col(name)

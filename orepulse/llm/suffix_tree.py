@@ -183,7 +183,8 @@ def score_texts(
     spark = docs.sparkSession
     own = F.monotonically_increasing_id()
     held = remainder(F.col("doc_id"), folds) == held_out
-    rows = docs.select("doc_id", held.alias("held_out"), "text")
+    kind = docs.schema["doc_id"].dataType
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), held.alias("held_out"), "text")  # pandas would round large ids
     training = rows.where(~F.col("held_out"))
     vocabulary = cut(_word_counts(training))
     totals = vocabulary.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
@@ -220,8 +221,7 @@ def score_texts(
                     words=[list(x) for x in rare], times=[list(x.values()) for x in rare],
                 )
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, words array<binary>, times array<long>"
+    schema = "row long, doc_id string, held_out boolean, n_tokens long, n_known long, base_score double, score double, words array<binary>, times array<long>"
     scored = cut(rows.select(own.alias("row"), "doc_id", "held_out", "text").mapInPandas(run, schema))
     parts = scored.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", "w.words", "w.times")
     looked = parts.join(vocabulary, F.col("words") == F.col("word"), "left").groupBy("row").agg(
@@ -229,7 +229,7 @@ def score_texts(
         F.sum(F.col("times") * F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(float(n + v + 1)))).alias("added"),
     )
     return scored.drop("words", "times").join(looked, "row", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
+        F.col("doc_id").cast(kind).alias("doc_id"), "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
         (F.col("base_score") + F.coalesce("added", F.lit(0.0))).alias("base_score"), "score",
     )
 

@@ -11,7 +11,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import ahocorasick
-import pandas as pd
 from pyspark.sql import DataFrame
 
 from orepulse.llm.common import per_batch
@@ -99,9 +98,11 @@ def count_tokens(docs: DataFrame, vocabulary: Sequence[tuple[str, float]] | str
     pieces = read_vocabulary(vocabulary) if isinstance(vocabulary, str) else list(vocabulary)
     shipped = docs.sparkSession.sparkContext.broadcast(pieces)  # the vocabulary's size does not depend on the data
 
-    def run(batches):
-        counter = Counter(shipped.value)
-        for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_tokens": [counter.text(t) for t in batch["text"]]})
+    counters: list[Counter] = []  # one per task, made in the task
 
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long")
+    def work(texts: list) -> list:
+        if not counters:
+            counters.append(Counter(shipped.value))
+        return [[counters[0].text(t) for t in texts]]
+
+    return per_batch(docs.select("doc_id", "text"), work, "n_tokens long")
