@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orepulse.functions.numbers import exact_mean, exact_sum
 from orepulse.functions.text import chunk_id, file_stem, iso_timestamp, parent_folder
 from orepulse.operators.scans import ordered_scan
 from orepulse.session import checkpoint_cut
@@ -26,17 +27,17 @@ def time_window_chunks(
     window_days: int = 7,
     max_rows: int = 500,
     overlap: int = 50,
-    on_overflow: str = "first",
+    on_overflow: str = "split",
 ) -> DataFrame:
     """Rows with ``chunk_index`` and ``position``; overlap rows appear in several chunks.
 
-    Windows of ``window_days`` run from the first time of a source. A window keeps its first
-    ``max_rows`` rows (``on_overflow="split"`` keeps the rest as further chunks), empty windows take no
-    number, and a chunk starts with the last ``overlap`` kept rows before it. ``order`` must be unique
-    within a source and is applied after ``date``.
+    Windows of ``window_days`` run from the first time of a source. A window with more than ``max_rows``
+    rows becomes several chunks; only on request (``on_overflow="first"``) are its further rows left out,
+    which ``dropped_by_cap`` counts. Empty windows take no number, and a chunk starts with the last
+    ``overlap`` rows before it. ``order`` must be unique within a source and is applied after ``date``.
 
-    Rows beyond the cap are dropped before the shuffle (window group limit), chunk borders are prefix
-    sums over one row per window, and overlap rows are found by an equality join on their positions.
+    Chunk borders are prefix sums over one row per chunk, and overlap rows are found by an equality join
+    on their positions.
     """
     valid = df.filter(F.col(date).isNotNull())
     starts = valid.groupBy(source).agg(F.min(date).alias("_t0"))
@@ -80,14 +81,17 @@ def time_window_chunks(
     return mine.select(*carry, "chunk_index", (F.col("_g") - first).alias("position"))
 
 
-def dropped_by_cap(df: DataFrame, source: str, date: str, *, window_days: int = 7, max_rows: int = 500) -> DataFrame:
-    """How many rows the per-window cap leaves out, per source."""
+def dropped_by_cap(
+    df: DataFrame, source: str, date: str, *, window_days: int = 7, max_rows: int = 500, on_overflow: str = "split"
+) -> DataFrame:
+    """How many rows the chunks of ``time_window_chunks`` with the same options leave out, per source."""
+    beyond = F.greatest(F.col("n") - max_rows, F.lit(0)) if on_overflow == "first" else F.lit(0).cast("bigint")
     valid = df.filter(F.col(date).isNotNull())
     starts = valid.groupBy(source).agg(F.min(date).alias("_t0"))
     number = F.floor((F.unix_micros(F.col(date).cast("timestamp")) - F.unix_micros(F.col("_t0").cast("timestamp"))) / (window_days * 86400 * 1_000_000))
     sizes = valid.join(starts, source).groupBy(source, number.alias("_win")).agg(F.count(F.lit(1)).alias("n"))
     return sizes.groupBy(source).agg(
-        F.sum("n").alias("rows"), F.sum(F.greatest(F.col("n") - max_rows, F.lit(0))).alias("dropped_rows")
+        F.sum("n").alias("rows"), F.sum(beyond).alias("dropped_rows")
     )
 
 
@@ -121,11 +125,10 @@ def metric_summaries(chunks: DataFrame, source: str, metrics: Sequence[str]) ->
     """total/mean/max of adding columns and mean/min/max of others, per chunk, 3 decimals."""
     aggregates = []
     for i, m in enumerate(metrics):
-        exact = F.col(m).cast("DECIMAL(18,4)")
         aggregates += [
             F.count(m).alias(f"n{i}"),
-            F.sum(exact).cast("double").alias(f"sum{i}"),
-            F.avg(exact).cast("double").alias(f"mean{i}"),
+            exact_sum(m).alias(f"sum{i}"),
+            exact_mean(m).alias(f"mean{i}"),
             F.min(m).cast("double").alias(f"min{i}"),
             F.max(m).cast("double").alias(f"max{i}"),
         ]

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orepulse.functions.numbers import exact_mean
 from orepulse.operators.quantiles import exact_quantiles
 from orepulse.operators.stats import FREQUENCIES, period_end
 
@@ -83,7 +84,7 @@ def detect_trend(df: DataFrame, date_column: str, value: str, *, freq: str = "W"
     start = F.date_trunc(FREQUENCIES[freq][0], F.col(date_column))
     per_period = (
         rows.groupBy(*keys, start.alias("_start"))
-        .agg(F.avg(F.col(value).cast("DECIMAL(18,4)")).cast("double").alias("y"))
+        .agg(exact_mean(value).alias("y"))
         .withColumn("label", period_end(F.col("_start"), freq))
     )
     order = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("label")

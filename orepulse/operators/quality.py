@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orepulse.functions.numbers import EXACT
 from orepulse.operators.reshape import is_date_name
 from orepulse.operators.stats import numeric_columns
 
@@ -128,13 +129,15 @@ def streaming_profile(df: DataFrame, row_index: str, *, exact_cardinality: bool
         long = long.withColumn("n", F.lit(1))
         cardinality = F.approx_count_distinct("value")
     number = F.expr("try_cast(value AS DOUBLE)")
-    exact = F.expr("try_cast(value AS DECIMAL(20,4))")
+    exact = F.col("value").try_cast(EXACT)
+    fine = F.bool_and(F.when(number.isNotNull(), F.coalesce(exact.cast("double") == number, F.lit(False))))
+    whole = F.when(fine, F.sum(exact * F.col("n")).cast("double")).otherwise(F.sum(number * F.col("n")))
     stats = long.groupBy("column").agg(
         cardinality.alias("distinct_values"),
         F.sum(F.when(number.isNotNull(), F.col("n")).otherwise(0)).alias("numeric_votes"),
         F.min(number).alias("lo"),
         F.max(number).alias("hi"),
-        (F.sum(exact * F.col("n")).cast("double") / F.sum(F.when(number.isNotNull(), F.col("n")))).alias("mean"),
+        (whole / F.sum(F.when(number.isNotNull(), F.col("n")))).alias("mean"),
         F.max(F.contains(F.col("value"), F.lit("."))).alias("has_point"),
     )
     date_named = reduce(lambda a, b: a | b, [F.col("column") == c for c in columns if is_date_name(c)], F.lit(False))
@@ -229,8 +232,9 @@ def anomaly_sample(anomalies: DataFrame, row_index: str, limit: int = 100) -> Da
 
 
 def column_count_shift(lines: DataFrame, line: str, row_index: str, expected: int, separator: str = ",") -> DataFrame:
-    """Raw lines whose width differs from the header's."""
-    width = F.size(F.split(F.col(line), separator, -1))
+    """Raw lines whose width differs from the header's; separators inside quoted fields do not count."""
+    unquoted = F.regexp_replace(F.col(line), '"(?:[^"]|"")*"', "q")
+    width = F.size(F.split(unquoted, separator, -1))
     return lines.filter(width != expected).select(
         row_index,
         F.lit("column_count_shift").alias("anomaly_type"),
@@ -271,7 +275,11 @@ def profile_text(profile: DataFrame, samples: DataFrame) -> DataFrame:
 # Identifiers that are masked, in this order: a text every match contains (empty: none), pattern, tag.
 MASKS = (
     ("@", "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:[.][A-Za-z0-9-]+)+", "{EMAIL}"),
-    ("(", r"(?:[+]?1[ .-]?)?[(][0-9]{3}[)][ .-]?[0-9]{3}[ .-][0-9]{4}", "{PHONE}"),
+    (
+        "",
+        r"(?:(?:[+][0-9]{1,3}|\b1)[ .-]?)?(?:[(][0-9]{3}[)][ .-]?|\b[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}\b|[+][0-9]{1,3}(?:[ .-][0-9]{2,4}){2,5}\b",
+        "{PHONE}",
+    ),
     (
         "",
         "[0-9]{1,5} [A-Z][a-z]+(?: [A-Z][a-z]+)? (?:Street|St|Avenue|Ave|Road|Rd|Boulevard|Blvd|Lane|Ln|Drive|Dr)[.]?",

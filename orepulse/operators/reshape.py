@@ -39,6 +39,12 @@ def drop_ignorable(df: DataFrame) -> DataFrame:
     return df.drop(*[c for c in df.columns if re.sub("[^a-z0-9]", "", c.lower()) in keys])
 
 
+# Date layouts that are read besides ISO, tried in this order; of two numbers with a slash the month comes first.
+DATE_FORMATS = (
+    "M/d/yyyy[ H:mm[:ss]]", "yyyy/M/d[ H:mm[:ss]]", "d-MMM-yyyy[ H:mm[:ss]]", "d MMM yyyy[ H:mm[:ss]]", "MMM d yyyy[ H:mm[:ss]]", "MMM d, yyyy[ H:mm[:ss]]", "yyyyMMdd",
+)
+
+
 def is_date_name(name: str) -> bool:
     return any(part in name.lower() for part in DATE_FRAGMENTS)
 
@@ -50,9 +56,15 @@ def coerce_dates(df: DataFrame, columns: Iterable[str] | None = None) -> DataFra
 
 
 def _moment(text: Column) -> Column:
-    """ISO-like or month/day/year text. A full date is required: a bare time would mean today."""
+    """ISO-like text or one of ``DATE_FORMATS``. A full date is required: a bare time would mean today."""
     iso = F.when(text.rlike(r"^\s*\d{4}-\d"), F.try_to_timestamp(text))
-    return F.coalesce(iso, F.try_to_timestamp(text, F.lit("M/d/yyyy[ H:mm[:ss]]")))
+    return F.coalesce(iso, *[F.try_to_timestamp(text, F.lit(form)) for form in DATE_FORMATS])
+
+
+def unparsed_dates(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``column, unparsed``: how many non-blank texts of each column ``coerce_dates`` cannot read."""
+    counts = df.agg(*[F.count_if((F.trim(F.col(c).cast("string")) != "") & _moment(F.col(c).cast("string")).isNull()).alias(c) for c in columns])
+    return counts.unpivot([], list(columns), "column", "unparsed")
 
 
 def coerce_numbers(df: DataFrame, columns: Iterable[str]) -> DataFrame:

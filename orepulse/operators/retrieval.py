@@ -108,7 +108,8 @@ def nearest(
     """Exact ``k`` nearest vectors per query by cosine: ``(query_id, vec_id, score, rank)``.
 
     ``scope=(vector column, query column)`` only ranks vectors whose value equals the query's, so the
-    result is the k nearest *among* the rows in scope. Each task keeps k rows per query while it streams
+    result is the k nearest *among* the rows in scope. Null vectors, vectors with nulls and those of another
+    length than the queries are left out on both sides. Each task keeps k rows per query while it streams
     its vectors; only those are shuffled. A query set that fits ``max_queries`` (checked) is sent to the
     tasks, a larger one is matched block by block with bounded memory. Ids are 64-bit integers.
     """
@@ -122,8 +123,15 @@ def nearest(
         F.col(query_vector).cast("array<double>").alias("vec"),
         (F.col(scope[1]).cast("string") if scope else F.lit("")).alias("scope"),
     )
+    whole = F.col("vec").isNotNull() & ~F.coalesce(F.exists("vec", lambda x: x.isNull()), F.lit(True))
+    q = q.filter(whole & F.col("qid").isNotNull())
+    v = v.filter(whole & F.col("vid").isNotNull())
     schema = "qid bigint, vid bigint, score double"
     head = q.limit(max_queries + 1).collect()
+    if head:  # vectors of another length than the queries cannot be compared
+        dimension = max(len(r["vec"]) for r in head)
+        head = [r for r in head if len(r["vec"]) == dimension]
+        q, v = q.filter(F.size("vec") == dimension), v.filter(F.size("vec") == dimension)
     if len(head) <= max_queries:
         names = [r["qid"] for r in head]
         matrix = np.array([r["vec"] for r in head], dtype=float).reshape(len(head), -1)
@@ -226,7 +234,7 @@ def context_block(position: Column, locator: Column, text: Column, findings: Col
 
 def hashed_terms(df: DataFrame, doc: str, text: str, dimension: int = 1024) -> DataFrame:
     """Term frequencies hashed into ``dimension`` slots, L2-normalised, as ``(doc, slot, weight)``."""
-    terms = df.select(doc, F.explode(F.split(F.lower(F.col(text)), "[^a-z0-9]+")).alias("term")).filter("term <> ''")
+    terms = df.select(doc, F.explode(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+")).alias("term")).filter("term <> ''")
     slot = F.conv(F.substring(F.md5("term"), 1, 6), 16, 10).cast("bigint") % dimension
     counted = terms.groupBy(doc, slot.alias("slot")).agg(F.count(F.lit(1)).alias("tf"))
     norm = F.sqrt(F.sum(F.col("tf") * F.col("tf")).over(Window.partitionBy(doc)))  # at most `dimension` slots
@@ -237,12 +245,17 @@ def embed(df: DataFrame, doc: str, text: str, *, dimension: int = 1024, embedder
     """``(doc, embedding)``: an injected vectorised embedder, or hashed terms."""
     if embedder is not None:
         return df.select(doc, embedder(F.col(text)).alias("embedding"))
-    slots = hashed_terms(df, doc, text, dimension).groupBy(doc).agg(
-        F.map_from_entries(F.collect_list(F.struct("slot", "weight"))).alias("m")
+    slots = hashed_terms(df, doc, text, dimension).groupBy(doc).agg(F.collect_list(F.struct("slot", "weight")).alias("w"))
+    zeros = F.array_repeat(F.lit(0.0).cast("float"), dimension)
+    filled = F.transform(
+        F.array_sort(F.concat("w", F.array(F.struct(F.lit(dimension).cast("bigint").alias("slot"), F.lit(0.0).alias("weight"))))),
+        lambda x, i: F.struct(x["slot"].alias("slot"), x["weight"].alias("weight"), i.alias("i")),
     )
-    places = F.sequence(F.lit(0).cast("bigint"), F.lit(dimension - 1).cast("bigint"))
-    dense = F.transform(places, lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)).cast("float"))
-    return slots.select(doc, dense.alias("embedding"))
+    ordered = slots.select(doc, filled.alias("w"))
+    gap = lambda x: F.array_repeat(F.lit(0.0).cast("float"), (x["slot"] - F.when(x["i"] == 0, -1).otherwise(F.get(F.col("w.slot"), x["i"] - 1)) - 1).cast("int"))
+    dense = F.slice(F.flatten(F.transform("w", lambda x: F.concat(gap(x), F.array(x["weight"].cast("float"))))), 1, dimension)
+    every = df.select(doc).distinct().join(ordered.select(doc, dense.alias("embedding")), doc, "left")
+    return every.select(doc, F.coalesce("embedding", zeros).alias("embedding"))
 
 
 def cluster_lists(vectors: DataFrame, vector: str, lists: int, *, seed: int = 7, iterations: int = 10) -> tuple[DataFrame, np.ndarray]:
@@ -273,12 +286,12 @@ def nearest_in_lists(
     )
     probed = queries.select("*", F.posexplode(F.slice(F.array_sort(away), 1, probes)).alias("_p", "_near"))
     routed = probed.select(
-        (F.col("query_id") * 1000 + F.col("_p")).alias("probe_id"), "query_id", query_vector, F.col("_near.list_id").alias("probe_list")
+        (F.col("query_id") * probes + F.col("_p")).alias("probe_id"), "query_id", query_vector, F.col("_near.list_id").alias("probe_list")
     )
     hits = nearest(
         listed, routed, k, query_id="probe_id", query_vector=query_vector, scope=("list_id", "probe_list"), **options
     )
-    merged = hits.withColumn("query_id", F.floor(F.col("probe_id") / 1000))
+    merged = hits.withColumn("query_id", F.floor(F.col("probe_id") / probes))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
     return (
         merged.withColumn("rank", F.row_number().over(order))

@@ -8,6 +8,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orepulse.functions.numbers import exact_mean, exact_sum
 from orepulse.operators.quantiles import exact_quantiles
 
 NUMERIC_TYPES = ("tinyint", "smallint", "int", "bigint", "float", "double")
@@ -78,7 +79,7 @@ def aggregate(column: str, how: str) -> Column:
     if how not in AGGREGATES:
         raise ValueError(f"Unknown aggregation '{how}'; use one of {', '.join(AGGREGATES)}")
     if how in ("mean", "sum"):
-        return AGGREGATES[how](F.col(column).cast("DECIMAL(18,4)")).cast("double")
+        return exact_mean(column) if how == "mean" else exact_sum(column)
     return AGGREGATES[how](F.col(column)).cast("double")
 
 

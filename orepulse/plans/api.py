@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orepulse.functions.numbers import EXACT, exact_mean, exact_sum, lossless
 from orepulse.operators.scans import ordered_scan
 
 # Default pit zones (id, name, type, x, y, width, height).
@@ -195,7 +196,7 @@ def hourly_trend(df: DataFrame, moment: str, value: str) -> DataFrame:
     """Mean per hour, one decimal, labelled by hour."""
     hour = F.date_trunc("hour", F.col(moment))
     return df.groupBy(hour.alias("bucket")).agg(
-        F.round(F.avg(F.col(value).cast("DECIMAL(18,4)")).cast("double"), 1).alias("consumption")
+        F.round(exact_mean(value), 1).alias("consumption")
     ).select(F.date_format("bucket", "yyyy-MM-dd HH").alias("hour_key"), F.date_format("bucket", "dd HH':00'").alias("hour"), "consumption")
 
 
@@ -208,12 +209,11 @@ def status_breakdown(df: DataFrame, status: str) -> DataFrame:
 
 def shift_summary(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Tonnage per shift against target, finished and delayed cycles."""
-    exact = lambda c: F.sum(F.col(c).cast("DECIMAL(18,4)")).cast("double")
     return df.groupBy(*keys).agg(
-        F.round(exact("payload_tonnes"), 3).alias("total_tonnes"),
-        F.round(exact("target_payload_tonnes"), 3).alias("target_tonnes"),
+        F.round(exact_sum("payload_tonnes"), 3).alias("total_tonnes"),
+        F.round(exact_sum("target_payload_tonnes"), 3).alias("target_tonnes"),
         F.count(F.lit(1)).alias("completed_cycles"),
-        F.round(F.avg(F.col("cycle_time_min").cast("DECIMAL(18,4)")).cast("double"), 3).alias("mean_cycle_min"),
+        F.round(exact_mean("cycle_time_min"), 3).alias("mean_cycle_min"),
         F.count_if(F.col("queue_time_min") > 10).alias("delayed_cycles"),
     )
 
@@ -259,7 +259,7 @@ def stage_summary(stages: DataFrame, run: str) -> DataFrame:
     return stages.groupBy(run).agg(
         F.bool_and(fine).alias("overall_success"),
         F.array_join(F.array_sort(F.collect_set(F.when(~fine, F.col("stage")))), ",").alias("failed_stages"),
-        F.round(F.sum(F.col("duration_s").cast("DECIMAL(18,4)")).cast("double"), 1).alias("duration_s"),
+        F.round(exact_sum("duration_s"), 1).alias("duration_s"),
     )
 
 
@@ -276,10 +276,12 @@ def recent_runs(runs: DataFrame, run: str, started: str, stopped: str, n: int =
 
 def daily_rolling_mean(df: DataFrame, key: str, moment: str, value: str, days: int = 7) -> DataFrame:
     """Mean over the last ``days`` days per key, from daily sums and counts rather than raw rows."""
-    exact = F.col(value).cast("DECIMAL(18,4)")
-    daily = df.groupBy(key, F.to_date(moment).alias("day")).agg(F.sum(exact).alias("s"), F.count(value).alias("n"))
+    daily = df.groupBy(key, F.to_date(moment).alias("day")).agg(
+        F.sum(F.col(value).try_cast(EXACT)).alias("s"), F.sum(F.col(value).cast("double")).alias("d"), lossless(value).alias("fine"), F.count(value).alias("n")
+    )
     number_of_day = F.datediff("day", F.lit("1970-01-01"))
     frame = Window.partitionBy(key).orderBy(number_of_day).rangeBetween(-(days - 1), 0)
+    total = F.when(F.bool_and("fine").over(frame), F.sum("s").over(frame).cast("double")).otherwise(F.sum("d").over(frame))
     return daily.select(
-        key, "day", F.round((F.sum("s").over(frame).cast("double") / F.sum("n").over(frame)), 3).alias("rolling_mean")
+        key, "day", F.round(F.try_divide(total, F.sum("n").over(frame)), 3).alias("rolling_mean")
     )

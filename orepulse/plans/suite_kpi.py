@@ -215,7 +215,7 @@ def _feasibility(spark, sf):
     return assess_feasibility(reported_columns(spark, sf, _REPORTED))
 
 
-_SECTIONS = ", ".join(f"('{n}', '{s}')" for s, names in SECTION_KPIS.items() for n in names.split())
+_SECTIONS = ", ".join(f"('{n}', '{s}')" for s, names in SECTION_KPIS.items() for n in names)
 
 
 @suite.query(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orepulse.functions.numbers import exact_sum
 from orepulse.operators import quality, reshape, schema
 from orepulse.operators.kpi import REGISTRY
 from orepulse.operators.scans import ordered_scan
@@ -251,7 +252,7 @@ def _tyres(spark, sf):
 )
 def _chart_series(spark, sf):
     daily = table(spark, sf, "events").groupBy("event_type", F.to_date("ts").alias("day")).agg(
-        F.sum(F.col("value").cast("DECIMAL(18,4)")).cast("double").alias("value")
+        exact_sum("value").alias("value")
     )
     return reshape.chart_series(daily, "event_type", "day", ["value"])
 
@@ -731,7 +732,7 @@ def _pairs(spark, sf):
 
 def _section_case(column: str) -> str:
     whens = " ".join(
-        f"WHEN REGEXP_MATCHES(LOWER({column}), '{'|'.join(f.split())}') THEN '{s}'" for s, f in schema.SECTION_FRAGMENTS.items()
+        f"WHEN REGEXP_MATCHES(LOWER({column}), '{'|'.join(f)}') THEN '{s}'" for s, f in schema.SECTION_FRAGMENTS.items()
     )
     return f"CASE {whens} END"
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orepulse.functions.numbers import exact_sum
 from orepulse.functions import text as fx
 from orepulse.operators import retrieval
 from orepulse.operators.kpi import REGISTRY, SECTION_KPIS
@@ -207,7 +208,7 @@ suite.add(
 suite.add(
     "retrieve_hashed_terms",
     lambda spark, sf: retrieval.hashed_terms(table(spark, sf, "documents"), "doc_id", "text", 256).select("doc_id", "slot", F.round("weight", 6).alias("weight")),
-    r"""WITH w AS (SELECT doc_id, UNNEST(REGEXP_SPLIT_TO_ARRAY(LOWER(text), '[^a-z0-9]+')) AS term FROM documents),
+    r"""WITH w AS (SELECT doc_id, UNNEST(REGEXP_SPLIT_TO_ARRAY(LOWER(text), '[^\p{L}\p{N}]+')) AS term FROM documents),
     c AS (SELECT doc_id, CAST(('0x' || SUBSTRING(MD5(term), 1, 6)) AS BIGINT) % 256 AS slot, COUNT(*) AS tf FROM w WHERE term <> '' GROUP BY ALL)
     SELECT doc_id, slot, ROUND(tf / SQRT(SUM(tf * tf) OVER (PARTITION BY doc_id)), 6) AS weight FROM c""",
 )
@@ -346,7 +347,7 @@ def _breakdown(spark, sf):
 )
 def _counters(spark, sf):
     return fleet_view(spark, sf).agg(
-        F.sum(F.col("fuel_litres").cast("DECIMAL(18,4)")).cast("double").alias("total_litres"), F.round(F.avg("fuel_litres"), 3).alias("average_litres"),
+        exact_sum("fuel_litres").alias("total_litres"), F.round(F.avg("fuel_litres"), 3).alias("average_litres"),
         F.count_if(F.col("failure_probability") > 0.7).alias("overdue"), F.count_if(F.col("failure_probability") > 0.9).alias("critical"),
     )
 
@@ -453,7 +454,7 @@ suite.add(
     lambda spark, sf: dashboard.merge_files(dashboard.kpi_findings(tenant_fleet(spark, sf), "source_file"), "source_file").drop("status", "error"),
     f"WITH {_MERGED} SELECT client_id, kpi, position, value, unit FROM m",
 )
-_SECTION_OF = "CASE " + " ".join(f"WHEN kpi IN ({', '.join(repr(n) for n in names.split())}) THEN '{s}'" for s, names in SECTION_KPIS.items()) + " END"
+_SECTION_OF = "CASE " + " ".join(f"WHEN kpi IN ({', '.join(repr(n) for n in names)}) THEN '{s}'" for s, names in SECTION_KPIS.items()) + " END"
 suite.add(
     "dashboard_section_counts",
     lambda spark, sf: dashboard.section_counts(dashboard.merge_files(dashboard.kpi_findings(tenant_fleet(spark, sf), "source_file"), "source_file")),

@@ -383,7 +383,7 @@ _TEL = (
 )
 
 
-def window_chunks_sql(max_rows: int, overlap: int, split: bool = False) -> str:
+def window_chunks_sql(max_rows: int, overlap: int, split: bool = True) -> str:
     sub = f"(rn - 1) // {max_rows}" if split else "0"
     keep = "" if split else f"WHERE rn <= {max_rows}"
     return f"""{_TEL}, t0 AS (SELECT source_file, MIN(ts) AS t0 FROM tel GROUP BY 1), win AS (SELECT tel.*, (EPOCH_US(ts) - EPOCH_US(t0)) // (7 * 86400000000) AS win FROM tel JOIN t0 USING (source_file)),
@@ -406,14 +406,15 @@ for _name, _opts in (
     )
 suite.add(
     "chunk_time_window_split",
-    lambda spark, sf: _chunks(spark, sf, max_rows=300, overlap=30, on_overflow="split").select("source_file", "event_id", "chunk_index", "position"),
-    f"WITH {window_chunks_sql(300, 30, True)} {_MEMBERS}",
+    lambda spark, sf: _chunks(spark, sf, max_rows=300, overlap=30).select("source_file", "event_id", "chunk_index", "position"),
+    f"WITH {window_chunks_sql(300, 30)} {_MEMBERS}",
 )
 suite.add(
     "chunk_dropped_rows",
     lambda spark, sf: chunking.dropped_by_cap(telemetry(spark, sf), "source_file", "ts"),
     f"WITH {window_chunks_sql(500, 50)}, n AS (SELECT source_file, win, COUNT(*) AS n FROM win GROUP BY ALL) "
-    "SELECT source_file, CAST(SUM(n) AS BIGINT) AS rows, CAST(SUM(GREATEST(n - 500, 0)) AS BIGINT) AS dropped_rows FROM n GROUP BY 1",
+    ", k AS (SELECT source_file, COUNT(DISTINCT event_id) AS kept FROM chunk GROUP BY 1) "
+    "SELECT n.source_file, CAST(SUM(n) AS BIGINT) AS rows, CAST(SUM(n) - MAX(kept) AS BIGINT) AS dropped_rows FROM n JOIN k USING (source_file) GROUP BY 1",
 )
 suite.add(
     "chunk_row_count",

@@ -59,12 +59,15 @@ def load_csv(
     date_columns: Sequence[str] | None = None,
     as_text: bool = False,
     comment: str | None = None,
+    multi_line: bool = False,
 ) -> DataFrame:
     """CSV with a header row: clean headers, typed columns, dates parsed leniently.
 
+    ``multi_line`` reads quoted fields that hold line breaks, at the price of one task per file.
+
     Give ``schema`` for large inputs, inference reads the data twice. ``as_text`` keeps raw strings.
     """
-    reader = spark.read.option("header", True).option("mode", "PERMISSIVE")
+    reader = spark.read.option("header", True).option("mode", "PERMISSIVE").option("multiLine", multi_line).option("escape", '"')
     if comment:
         reader = reader.option("comment", comment)
     if schema is not None:

@@ -20,7 +20,10 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
 
 
 def append_ledger(records: DataFrame, path: str) -> None:
-    records.write.mode("append").json(path)
+    """Add the records that the ledger does not hold yet, so that a repeated batch writes nothing twice."""
+    known = read_ledger(records.sparkSession, path)
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"k.{c}")) for c in records.columns]
+    records.alias("r").join(known.select(*records.columns).alias("k"), same, "left_anti").write.mode("append").json(path)
 
 
 def latest_states(ledger: DataFrame) -> DataFrame:

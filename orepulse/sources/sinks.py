@@ -24,13 +24,17 @@ def overwrite_keys(df: DataFrame, path: str, key: str) -> None:
     )
 
 
-def write_counted(df: DataFrame, save: Callable[[DataFrame], None], valid: str = "true") -> dict[str, int]:
-    """Save the valid rows and return ``{indexed, failed}``, counted while writing."""
+def write_counted(
+    df: DataFrame, save: Callable[[DataFrame], None], valid: str = "true", rejects: Callable[[DataFrame], None] | None = None
+) -> dict[str, int]:
+    """Save the valid rows and return ``{indexed, failed}``, counted while writing; ``rejects`` saves the others."""
     counts = Observation()
     flagged = df.withColumn("_ok", F.coalesce(F.expr(valid), F.lit(False))).observe(
         counts, F.count_if("_ok").alias("indexed"), F.count_if(~F.col("_ok")).alias("failed")
     )
     save(flagged.filter("_ok").drop("_ok"))
+    if rejects is not None:
+        rejects(df.filter(~F.coalesce(F.expr(valid), F.lit(False))))
     return dict(counts.get)
 
 

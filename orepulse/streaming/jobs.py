@@ -8,14 +8,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from orepulse.functions.numbers import exact_mean
 from orepulse.operators.insights import breach
 from orepulse.sources.ledger import append_ledger
 from orepulse.sources.sinks import overwrite_keys
 
 
 def _mean(value: str) -> Column:
-    """Mean of decimals, so that arrival order cannot change it."""
-    return F.round(F.avg(F.col(value).cast("DECIMAL(18,4)")).cast("double"), 3)
+    return F.round(exact_mean(value), 3)
 
 
 def file_stream(spark: SparkSession, path: str, schema: str, *, fmt: str = "parquet", per_trigger: int = 1000, **options: str) -> DataFrame:
@@ -43,14 +43,18 @@ def replace_by_key_stream(
     ledger: str | None = None,
     records: Callable[[DataFrame, int], DataFrame] | None = None,
 ) -> StreamingQuery:
-    """Each micro-batch replaces the key folders it touches; the ledger is written only after that succeeded."""
+    """A run replaces the key folders it touches; the ledger is written only after that succeeded.
+
+    All files that are new when the run starts form one batch, however many there are, so that no later batch of the same run can
+    replace what an earlier one wrote. A run that fails is repeated as a whole with the same batch number.
+    """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         overwrite_keys(batch, target, key)
         if ledger and records:
             append_ledger(records(batch, batch_id), ledger)
 
-    return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(once=True).start()
 
 
 def hourly_mean_stream(stream: DataFrame, moment: str, value: str, *, lateness: str = "1 hour") -> DataFrame:
