@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orepulse.llm.common import cut, drop_cut, join_bounded
+from orepulse.llm.common import cut, drop_cut, join_bounded, release_shuffles
 
 MOST_ROUNDS = 60
 
@@ -70,6 +70,7 @@ def linked(
     """
     least = members.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
     shared = cut(join_bounded(members, cut(least.select("key", "least")), "key").distinct())
+    release_shuffles(members.sparkSession)
     first = cut(verify(shared.where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()))
     found = cut(components(first))
     labelled = shared.join(found, "id", "left").select("id", "key", "least", F.coalesce("component", "id").alias("component"))
