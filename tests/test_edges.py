@@ -217,9 +217,9 @@ CASES = {
     "tire_event_id,tire_position,temperature_c,pressure_psi": ["tire_event_id", "tire_position", "temperature_c", "pressure_psi"],
     "telemetry_id,rpm,vibration_m_s2,temperature_c": ["telemetry_id", "rpm", "vibration_m_s2", "engine_temp_c"],
     "timestamp,temperature_c": ["timestamp", "unknown"],
-    "tire_position,rpm,temp": ["tire_position", "rpm", "ambiguous"],
-    "tire_position,wear_pct,rpm,temp": ["tire_position", "wear_pct", "rpm", "temperature_c"],
-    "tire_position,temperature,temp": ["tire_position", "temperature_c", "unknown"],
+    "tire_position,rpm,temperature_c": ["tire_position", "rpm", "ambiguous"],
+    "tire_position,wear_pct,rpm,temperature_c": ["tire_position", "wear_pct", "rpm", "temperature_c"],
+    "tire_position,temperature,temp": ["tire_position", "ambient_temperature", "ambient_temperature"],
 }
 
 
@@ -376,3 +376,60 @@ def test_rank_fusion_keeps_every_index(spark):
     data = [(1, "regulatory", f"r{i}", 0.3 - i / 100) for i in range(4)] + [(1, "telemetry", "t0", 3e-7), (1, "analysis", "a0", 2e-7)]
     hits = spark.createDataFrame(data, "query_id bigint, index string, locator string, score double")
     assert [r["locator"] for r in retrieval.fuse_ranks(hits).orderBy("position").collect()] == ["r0", "t0", "a0", "r1"]
+
+
+# ---- sums, dates, phones, quoted separators, windows ----
+
+
+def test_sums_are_neither_cut_nor_limited(spark):
+    from orepulse.functions.numbers import exact_mean, exact_sum
+
+    def both(values):
+        return tuple(spark.createDataFrame([(v,) for v in values], "x double").agg(exact_sum("x"), exact_mean("x")).first())
+
+    assert both([4e-5] * 1000) == pytest.approx((0.04, 4e-5))
+    assert both([2e14, 2e14]) == (4e14, 2e14)
+    assert both([1e17, 1.0, None]) == (1e17, 5e16)
+    assert both([1e300, 0.25]) == (1e300, 5e299)
+    assert both([0.1] * 10) == (1.0, 0.1)
+    assert both([None]) == (None, None)
+
+
+def test_dates_in_other_layouts(spark):
+    texts = ["2024/01/31", "31-Jan-2024", "Jan 5 2024", "20240131", "1/31/2024", "2024-01-31", "soon", ""]
+    df = spark.createDataFrame([(t,) for t in texts], "seen_date string")
+    days = [str(r[0])[:10] if r[0] else None for r in reshape.coerce_dates(df).collect()]
+    assert days == ["2024-01-31", "2024-01-31", "2024-01-05", "2024-01-31", "2024-01-31", "2024-01-31", None, None]
+    assert [tuple(r) for r in reshape.unparsed_dates(df, ["seen_date"]).collect()] == [("seen_date", 1)]
+
+
+def test_phone_shapes_are_masked(spark):
+    for text in ("555-123-4567", "+44 20 7946 0958", "555.123.4567", "+1 (988) 555-2485", "(988) 555-2485", "1-800-555-1234"):
+        assert quality.mask_identifiers(spark.createDataFrame([(f"call {text} now",)], "t string"), "t").first()[0] == "call {PHONE} now"
+    for text in ("4565-4101-2566-7261", "4565410125667261", "2024-01-31", "192.168.100.14", "123-45-6789"):
+        assert quality.mask_identifiers(spark.createDataFrame([(text,)], "t string"), "t").first()[0] == text
+
+
+def test_quoted_separators_are_no_shift(spark):
+    lines = spark.createDataFrame([(0, 'a,"x, y",c'), (1, "a,b"), (2, '"a ""q"", b",c,d')], "i int, line string")
+    assert [r["i"] for r in quality.column_count_shift(lines, "line", "i", 3).collect()] == [1]
+
+
+def test_windows_keep_every_row(spark):
+    rows_ = [("s", i, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=i)) for i in range(1700)]
+    chunks = chunking.time_window_chunks(spark.createDataFrame(rows_, "source string, id bigint, t timestamp"), "source", "t", ["id"])
+    assert chunks.select("id").distinct().count() == 1700 and chunks.select("chunk_index").distinct().count() == 4
+
+
+def test_vocabulary_has_every_field():
+    names = [row[0] for row in schema.core_vocabulary_rows()]
+    assert len(names) == len(set(names)) == 125
+
+
+def test_unusable_vectors_are_left_out_and_words_of_all_scripts_count(spark):
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [1.0]), (4, [None, 1.0])], "vec_id bigint, embedding array<double>")
+    queries = spark.createDataFrame([(1, [1.0, 0.0])], "query_id bigint, query_vector array<double>")
+    assert [r["vec_id"] for r in retrieval.nearest(vectors, queries, 5).collect()] == [1]
+    docs = spark.createDataFrame([(1, "Привет мир"), (2, "hello"), (3, None)], "doc bigint, text string")
+    out = {r["doc"]: r["embedding"] for r in retrieval.embed(docs, "doc", "text", dimension=64).collect()}
+    assert {k: sum(1 for x in v if x) for k, v in out.items()} == {1: 2, 2: 1, 3: 0} and all(len(v) == 64 for v in out.values())
