@@ -59,32 +59,31 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def linked(
-    members: DataFrame, verify: Callable[[DataFrame], DataFrame], sketches: DataFrame, plausible: Callable[[Column, Column], Column]
+    members: DataFrame, verify: Callable[[DataFrame], DataFrame], across: Callable[[DataFrame], DataFrame]
 ) -> DataFrame:
     """Components of everything that shares a bucket and passes ``verify``; ``members`` are (id, key).
 
-    First every member is held against the smallest id of its bucket. What then lies in one component needs no more comparison, so in
-    the second round only the members outside the component of their bucket's smallest id meet the members of other components. A
-    large group of copies is thus compared once per member, and no link between components is lost. ``verify`` turns pairs (a, b) into
-    those that are links. ``sketches`` (id, about) and ``plausible`` drop hopeless pairs of the second round before they are made.
+    First every member is held against the hub of its bucket, the member with the largest buckets in all: what lies in the middle of a
+    group of near copies agrees with most of them. ``verify`` turns pairs (a, b) into those that are links. What then lies in one
+    component needs no more comparison, so only the members outside the hub's component go on: ``across`` gets (key, id, component,
+    outside) of every bucket that has such members, without its hub, and returns the links (a, b) between an outside member and members
+    of other components, of which one per component is enough. A group of copies is thus compared once per member, and no link between
+    components is lost.
     """
-    least = members.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
-    shared = cut(join_bounded(members, cut(least.select("key", "least")), "key").distinct())
+    sizes = members.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count("*").alias("size")).where("least < most")
+    shared = cut(join_bounded(members, cut(sizes.select("key", "size")), "key").distinct())
     release_shuffles(members.sparkSession)
-    first = cut(verify(shared.where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()))
+    crowds = shared.groupBy("id").agg(F.sum("size").alias("crowd"))
+    hubs = shared.join(crowds, "id").groupBy("key").agg(F.max(F.struct("crowd", (-F.col("id")).alias("at"))).alias("top"))
+    placed = cut(shared.select("id", "key").join(hubs.select("key", (-F.col("top.at")).alias("hub")), "key"))
+    drop_cut(shared)
+    pairs = placed.where("id <> hub").select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct()
+    first = cut(verify(pairs))
     found = cut(components(first))
-    labelled = shared.join(found, "id", "left").select("id", "key", "least", F.coalesce("component", "id").alias("component"))
-    main = found.select(F.col("id").alias("least"), F.col("component").alias("main"))
-    labelled = labelled.join(main, "least", "left").select("id", "key", "least", "component", F.coalesce("main", "least").alias("main"))
-    labelled = cut(labelled)
+    labelled = placed.join(found, "id", "left").select("id", "key", "hub", F.coalesce("component", "id").alias("component"))
+    main = found.select(F.col("id").alias("hub"), F.col("component").alias("main"))
+    labelled = cut(labelled.join(main, "hub", "left").select("id", "key", "hub", "component", F.coalesce("main", "hub").alias("main")))
     open_keys = labelled.where("component <> main").select("key").distinct()
-    candidates = labelled.join(open_keys, "key", "left_semi").join(sketches, "id")
-    outside = candidates.where("component <> main").select("key", F.col("id").alias("x"), F.col("component").alias("cx"), F.col("about").alias("ax"))
-    others = candidates.where("id <> least").select(
-        "key", F.col("id").alias("y"), F.col("component").alias("cy"), F.col("about").alias("ay"), (F.col("component") == F.col("main")).alias("in_main")
-    )
-    different = (F.col("cx") != F.col("cy")) & (F.col("in_main") | (F.col("x") < F.col("y")))
-    pairs = outside.alias("o").join(others.alias("p"), (F.col("o.key") == F.col("p.key")) & different & plausible(F.col("ax"), F.col("ay")))
-    second = verify(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-    joins = cut(first.select("a", "b").unionByName(second.select("a", "b")))
-    return components(joins)
+    rest = labelled.where("id <> hub").join(open_keys, "key", "left_semi")
+    second = across(cut(rest.select("key", "id", "component", (F.col("component") != F.col("main")).alias("outside"))))
+    return components(cut(first.select("a", "b").unionByName(second.select("a", "b"))))

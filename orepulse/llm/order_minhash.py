@@ -10,14 +10,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orepulse.llm.common import SHINGLE_WORDS, SIMILARITY, cut, join_bounded, per_batch
 from orepulse.llm.components import linked, ranked_id
 
 SAMPLES, PICKED = 24, 5  # at shingle similarity 0.8 a pair agrees on some sample with chance 1 - (1 - 0.8 ** 5) ** 24 = 0.9999
-LEAST_EQUAL = 13  # of the 24 smallest shingles; a pair at the bound has fewer with chance 6e-4
 CHUNK_WORDS = 400_000
 LOOK = 32  # places that the alignment compares at a time
 _RANDOM = np.random.default_rng(23)
@@ -62,25 +61,22 @@ def shingle_sequences(texts: list[str | None], size: int = SHINGLE_WORDS) -> lis
     return np.split(shingles, np.cumsum(np.bincount(owner, minlength=len(words)))[:-1])
 
 
-def samples(sequences: list[np.ndarray], picked: int = PICKED) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, smallest), a row per text and a column per hash function: the ``picked`` smallest shingles in text order as one key, and
-    the smallest itself. Texts with fewer shingles give all they have; those without any must be left out before."""
+def samples(sequences: list[np.ndarray], picked: int = PICKED) -> np.ndarray:
+    """A row per text and a column per hash function: the ``picked`` smallest shingles in text order as one key. Texts with fewer
+    shingles give all they have; those without any must be left out before."""
     values = np.zeros((len(sequences), SAMPLES, picked), np.uint64)
-    least = np.empty((len(sequences), SAMPLES), np.uint64)
     for row, shingles in enumerate(sequences):
+        if len(shingles) <= picked:
+            values[row, :, : len(shingles)] = shingles
+            continue
         for some in [slice(0, SAMPLES)] if len(shingles) <= 100_000 else [slice(i, i + 1) for i in range(SAMPLES)]:
-            ranked = shingles[None, :] * FACTORS[some, None]
-            least[row, some] = shingles[ranked.argmin(axis=1)]
-            if len(shingles) > picked:
-                at = np.argpartition(ranked, picked - 1, axis=1)[:, :picked]
-                at.sort(axis=1)
-                values[row, some] = shingles[at]
-            else:
-                values[row, some, : len(shingles)] = shingles
-    keys = np.broadcast_to(np.arange(1, SAMPLES + 1, dtype=np.uint64) * LABEL, least.shape)
+            at = np.argpartition(shingles[None, :] * FACTORS[some, None], picked - 1, axis=1)[:, :picked]
+            at.sort(axis=1)
+            values[row, some] = shingles[at]
+    keys = np.broadcast_to(np.arange(1, SAMPLES + 1, dtype=np.uint64) * LABEL, values.shape[:2])
     for i in range(picked):
         keys = mix((keys ^ values[:, :, i]) * LABEL)
-    return keys.view(np.int64), least.view(np.int64)
+    return keys.view(np.int64)
 
 
 def aligned(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
@@ -146,19 +142,17 @@ def _placed(values: np.ndarray, rows: list[int], n: int) -> list:
 
 
 def sketches(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
-    """``doc_id, k1, k2, keys, least``: the digest of the text, the sample keys and the smallest shingles of every row."""
+    """``doc_id, k1, k2, keys``: the digest of the text and the sample keys of every row."""
 
     def work(texts: list) -> list:
-        keys, least = [], []
+        keys = []
         for part in _chunks(texts):
             sequences = shingle_sequences(part, size)
             full = [i for i, s in enumerate(sequences) if len(s)]
-            k, x = samples([sequences[i] for i in full])
-            keys += _placed(k, full, len(part))
-            least += _placed(x, full, len(part))
-        return [keys, least]
+            keys += _placed(samples([sequences[i] for i in full]), full, len(part))
+        return [keys]
 
-    return per_batch(digested(docs), work, "keys array<long>, least array<long>")
+    return per_batch(digested(docs), work, "keys array<long>")
 
 
 def digested(docs: DataFrame) -> DataFrame:
@@ -166,26 +160,47 @@ def digested(docs: DataFrame) -> DataFrame:
     return docs.where("text is not null").select("doc_id", "text", F.xxhash64("text").alias("k1"), F.xxhash64("text", F.lit(1)).alias("k2"))
 
 
-def plausible(x: Column, y: Column) -> Column:
-    """Whether enough of the smallest shingles agree for an alignment to be worth trying."""
-    equal = F.lit(0)
-    for i in range(SAMPLES):
-        equal = equal + (F.get(x, F.lit(i)) == F.get(y, F.lit(i))).cast("int")
-    return equal >= LEAST_EQUAL
+def links_across(left: pd.DataFrame, right: pd.DataFrame, similarity: float) -> list[tuple[int, int]]:
+    """For each left text one link to every other component of the right side that has a text like it; columns id, component, s.
+
+    The numbers of shared shingles with all right texts come from one pass; only texts that share enough are aligned.
+    """
+    others = [np.frombuffer(s, np.uint32) for s in right["s"]]
+    sizes = np.array([len(s) for s in others])
+    values, where = np.unique(np.concatenate(others), return_inverse=True)
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    ids, groups = right["id"].to_numpy(), right["component"].to_numpy()
+    out, mark = [], np.zeros(len(values), np.int64)
+    for own, group, data in zip(left["id"], left["component"], left["s"]):
+        mine = np.frombuffer(data, np.uint32)
+        at = np.minimum(np.searchsorted(values, mine), len(values) - 1)
+        at = at[values[at] == mine]
+        mark[at] = 1
+        shared = np.add.reduceat(mark[where], starts)
+        mark[at] = 0
+        enough = np.flatnonzero((shared >= similarity * (len(mine) + sizes - shared) - 1e-9) & (groups != group))
+        done: set[int] = set()
+        for i in enough[np.argsort(-shared[enough], kind="stable")]:
+            if groups[i] not in done and aligned(mine, others[i], similarity):
+                done.add(groups[i])
+                out.append((own, ids[i]))
+    return out
+
+
+BLOCK = 512  # texts of a bucket that are compared with as many others in one task
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE_WORDS) -> DataFrame:
     """``k1, k2, keeper`` of every text: the row that stays for its class, as (no_id, doc_id, k1, k2), smallest first."""
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k1", "k2")
     found = sketches(docs, size).groupBy("k1", "k2").agg(
-        F.min(row).alias("first"), F.count("*").alias("n"), F.first("keys").alias("keys"), F.first("least").alias("least")
+        F.min(row).alias("first"), F.count("*").alias("n"), F.first("keys").alias("keys")
     )
     marked = cut(found.withColumn("id", ranked_id(F.col("n"))))
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        pairs = cut(pairs)
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        wanted = cut(marked.select("id", "k1", "k2", "first.doc_id").join(ids, "id"))
+    def sequences(ids: DataFrame) -> DataFrame:
+        """``id, s``: the folded shingle hashes of texts; 32 bits are enough to tell the shingles of two texts apart."""
+        wanted = cut(marked.select("id", "k1", "k2", "first.doc_id").join(ids.distinct(), "id"))
         texts = join_bounded(digested(docs).select("k1", "k2", "doc_id", "text"), wanted.withColumnRenamed("doc_id", "of"), ["k1", "k2"])
         texts = texts.where(F.col("doc_id").eqNullSafe(F.col("of"))).select("id", "text")
 
@@ -193,18 +208,41 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE
             parts = [shingle_sequences(part, size) for part in _chunks(texts)]
             return [[(s >> np.uint64(32)).astype(np.uint32).tobytes() for part in parts for s in part]]
 
+        return cut(per_batch(texts, cut_up, "s binary").dropDuplicates(["id"]))
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        pairs = cut(pairs)
+        found = sequences(pairs.select(F.explode(F.array("a", "b")).alias("id")))
+
         def compare(batches):
             for batch in batches:
                 alike = [aligned(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32), similarity) for x, y in zip(batch["x"], batch["y"])]
                 yield batch.loc[alike, ["a", "b"]]
 
-        sequences = cut(per_batch(texts, cut_up, "s binary").dropDuplicates(["id"]))
-        left, right = sequences.select(F.col("id").alias("a"), F.col("s").alias("x")), sequences.select(F.col("id").alias("b"), F.col("s").alias("y"))
+        left, right = found.select(F.col("id").alias("a"), F.col("s").alias("x")), found.select(F.col("id").alias("b"), F.col("s").alias("y"))
         fits = F.least(F.length("x"), F.length("y")) >= F.lit(similarity) * F.greatest(F.length("x"), F.length("y"))
         return pairs.join(left, "a").join(right, "b").where(fits).select("a", "b", "x", "y").mapInPandas(compare, "a long, b long")
 
+    def across(rest: DataFrame) -> DataFrame:
+        counts = rest.groupBy("key").agg(
+            F.ceil(F.count_if("outside") / BLOCK).cast("int").alias("left_blocks"), F.ceil(F.count("*") / BLOCK).cast("int").alias("right_blocks")
+        )
+        rest = rest.join(counts, "key")
+        own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        left = rest.where("outside").select("key", own("left_blocks").alias("i"), every("right_blocks").alias("j"), F.lit(True).alias("left"), "id", "component")
+        right = rest.select("key", every("left_blocks").alias("i"), own("right_blocks").alias("j"), F.lit(False).alias("left"), "id", "component")
+        dealt = left.unionByName(right).join(sequences(rest.select("id")), "id")
+
+        def compare(group: pd.DataFrame) -> pd.DataFrame:
+            sides = [group[group["left"]], group[~group["left"]]]
+            found = links_across(*sides, similarity) if all(map(len, sides)) else []
+            return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
+
+        return dealt.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+
     members = marked.select("id", F.explode("keys").alias("key"))
-    found = cut(linked(members, verify, marked.select("id", F.col("least").alias("about")), plausible))
+    found = cut(linked(members, verify, across))
     joined = marked.select("id", "k1", "k2", "first").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     keepers = joined.groupBy("component").agg(F.min("first").alias("keeper"))
     return joined.join(keepers, "component").select("k1", "k2", "keeper")
