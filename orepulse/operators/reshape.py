@@ -262,3 +262,21 @@ def chart_series(df: DataFrame, group: str, date: str, values: Sequence[str]) ->
         for v in values:
             cells.append(F.max(F.when(F.col(group) == n, F.col(v))).alias(f"{n}_{v}"))
     return df.groupBy(date).agg(*cells)
+
+
+def duration_us(start: str, end: str) -> Column:
+    """Microseconds from one time column to another; null when either is missing."""
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    return micros(end) - micros(start)
+
+
+def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The whole first row of every key in ``order`` (nulls first), by an aggregation that keeps one row per key and task."""
+    row = F.struct(*df.columns)
+    first = df.groupBy(*keys).agg(F.min_by(row, F.struct(*order)).alias("_first"))
+    return first.select(*[F.col(f"_first.{c}").alias(c) for c in df.columns])
+
+
+def uncovered_columns(present: DataFrame, covered: DataFrame, key: str, column: str) -> DataFrame:
+    """Columns of ``present`` (key, column) that ``covered`` does not name for the key, so that every column is covered once."""
+    return present.select(key, column).distinct().join(covered.select(key, column).distinct(), [key, column], "left_anti")

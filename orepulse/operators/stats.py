@@ -171,3 +171,20 @@ def time_series(
         if agg in ("sum", "count"):
             series = series.fillna(0.0, subset=list(values))
     return series.select(*keys, period_end(F.col("_start").cast("timestamp"), freq).alias("period_end"), *values)
+
+
+def ends_per_group(means: DataFrame, group: str, entity: str, value: str, n: int = 3) -> DataFrame:
+    """``group, side, position, entity, value``: the ``n`` highest and lowest entities of every group, ties by entity."""
+    sides = []
+    for side, direction in (("top", F.desc), ("bottom", F.asc)):
+        order = Window.partitionBy(group).orderBy(direction(value), F.asc(entity))
+        ranked = means.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= n)
+        sides.append(ranked.select(group, F.lit(side).alias("side"), F.col("position").cast("bigint").alias("position"), entity, value))
+    return sides[0].unionByName(sides[1])
+
+
+def first_last_change(df: DataFrame, group: str, value: str, order: Sequence[str]) -> DataFrame:
+    """First and last value of every group and the change in percent of the first, one decimal; null on a first value of 0."""
+    at = F.struct(*order)
+    ends = df.groupBy(group).agg(F.min_by(value, at).alias("first"), F.max_by(value, at).alias("last"))
+    return ends.withColumn("pct_change", F.round(F.try_divide(F.col("last") - F.col("first"), F.abs("first")) * 100, 1))

@@ -253,6 +253,14 @@ def run_log_status(logs: DataFrame, request: str, message: str, moment: str) ->
     return facts.select(request, "started", status.alias("status"), "file_key", "sections", "pages", "duration_s")
 
 
+def page_counters(df: DataFrame, amount: str, risk: str, *, overdue: float = 0.7, critical: float = 0.9) -> DataFrame:
+    """Total and mean of an amount, and how many rows lie above the two risk levels."""
+    return df.agg(
+        exact_sum(amount).alias("total_litres"), F.round(F.avg(amount), 3).alias("average_litres"),
+        F.count_if(F.col(risk) > overdue).alias("overdue"), F.count_if(F.col(risk) > critical).alias("critical"),
+    )
+
+
 def stage_summary(stages: DataFrame, run: str) -> DataFrame:
     """Whether every stage of a run succeeded or was skipped, the failed ones, and the total time."""
     fine = F.col("success") | F.col("skipped")

@@ -314,15 +314,15 @@ def _cumulative(spark, sf):
 )
 def _duration(spark, sf):
     fv = fleet_view(spark, sf)
-    return fv.select(*FLEET_ORDER, (F.unix_micros(F.col("dump_time").cast("timestamp")) - F.unix_micros(F.col("load_start_time").cast("timestamp"))).alias("duration_us"))
+    return fv.select(*FLEET_ORDER, reshape.duration_us("load_start_time", "dump_time").alias("duration_us"))
 
 
 @suite.query(
     "window_keep_first_dedup",
-    "SELECT source, lang, MIN(doc_id) AS doc_id FROM documents GROUP BY source, lang",
+    "SELECT source, lang, doc_id, n_chars FROM documents QUALIFY ROW_NUMBER() OVER (PARTITION BY source, lang ORDER BY doc_id) = 1",
 )
 def _dedup(spark, sf):
-    return table(spark, sf, "documents").groupBy("source", "lang").agg(F.min("doc_id").alias("doc_id"))
+    return reshape.keep_first(table(spark, sf, "documents").select("source", "lang", "doc_id", "n_chars"), ["source", "lang"], ["doc_id"])
 
 
 # ---- profiles and row quality ---------------------------------------------------------------
@@ -800,16 +800,16 @@ _FACTS_SQL = (
 )
 suite.add(
     "schema_recommendations",
-    lambda spark, sf: schema.recommendations(facts(spark, sf)).filter("recommendation NOT LIKE 'Analyse event%'").select("source_file", "recommendation"),
-    _FACTS_SQL + "SELECT * FROM (SELECT source_file, 'Calculate KPIs: fuel_efficiency, idle_rate.' AS recommendation FROM f UNION ALL "
-    "SELECT source_file, 'Rank ' || e1 || ' by ' || m1 || ' to identify top and bottom performers.' FROM f UNION ALL "
-    "SELECT source_file, 'Aggregate ' || m1 || ' over time using ' || d1 || ' to detect trends (use freq=''W'' for weekly or ''ME'' for monthly).' FROM f UNION ALL "
-    "SELECT source_file, 'Detect outliers in ' || m1 || COALESCE(' grouped by ' || e1, '') || '.' FROM f) WHERE recommendation IS NOT NULL",
+    lambda spark, sf: schema.recommendations(facts(spark, sf)).filter("recommendation NOT LIKE 'Measure the time%'").select("source_file", "recommendation"),
+    _FACTS_SQL + "SELECT * FROM (SELECT source_file, 'Ready to compute: fuel_efficiency, idle_rate.' AS recommendation FROM f UNION ALL "
+    "SELECT source_file, 'Order ' || e1 || ' by ' || m1 || ' and look at both ends.' FROM f UNION ALL "
+    "SELECT source_file, 'Follow ' || m1 || ' along ' || d1 || ', weekly or monthly, for its direction.' FROM f UNION ALL "
+    "SELECT source_file, 'Check ' || m1 || ' for extreme values' || COALESCE(' within each ' || e1, '') || '.' FROM f) WHERE recommendation IS NOT NULL",
 )
 suite.add(
     "schema_summary_text",
     lambda spark, sf: schema.summary_text(facts(spark, sf)),
     _FACTS_SQL + "SELECT f.source_file, CONCAT_WS(' ', '''' || f.source_file || ''' — ' || row_count || ' rows, ' || n || ' columns.', "
-    "'Entity/ID columns: ' || es || '.', 'Temporal columns: ' || ds || '.', 'Metric columns: ' || ms || '.', "
-    "'Computable KPIs: fuel_efficiency, idle_rate.') AS summary FROM f JOIN z ON z.source_file = f.source_file",
+    "'Identifiers: ' || es || '.', 'Times: ' || ds || '.', 'Measures: ' || ms || '.', "
+    "'KPIs at hand: fuel_efficiency, idle_rate.') AS summary FROM f JOIN z ON z.source_file = f.source_file",
 )

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orepulse.functions.numbers import exact_sum
 from orepulse.functions import text as fx
 from orepulse.operators import retrieval
 from orepulse.operators.kpi import REGISTRY, SECTION_KPIS
@@ -346,10 +345,7 @@ def _breakdown(spark, sf):
     "COUNT(*) FILTER (WHERE failure_probability > 0.7) AS overdue, COUNT(*) FILTER (WHERE failure_probability > 0.9) AS critical FROM fv",
 )
 def _counters(spark, sf):
-    return fleet_view(spark, sf).agg(
-        exact_sum("fuel_litres").alias("total_litres"), F.round(F.avg("fuel_litres"), 3).alias("average_litres"),
-        F.count_if(F.col("failure_probability") > 0.7).alias("overdue"), F.count_if(F.col("failure_probability") > 0.9).alias("critical"),
-    )
+    return api.page_counters(fleet_view(spark, sf), "fuel_litres", "failure_probability")
 
 
 _ALERTS = "SELECT CASE WHEN event_type = 'view' THEN 'resolved' ELSE 'open' END AS status, CASE WHEN event_type = 'error' THEN 'critical' ELSE 'info' END AS severity FROM events"
@@ -584,7 +580,7 @@ suite.add(
 )
 suite.add(
     "sink_vectors_per_source",
-    lambda spark, sf: table(spark, sf, "documents").groupBy(F.coalesce(F.when(F.col("doc_id") % 10 > 0, F.col("source")), F.lit("unknown")).alias("source")).agg(F.count(F.lit(1)).alias("vectors")),
+    lambda spark, sf: sinks.vectors_per_source(table(spark, sf, "documents").withColumn("source", F.when(F.col("doc_id") % 10 > 0, F.col("source"))), "source"),
     "SELECT COALESCE(CASE WHEN doc_id % 10 > 0 THEN source END, 'unknown') AS source, COUNT(*) AS vectors FROM documents GROUP BY 1",
 )
 suite.add(

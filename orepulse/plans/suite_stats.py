@@ -253,12 +253,7 @@ def _per_client(spark, sf):
     means = fleet_view(spark, sf).groupBy("client_id", "equipment_id").agg(
         F.round(stats.aggregate("payload_tonnes", "mean"), 3).alias("value")
     )
-    sides = []
-    for side, direction in (("top", F.desc), ("bottom", F.asc)):
-        order = Window.partitionBy("client_id").orderBy(direction("value"), F.asc("equipment_id"))
-        ranked = means.withColumn("position", F.row_number().over(order)).filter("position <= 3")
-        sides.append(ranked.select("client_id", F.lit(side).alias("side"), F.col("position").cast("bigint").alias("position"), "equipment_id", "value"))
-    return sides[0].unionByName(sides[1])
+    return stats.ends_per_group(means, "client_id", "equipment_id", "value")
 
 
 @suite.query(
@@ -268,6 +263,4 @@ def _per_client(spark, sf):
     "FROM events GROUP BY event_type",
 )
 def _first_last(spark, sf):
-    at = F.struct("ts", "event_id")
-    ends = table(spark, sf, "events").groupBy("event_type").agg(F.min_by("value", at).alias("first"), F.max_by("value", at).alias("last"))
-    return ends.withColumn("pct_change", F.round((F.col("last") - F.col("first")) / F.abs("first") * 100, 1))
+    return stats.first_last_change(table(spark, sf, "events"), "event_type", "value", ["ts", "event_id"])

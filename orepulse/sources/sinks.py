@@ -50,3 +50,8 @@ def index_counts(indexes: dict[str, DataFrame]) -> DataFrame:
     for part in parts[1:]:
         union = union.unionByName(part)
     return union.groupBy("index").agg(F.count(F.lit(1)).alias("documents"))
+
+
+def vectors_per_source(vectors: DataFrame, source: str) -> DataFrame:
+    """Stored vectors per source; rows without one count as unknown."""
+    return vectors.groupBy(F.coalesce(F.col(source), F.lit("unknown")).alias("source")).agg(F.count(F.lit(1)).alias("vectors"))
