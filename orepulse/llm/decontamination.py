@@ -127,3 +127,22 @@ def clean(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, siz
     """``docs`` without the documents that hold a passage like an item."""
     bad = cut(contaminated(docs, items, similarity, size).select(F.col("doc_id").alias("_bad")).distinct())
     return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+
+
+# For items of at least five words; windows are laid as above and every item of their length is compared.
+SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
+i AS (SELECT item_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),
+ish AS (SELECT item_id, len(w) AS size, there, array_to_string(w[there:there + 4], ' ') AS s FROM i, LATERAL (SELECT unnest(range(1, len(w) - 3)) AS there)),
+dsh AS (SELECT doc_id, w, place, array_to_string(w[place:place + 4], ' ') AS s FROM d, LATERAL (SELECT unnest(range(1, len(w) - 3)) AS place)),
+starts AS (SELECT DISTINCT doc_id, w, size, GREATEST(0, LEAST(place - there, len(w) - size)) AS start FROM dsh JOIN (SELECT DISTINCT size, there, s FROM ish) USING (s)),
+windows AS (SELECT DISTINCT doc_id, size, w[start + 1:start + size] AS v FROM starts),
+kinds AS (SELECT row_number() OVER () AS k, size, v FROM (SELECT DISTINCT size, v FROM windows)),
+wc AS (SELECT k, size, s, COUNT(*) AS c FROM (SELECT k, size, array_to_string(v[p:p + 4], ' ') AS s FROM kinds, LATERAL (SELECT unnest(range(1, GREATEST(2, len(v) - 3))) AS p)) GROUP BY ALL),
+wt AS (SELECT k, SUM(c) AS t FROM wc GROUP BY k),
+ic AS (SELECT item_id, size, s, COUNT(*) AS c FROM ish GROUP BY ALL), it AS (SELECT item_id, SUM(c) AS t FROM ic GROUP BY item_id),
+common AS (SELECT k, item_id, SUM(LEAST(wc.c, ic.c)) AS m FROM wc JOIN ic USING (size, s) GROUP BY ALL),
+alike AS (SELECT k, item_id, CAST(m AS DOUBLE) / CAST(wt.t + it.t - m AS DOUBLE) AS similarity FROM common JOIN wt USING (k) JOIN it USING (item_id))
+SELECT doc_id, item_id, MAX(similarity) AS similarity
+FROM alike JOIN kinds USING (k) JOIN windows USING (size, v) WHERE similarity >= 0.8 GROUP BY doc_id, item_id
+"""

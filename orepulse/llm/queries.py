@@ -50,7 +50,7 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     return chat.digests(chat.format_chats(records))
 
 
-@suite.query("op4_embedding_near_duplicates")
+@suite.query("op4_embedding_near_duplicates", sql=vectors.SQL)
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     return vectors.near_vectors(table(spark, folder, "embeddings"))
 
@@ -62,9 +62,10 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed")
 
 
-@suite.query("op8_benchmark_decontamination")
+@suite.query("op8_benchmark_decontamination", sql=decontamination.SQL)
 def op8(spark: SparkSession, folder: str) -> DataFrame:
-    return decontamination.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    found = decontamination.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select("doc_id", "item_id", "similarity")
 
 
 @suite.query("op9_order_minhash_near_duplicates")

@@ -127,3 +127,19 @@ def near_vectors(
         "vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),
         F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"),
     )
+
+
+SQL = """
+WITH RECURSIVE good AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.95
+), reach(id, other) AS (
+  SELECT vec_id, vec_id FROM embeddings UNION SELECT links.a, reach.other FROM reach JOIN links ON links.b = reach.id
+), least AS (SELECT id, MIN(other) AS component_id FROM reach GROUP BY id),
+counts AS (SELECT a, COUNT(*) AS n FROM links GROUP BY a)
+SELECT v.vec_id, CAST(COALESCE(n, 0) AS BIGINT) AS n_links, component_id, v.vec_id = component_id AS kept
+FROM embeddings v JOIN least ON least.id = v.vec_id LEFT JOIN counts ON counts.a = v.vec_id
+"""
