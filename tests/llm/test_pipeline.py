@@ -44,7 +44,7 @@ def test_stages_against_brute_force(spark, folder):
     columns = docs.columns
     good = stages["quality"](spark, docs, folder).cache()
     assert good.columns == columns
-    assert {r.doc_id for r in good.collect()} == {r.doc_id for r in docs.collect() if r.doc_id >= 120 or r.doc_id % 5 != 1}
+    assert {r.doc_id for r in good.collect()} == {d for d in range(120) if d % 5 != 1}  # empty texts have none of a good text's features and go too
     short = stages["lines"](spark, good, folder).cache()
     assert short.columns == columns
     gone = repeated([(r.doc_id, r.text) for r in good.where("doc_id <> 5").collect()])
