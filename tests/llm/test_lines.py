@@ -70,3 +70,14 @@ def test_edges(spark):
     out = sorted(((r.doc_id, r.text, r.removed) for r in dedup_lines(docs).collect()), key=str)
     assert out == sorted([(1, None, "k"), (2, "", "k"), (3, "", "k"), (3, "", "k"), (None, "a\nb", "k"), (5, long, "k"), (6, long + "!", "k"), (7, "é😀漢" * 9, "k")], key=str)
     assert dedup_lines(docs.limit(0)).count() == 0
+
+
+def test_small_sets_at_the_bound_are_found(spark):
+    """4 of 5 shingles alike: the bands lose about 2 in 1000 such pairs, and nothing else may lose more."""
+    rng = random.Random(6)
+    rows = []
+    for d in range(3000):
+        line = "".join(chr(rng.randrange(0x4E00, 0x9F00)) for _ in range(8))
+        rows.append((d, line[:7] + "\n" + line))
+    found = removed_lines(spark.createDataFrame(rows, "doc_id long, text string"), size=4).where("cardinality(removed) = 1").count()
+    assert found >= 2973
