@@ -23,7 +23,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def cut_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, each with the lines that no earlier line resembles; ``n_chars`` follows the text."""
-    return _counted(lines.dedup_lines(docs))
+    return _counted(lines.dedup_lines(docs, size=lines.SHORT_SHINGLE))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -58,7 +58,7 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 @suite.query("op3_fuzzy_line_dedup")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
-    found = lines.removed_lines(docs)
+    found = lines.removed_lines(docs, size=lines.SHORT_SHINGLE)
     return found.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed")
 
 

@@ -1,5 +1,6 @@
 import random
 
+import corpus_pipeline
 from orepulse.llm.lines import dedup_lines, removed_lines
 
 SIZE, BOUND = 12, 0.8
@@ -81,3 +82,18 @@ def test_small_sets_at_the_bound_are_found(spark):
         rows.append((d, line[:7] + "\n" + line))
     found = removed_lines(spark.createDataFrame(rows, "doc_id long, text string"), size=4).where("cardinality(removed) = 1").count()
     assert found >= 2973
+
+
+def test_one_edit_in_lines_of_usual_length(spark):
+    """The pipeline's stage takes lines for alike that differ in one character from 40 characters on, or in one six-letter word from 90 on."""
+    rng, rows = random.Random(12), []
+    for size in range(40, 121, 10):
+        for _ in range(10):
+            line = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(size))
+            at = rng.randrange(10, size - 16)
+            rows.append((len(rows), line + "\n" + line[:at] + "#" + line[at + 1 :], 1))
+            if size >= 90:
+                rows.append((len(rows), line[::-1] + "\n" + line[::-1][:at] + "ABCDEF" + line[::-1][at + 6 :], 1))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    left = [r for r in corpus_pipeline.cut_lines(spark, docs, "").collect() if "\n" in r.text]
+    assert len(left) <= 2
