@@ -2,12 +2,14 @@
 
 An Aho-Corasick automaton lists all vocabulary pieces that end at a character; dynamic programming carries the best score and its
 number of pieces to every character. Ties go to the path whose last piece starts first, as the tokenizer does when it walks the text
-from the left and replaces a path only by a strictly better one. Spaces become the word mark, which starts a word; words are
-independent, so the count of a word is remembered.
+from the left and replaces a path only by a strictly better one. Spaces become the word mark. A unit is a run of marks and the word that
+follows; no piece spans the border before a run, so units are independent and their counts are remembered. A vocabulary with pieces
+that do span such a border is counted over whole texts.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 import ahocorasick
@@ -18,8 +20,10 @@ from orepulse.llm.common import per_batch
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0  # fixed value of the tokenizer: an unknown character scores so much below the worst piece
-MAX_REMEMBERED = 400_000  # words remembered per task; a full memory starts afresh
-MAX_WORD = 200  # longer words are counted, not remembered
+MAX_REMEMBERED = 400_000  # units remembered per task; a full memory starts afresh
+MAX_WORD = 200  # longer units are counted, not remembered
+UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")  # a run of marks and the word after it
+ONE_MARK = re.compile(f"{MARK}[^{MARK}]*")  # the cut of a tokenizer that splits its text at every mark
 
 
 def read_vocabulary(path: str = VOCABULARY) -> list[tuple[str, float]]:
@@ -35,24 +39,29 @@ def read_vocabulary(path: str = VOCABULARY) -> list[tuple[str, float]]:
 
 
 class Counter(dict):
-    """``counter[word]``: number of pieces of a word, worked out on first use."""
+    """``counter[unit]``: number of pieces of a unit, worked out on first use.
 
-    def __init__(self, vocabulary: Sequence[tuple[str, float]]):
+    ``whole_runs`` keeps the spaces of a run together, as the tokenizer does; without it every mark starts a unit.
+    """
+
+    def __init__(self, vocabulary: Sequence[tuple[str, float]], whole_runs: bool = False):
         super().__init__()
+        self.unit = UNIT if whole_runs else ONE_MARK
         self.automaton = ahocorasick.Automaton()
         for piece, score in vocabulary:
             self.automaton.add_word(piece, (len(piece), score))
         self.single = {piece for piece, _ in vocabulary if len(piece) == 1}
         self.unknown = min((score for _, score in vocabulary), default=0.0) - UNKNOWN_PENALTY
+        self.apart = not whole_runs or not any(re.search(f"[^{MARK}]{MARK}", piece) for piece, _ in vocabulary)
         if vocabulary:
             self.automaton.make_automaton()
 
-    def __missing__(self, word: str) -> int:
-        count = self.pieces(MARK + word)
-        if len(word) <= MAX_WORD:
+    def __missing__(self, unit: str) -> int:
+        count = self.pieces(unit)
+        if len(unit) <= MAX_WORD:
             if len(self) >= MAX_REMEMBERED:
                 self.clear()
-            self[word] = count
+            self[unit] = count
         return count
 
     def pieces(self, word: str) -> int:
@@ -86,8 +95,9 @@ class Counter(dict):
         if not text:
             return 0
         marked = text.replace(" ", MARK)
-        words = marked.split(MARK)
-        return sum(map(self.__getitem__, words[1:] if marked.startswith(MARK) else words))
+        if not marked.startswith(MARK):
+            marked = MARK + marked
+        return sum(map(self.__getitem__, self.unit.findall(marked))) if self.apart else self.pieces(marked)
 
 
 def count_tokens(docs: DataFrame, vocabulary: Sequence[tuple[str, float]] | str = VOCABULARY) -> DataFrame:
@@ -102,7 +112,7 @@ def count_tokens(docs: DataFrame, vocabulary: Sequence[tuple[str, float]] | str
 
     def work(texts: list) -> list:
         if not counters:
-            counters.append(Counter(shipped.value))
+            counters.append(Counter(shipped.value, whole_runs=True))
         return [[counters[0].text(t) for t in texts]]
 
     return per_batch(docs.select("doc_id", "text"), work, "n_tokens long")

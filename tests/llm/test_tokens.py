@@ -44,3 +44,24 @@ def test_edges(spark):
     rows = sorted((r.doc_id or -1, r.n_tokens) for r in count_tokens(docs).collect())
     assert rows[0][0] == -1 and rows[1:3] == [(1, 0), (2, 0)] and rows[3][1] == rows[0][1] == 2
     assert count_tokens(docs.limit(0)).count() == 0
+
+
+def test_runs_of_spaces_as_in_an_unsplit_tokenizer(spark, vocabulary):
+    worst = min(s for _, s in vocabulary)
+    extra = [("<unk>", 0.0)] + [(f"<0x{b:02X}>", 0.0) for b in range(256)]
+    tokenizer = Tokenizer(models.Unigram(extra + [(p, max(s, worst)) for p, s in vocabulary], 0, True))
+    tokenizer.pre_tokenizer = pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always", split=False)
+    counter = Counter(vocabulary, whole_runs=True)
+    assert counter.text("a" + " " * 8 + "b") == 3 and counter.text("x" + " " * 40 + "y") == 5
+    rng = random.Random(9)
+    texts = [" " * n for n in range(1, 40)] + ["    if x:\n        return y\n", "a  b   c    d", "   lead", "tail   ", "| a      | b  |"]
+    texts += ["".join(rng.choice(["a", "the", " ", "   ", "\n", " " * rng.randrange(1, 30), "▁", "é"]) for _ in range(rng.randrange(30))) for _ in range(500)]
+    for text in texts:
+        assert counter.text(text) == len(tokenizer.encode(text, add_special_tokens=False).ids), text
+    docs = spark.createDataFrame([(1, "a" + " " * 8 + "b"), (2, "x" + " " * 40 + "y")], "doc_id long, text string")
+    assert [r.n_tokens for r in count_tokens(docs).orderBy("doc_id").collect()] == [3, 5]
+
+
+def test_pieces_over_the_border_of_a_unit():
+    scores = [("▁", -1.0), ("a", -1.0), ("b", -1.0), ("a▁b", -1.5)]
+    assert Counter(scores, whole_runs=True).text("a b") == 2
