@@ -18,7 +18,7 @@ from orepulse.llm.common import cut, remainder
 
 DEPTH = 5  # bytes of context, at most; a context and its next symbol must fit into 63 bits
 LEAST_GAIN = 12.0  # divergence in nats, times occurrences, that a kept context needs
-MOST_GRAMS = 1 << 20  # (context, next) pairs that the tasks hold: with 16 bytes each the bound of what is sent to them
+MOST_GRAMS = 1 << 20  # pairs that the tasks hold, the whole model or the most frequent sequences; all others are looked up by a join
 MOST_WORDS = 200_000  # frequent words whose counts the tasks hold; all others are looked up by a join
 HELD_OUT, FOLDS = 2, 7
 END_WORD = b"\n"  # fixed value: the end token, which no word equals
@@ -78,11 +78,10 @@ def count_grams(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     return docs.select("text").mapInPandas(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
-def tree(full: DataFrame, depth: int = DEPTH, least_gain: float = LEAST_GAIN, most_grams: int = MOST_GRAMS) -> DataFrame:
+def tree(full: DataFrame, depth: int = DEPTH, least_gain: float = LEAST_GAIN) -> DataFrame:
     """``gram, level, p``: smoothed probabilities of the next symbol in every kept context, level 0 being the empty context.
 
-    The smoothing of Witten and Bell: ``(n + kinds * parent) / (total + kinds)``. If more pairs pass the test than ``most_grams``, the
-    contexts with the largest gains are kept; the bound is on the size of the model, not on what is counted.
+    The smoothing of Witten and Bell: ``(n + kinds * parent) / (total + kinds)``. Every context that passes the test is kept.
     """
     level = full.select("gram", "n")
     levels = {depth: level}
@@ -103,36 +102,40 @@ def tree(full: DataFrame, depth: int = DEPTH, least_gain: float = LEAST_GAIN, mo
         smooth = smooth.withColumn("p", (F.col("n") + F.col("kinds") * F.col("q")) / (F.col("total") + F.col("kinds")))
         smooth = cut(smooth.select("gram", "context", "n", "total", "kinds", "q", "p"))
         divergence = F.sum(F.col("n") * F.log((F.col("n") / F.col("total")) / F.col("q"))).alias("gain")
-        gains = smooth.groupBy("context").agg(divergence, F.max("kinds").alias("size"))
-        kept.append(gains.where((F.col("gain") >= least_gain) | F.lit(d == 0)).select(F.lit(d).alias("level"), "context", "gain", "size"))
+        gains = smooth.groupBy("context").agg(divergence)
+        kept.append(gains.where((F.col("gain") >= least_gain) | F.lit(d == 0)).select("context"))
         parent = smooth
         levels[d] = smooth
-    contexts = kept[0]
-    for more in kept[1:]:
-        contexts = contexts.unionByName(more)
-    contexts = cut(contexts)
-    bar = _bar(contexts, most_grams)
-    chosen = contexts.where((F.col("gain") >= bar) | (F.col("level") == 0)).select("level", "context")
     out = None
     for d in range(depth + 1):
-        here = levels[d].join(chosen.where(F.col("level") == d), "context").select(
+        here = levels[d].join(kept[d], "context").select(
             "gram", F.lit(d).alias("level"), "p", (F.col("kinds") / (F.col("total") + F.col("kinds"))).alias("back")
         )
         out = here if out is None else out.unionByName(here)
     return out
 
 
-def _bar(contexts: DataFrame, most_grams: int) -> float:
-    """The smallest gain at which the pairs of all contexts with that gain or more fit into the bound (gains by powers of 1.25)."""
-    step = F.floor(F.log(1.25, F.greatest(F.col("gain"), F.lit(1e-9))))
-    steps = contexts.where("level > 0").groupBy(step.alias("step")).agg(F.sum("size").alias("size")).orderBy(F.desc("step")).collect()
-    total, bar = 0, 0.0
-    for row in steps:  # at most a few hundred powers of 1.25
-        total += row["size"]
-        if total > most_grams:
-            return bar if bar else float("inf")
-        bar = 1.25 ** row["step"]
-    return 0.0
+def sequence_values(full: DataFrame, model: DataFrame, depth: int) -> DataFrame:
+    """``gram, value``: log10 probability of the last byte of every full-depth sequence of ``full``, by joins with the model.
+
+    Level by level over the distinct shorter sequences, so that a key has at most 256 rows.
+    """
+    shorts = {depth: full.select("gram")}
+    for d in range(depth - 1, -1, -1):
+        shorts[d] = shorts[d + 1].select(F.col("gram").bitwiseAND((1 << (8 * (d + 1))) - 1).alias("gram")).distinct()
+    values = None
+    for d in range(depth + 1):
+        pairs = model.where(F.col("level") == d)
+        contexts = pairs.groupBy(F.shiftright("gram", 8).alias("context")).agg(F.first("back").alias("back"))
+        rows = shorts[d].withColumn("context", F.shiftright("gram", 8)).join(pairs.select("gram", "p"), "gram", "left").join(contexts, "context", "left")
+        if values is None:
+            rows = rows.withColumn("q", F.lit(1 / 256.0))
+        else:
+            shorter = values.select(F.col("gram").alias("short"), "q")
+            rows = rows.withColumn("short", F.col("gram").bitwiseAND((1 << (8 * d)) - 1)).join(shorter, "short")
+        chance = F.when(F.col("back").isNull(), F.col("q")).otherwise(F.coalesce("p", F.col("back") * F.col("q")))
+        values = cut(rows.select("gram", chance.alias("q")))
+    return values.select("gram", F.log10("q").alias("value"))
 
 
 class Scorer:
@@ -163,11 +166,38 @@ class Scorer:
             out = np.where(known, np.where(seen, p[place], back[at] * out), out)
         return np.log10(out)
 
-    def texts(self, held: list[bytes]) -> np.ndarray:
+    def texts(self, held: list[bytes]) -> tuple[np.ndarray, list[list[int]], list[list[int]]]:
+        """The score of each text without the sequences whose value is not held here; these, and how often each occurs."""
         where, values = pd.factorize(grams(held, self.depth))
-        each = self.log10(values)[where]
-        starts = np.cumsum([0] + [len(d) for d in held[:-1]])
-        return np.add.reduceat(each, starts)
+        logs = self.log10(values)
+        unknown = np.isnan(logs)
+        sizes = [len(d) for d in held]
+        sums = np.add.reduceat(np.where(unknown, 0.0, logs)[where], np.cumsum([0] + sizes[:-1]))
+        rare: list[list[int]] = [[] for _ in held]
+        times: list[list[int]] = [[] for _ in held]
+        if unknown.any():
+            places = np.flatnonzero(unknown[where])
+            owner = np.repeat(np.arange(len(held)), sizes)[places]
+            pairs, n = np.unique(owner * len(values) + where[places], return_counts=True)
+            owners, grams_ = np.divmod(pairs, len(values))
+            for text in np.unique(owners):
+                some = slice(*np.searchsorted(owners, [text, text + 1]))
+                rare[text], times[text] = values[grams_[some]].tolist(), n[some].tolist()
+        return sums, rare, times
+
+
+class Cache(Scorer):
+    """The values of the most frequent full-depth sequences."""
+
+    def __init__(self, gram: np.ndarray, value: np.ndarray, depth: int):
+        order = np.argsort(gram, kind="stable")
+        self.gram, self.value, self.depth = gram[order], value[order], depth
+
+    def log10(self, values: np.ndarray) -> np.ndarray:
+        if not len(self.gram):
+            return np.full(len(values), np.nan)
+        at = np.minimum(np.searchsorted(self.gram, values), len(self.gram) - 1)
+        return np.where(self.gram[at] == values, self.value[at], np.nan)
 
 
 def score_texts(
@@ -192,13 +222,21 @@ def score_texts(
     frequent = vocabulary.orderBy(F.desc("c"), "word").limit(most_words).toArrow()
     logs = np.log10((frequent["c"].to_numpy() + 1) / (n + v + 1)).tolist()
     known_words = spark.sparkContext.broadcast(dict(zip(frequent["word"].to_pylist(), logs)))
-    model = tree(cut(count_grams(training, depth)), depth, least_gain, most_grams).toArrow().to_pandas()
-    columns = (("gram", np.int64), ("p", np.float64), ("back", np.float64))
-    levels = [Scorer.level(*(model.loc[model["level"] == d, c].to_numpy(t) for c, t in columns)) for d in range(depth + 1)]
-    shipped = spark.sparkContext.broadcast(levels)
+    model = cut(tree(cut(count_grams(training, depth)), depth, least_gain))
+    values = None
+    if model.count() <= most_grams:
+        held_model = model.toArrow().to_pandas()
+        columns = (("gram", np.int64), ("p", np.float64), ("back", np.float64))
+        scorer_ = Scorer([Scorer.level(*(held_model.loc[held_model["level"] == d, c].to_numpy(t) for c, t in columns)) for d in range(depth + 1)], depth)
+    else:  # the same probabilities, worked out for the distinct sequences of all texts; the frequent ones are sent to the tasks
+        sequences = cut(count_grams(rows, depth))
+        values = cut(sequences.join(sequence_values(sequences, model, depth), "gram"))
+        frequent = values.orderBy(F.desc("n"), "gram").limit(most_grams).toArrow()
+        scorer_ = Cache(frequent["gram"].to_numpy(), frequent["value"].to_numpy(), depth)
+    shipped = spark.sparkContext.broadcast(scorer_)
 
     def run(batches):
-        scorer, logs = Scorer(shipped.value, depth), known_words.value
+        scorer, logs = shipped.value, known_words.value
         for batch in batches:
             for part in _chunks(batch["text"].to_numpy()):
                 frame = batch[["row", "doc_id", "held_out"]].iloc[[r for r, _, _ in part]]
@@ -216,21 +254,28 @@ def score_texts(
                     known.append(len(found))
                     base.append(sum(found))
                     rare.append(missing)
+                score, grams_, gram_times = scorer.texts([d for _, _, d in part])
                 yield frame.assign(
-                    n_tokens=tokens, n_known=known, base_score=base, score=scorer.texts([d for _, _, d in part]),
+                    n_tokens=tokens, n_known=known, base_score=base, score=score, grams=grams_, gram_times=gram_times,
                     words=[list(x) for x in rare], times=[list(x.values()) for x in rare],
                 )
 
-    schema = "row long, doc_id string, held_out boolean, n_tokens long, n_known long, base_score double, score double, words array<binary>, times array<long>"
+    schema = "row long, doc_id string, held_out boolean, n_tokens long, n_known long, base_score double, score double, grams array<long>, gram_times array<long>, words array<binary>, times array<long>"
     scored = cut(rows.select(own.alias("row"), "doc_id", "held_out", "text").mapInPandas(run, schema))
     parts = scored.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", "w.words", "w.times")
     looked = parts.join(vocabulary, F.col("words") == F.col("word"), "left").groupBy("row").agg(
         F.sum(F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0)).alias("more"),
         F.sum(F.col("times") * F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(float(n + v + 1)))).alias("added"),
     )
-    return scored.drop("words", "times").join(looked, "row", "left").select(
+    scored = scored.join(looked, "row", "left")
+    score = F.col("score")
+    if values is not None:
+        missing = scored.select("row", F.explode(F.arrays_zip("grams", "gram_times")).alias("g")).select("row", "g.grams", "g.gram_times")
+        found = missing.join(values, F.col("grams") == F.col("gram")).groupBy("row").agg(F.sum(F.col("gram_times") * F.col("value")).alias("rest"))
+        scored, score = scored.join(found, "row", "left"), F.col("score") + F.coalesce("rest", F.lit(0.0))
+    return scored.select(
         F.col("doc_id").cast(kind).alias("doc_id"), "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base_score") + F.coalesce("added", F.lit(0.0))).alias("base_score"), "score",
+        (F.col("base_score") + F.coalesce("added", F.lit(0.0))).alias("base_score"), score.alias("score"),
     )
 
 

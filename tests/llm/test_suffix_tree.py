@@ -68,6 +68,16 @@ def test_against_brute_force(spark, small):
         assert np.allclose(a[5:], b[5:], rtol=1e-9)
 
 
+def test_a_model_above_the_bound_scores_the_same(spark, small):
+    rows = [(r.doc_id, (r.text or "")[:300]) for r in spark.read.parquet(f"{small}/documents.parquet").limit(30).collect()] + [(900, None), (902, "a " * 300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = sorted(brute(rows))
+    for bound in (1, 200):
+        found = sorted((str(r[0]), *r[1:]) for r in score_texts(docs, DEPTH, GAIN, most_grams=bound, most_words=20).collect())
+        assert [r[:5] for r in found] == [r[:5] for r in expected]
+        assert np.allclose([r[5:] for r in found], [r[5:] for r in expected], rtol=1e-9)
+
+
 def test_no_training_rows(spark):
     docs = spark.createDataFrame([(1, "x")], "doc_id long, text string").limit(0)
     assert score_texts(docs).count() == 0
