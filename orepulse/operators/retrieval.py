@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,8 +109,8 @@ def nearest(
     """Exact ``k`` nearest vectors per query by cosine: ``(query_id, vec_id, score, rank)``.
 
     ``scope=(vector column, query column)`` only ranks vectors whose value equals the query's, so the
-    result is the k nearest *among* the rows in scope. Null vectors, vectors with nulls and those of another
-    length than the queries are left out on both sides. Each task keeps k rows per query while it streams
+    result is the k nearest *among* the rows in scope. Null vectors, empty ones and vectors with nulls are left
+    out on both sides; each query is ranked among the vectors of its own length. Each task keeps k rows per query while it streams
     its vectors; only those are shuffled. A query set that fits ``max_queries`` (checked) is sent to the
     tasks, a larger one is matched block by block with bounded memory. Ids are 64-bit integers.
     """
@@ -127,25 +128,28 @@ def nearest(
     q = q.filter(whole & F.col("qid").isNotNull())
     v = v.filter(whole & F.col("vid").isNotNull())
     schema = "qid bigint, vid bigint, score double"
+    q, v = q.filter(F.size("vec") > 0), v.filter(F.size("vec") > 0)
     head = q.limit(max_queries + 1).collect()
-    if head:  # vectors of another length than the queries cannot be compared
-        dimension = max(len(r["vec"]) for r in head)
-        head = [r for r in head if len(r["vec"]) == dimension]
-        q, v = q.filter(F.size("vec") == dimension), v.filter(F.size("vec") == dimension)
     if len(head) <= max_queries:
-        names = [r["qid"] for r in head]
-        matrix = np.array([r["vec"] for r in head], dtype=float).reshape(len(head), -1)
-        scopes = [r["scope"] for r in head] if scope else None
+        lengths = sorted({len(r["vec"]) for r in head})
+        v = v.filter(F.size("vec").isin(lengths)) if lengths else v.limit(0)
+        by_length = {n: [r for r in head if len(r["vec"]) == n] for n in lengths}
+        sent = {
+            n: ([r["qid"] for r in some], np.array([r["vec"] for r in some], dtype=float), [r["scope"] for r in some] if scope else None)
+            for n, some in by_length.items()
+        }
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            best = _Partial(matrix, scopes, k)
+            best = {n: _Partial(matrix, scopes, k) for n, (_, matrix, scopes) in sent.items()}
             for batch in batches:
-                if batch.num_rows and names:
-                    flat = batch.column("vec").flatten().to_numpy(zero_copy_only=False)
-                    near = np.asarray(batch.column("scope").to_pylist(), dtype=object) if scopes else None
-                    best.add(batch.column("vid").to_numpy(), flat.reshape(batch.num_rows, -1), near)
-            if names:
-                columns = [pa.array(c) for c in best.rows(names)]
+                sizes = pc.list_value_length(batch.column("vec")).to_numpy(zero_copy_only=False)
+                for n in np.unique(sizes):
+                    part = batch.filter(pa.array(sizes == n))
+                    flat = part.column("vec").flatten().to_numpy(zero_copy_only=False)
+                    near = np.asarray(part.column("scope").to_pylist(), dtype=object) if scope else None
+                    best[n].add(part.column("vid").to_numpy(), flat.reshape(part.num_rows, -1), near)
+            for n, found in best.items():
+                columns = [pa.array(c) for c in found.rows(sent[n][0])]
                 yield pa.RecordBatch.from_arrays(columns, names=["qid", "vid", "score"])
 
         partial = v.mapInArrow(scan, schema)
@@ -171,14 +175,16 @@ def _in_blocks(v: DataFrame, q: DataFrame, k: int, schema: str, scoped: bool, bl
     right = q.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(q_blocks)).cast("int")).withColumn("vb", every(v_blocks))
 
     def match(vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        if vectors.empty or queries.empty:
-            return pd.DataFrame({"qid": [], "vid": [], "score": []})
-        best = _Partial(np.stack(queries["vec"].to_list()), queries["scope"].tolist() if scoped else None, k)
-        best.add(
-            vectors["vid"].to_numpy(), np.stack(vectors["vec"].to_list()),
-            vectors["scope"].to_numpy(dtype=object) if scoped else None,
-        )
-        return pd.DataFrame(dict(zip(("qid", "vid", "score"), best.rows(queries["qid"].tolist()))))
+        parts = [pd.DataFrame({"qid": [], "vid": [], "score": []})]
+        for n in set(queries["vec"].map(len)) & set(vectors["vec"].map(len)):
+            some_q, some_v = queries[queries["vec"].map(len) == n], vectors[vectors["vec"].map(len) == n]
+            best = _Partial(np.stack(some_q["vec"].to_list()), some_q["scope"].tolist() if scoped else None, k)
+            best.add(
+                some_v["vid"].to_numpy(), np.stack(some_v["vec"].to_list()),
+                some_v["scope"].to_numpy(dtype=object) if scoped else None,
+            )
+            parts.append(pd.DataFrame(dict(zip(("qid", "vid", "score"), best.rows(some_q["qid"].tolist())))))
+        return pd.concat(parts[1:]) if len(parts) > 1 else parts[0]
 
     return left.groupBy("vb", "qb").cogroup(right.groupBy("vb", "qb")).applyInPandas(match, schema)
 

@@ -433,3 +433,12 @@ def test_unusable_vectors_are_left_out_and_words_of_all_scripts_count(spark):
     docs = spark.createDataFrame([(1, "Привет мир"), (2, "hello"), (3, None)], "doc bigint, text string")
     out = {r["doc"]: r["embedding"] for r in retrieval.embed(docs, "doc", "text", dimension=64).collect()}
     assert {k: sum(1 for x in v if x) for k, v in out.items()} == {1: 2, 2: 1, 3: 0} and all(len(v) == 64 for v in out.values())
+
+
+def test_a_query_is_ranked_among_vectors_of_its_own_length(spark):
+    """One longer query must not discard the others, in one pass or in blocks."""
+    vectors = spark.createDataFrame([(i, [1.0, float(i)], "a") for i in range(1, 7)] + [(9, [1.0, 0.0, 0.0], "a")], "vec_id long, embedding array<double>, tenant string")
+    queries = spark.createDataFrame([(1, [1.0, 1.0], "a"), (2, [1.0, 6.0], "a"), (3, [1.0, 0.0, 0.0], "a"), (4, [1.0] * 5, "a")], "query_id long, query_vector array<double>, tenant string")
+    for more in ({}, {"max_queries": 2, "rows_per_block": 3}, {"scope": ("tenant", "tenant")}):
+        found = retrieval.nearest(vectors, queries, 1, **more).collect()
+        assert sorted((r["query_id"], r["vec_id"]) for r in found) == [(1, 1), (2, 6), (3, 9)]
