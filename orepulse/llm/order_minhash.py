@@ -8,6 +8,8 @@ allows. Equal texts are collapsed first; classes are the connected components of
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -17,6 +19,7 @@ from orepulse.llm.common import SHINGLE_WORDS, SIMILARITY, cut, join_bounded, pe
 from orepulse.llm.components import linked, ranked_id
 
 SAMPLES, PICKED = 24, 5  # at shingle similarity 0.8 a pair agrees on some sample with chance 1 - (1 - 0.8 ** 5) ** 24 = 0.9999
+SHORT = 10  # texts of up to so many shingles also give keys with which any pair at similarity 0.8 among them meets for certain
 CHUNK_WORDS = 400_000
 LOOK = 32  # places that the alignment compares at a time
 _RANDOM = np.random.default_rng(23)
@@ -79,6 +82,24 @@ def samples(sequences: list[np.ndarray], picked: int = PICKED) -> np.ndarray:
     return keys.view(np.int64)
 
 
+def short_keys(shingles: np.ndarray) -> np.ndarray:
+    """Of a text of few shingles the whole sequence and those with one left out as keys, of ten shingles also those with two left out.
+
+    At similarity 0.8 two such texts have a common sequence that lacks at most one shingle of each, or they have eight and ten.
+    """
+    n = len(shingles)
+    if n < 4 or n > SHORT:
+        return np.empty(0, np.int64)
+    out = []
+    for left in range(n - (2 if n == 10 else 1), n + 1):
+        some = shingles[np.array(list(combinations(range(n), left)))]
+        keys = np.full(len(some), SAMPLES + 1, np.uint64) * LABEL
+        for i in range(left):
+            keys = mix((keys ^ some[:, i]) * LABEL)
+        out.append(keys)
+    return np.concatenate(out).view(np.int64)
+
+
 def aligned(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
     """Whether an alignment matches enough: matches / (len(a) + len(b) - matches) reaches the similarity.
 
@@ -133,7 +154,7 @@ def _chunks(texts: list):
         yield held
 
 
-def _placed(values: np.ndarray, rows: list[int], n: int) -> list:
+def _placed(values: list[np.ndarray], rows: list[int], n: int) -> list:
     """The rows of ``values`` at their places among ``n``, empty lists elsewhere."""
     out: list = [[]] * n
     for row, value in zip(rows, values):
@@ -149,7 +170,8 @@ def sketches(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
         for part in _chunks(texts):
             sequences = shingle_sequences(part, size)
             full = [i for i, s in enumerate(sequences) if len(s)]
-            keys += _placed(samples([sequences[i] for i in full]), full, len(part))
+            found = samples([sequences[i] for i in full])
+            keys += _placed([np.concatenate([k, short_keys(sequences[i])]) for i, k in zip(full, found)], full, len(part))
         return [keys]
 
     return per_batch(digested(docs), work, "keys array<long>")

@@ -89,3 +89,15 @@ def test_edges(spark):
     assert out == sorted(expected, key=str)
     assert drop_near_documents(docs).columns == docs.columns and drop_near_documents(docs).count() == 7
     assert near_documents(docs.limit(0)).count() == 0
+
+
+def test_short_texts_with_a_word_more_are_found(spark):
+    """Pairs of 8 and 9, 9 and 10, 12 and 14 words: 4 and 5, 5 and 6, 8 and 10 shingles."""
+    rows = []
+    for n, more in ((8, 1), (9, 1), (12, 2)):
+        for i in range(200):
+            words = [f"w{n}x{i}y{j}" for j in range(n + more)]
+            rows += [(len(rows), " ".join(words[more * (i % 2) :][:n])), (len(rows) + 1, " ".join(words))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r.class_id for r in near_documents(docs).collect()}
+    assert found == {d: d - d % 2 for d, _ in rows}
