@@ -14,9 +14,9 @@ from orepulse.operators.schema import column_section, kpi_section_column
 from orepulse.operators.stats import FREQUENCIES, aggregate
 from orepulse.session import checkpoint_cut
 
-# The chart palette and how much of each kind of finding a report shows.
+# The chart palette and how many entities a ranking shows.
 PALETTE = ("#2563EB", "#16A34A", "#DC2626", "#D97706", "#7C3AED", "#0891B2", "#DB2777", "#65A30D")
-MAX_METRICS, MAX_SERIES, TOP_ENTITIES = 5, 2, 10
+TOP_ENTITIES = 10
 
 
 def kpi_findings(df: DataFrame, source: str, names: Sequence[str] | None = None) -> DataFrame:
@@ -206,9 +206,12 @@ def _shown(value: Column) -> Column:
     return value.cast(PLAIN).cast("string")
 
 
-def findings(df: DataFrame, source: str, date: str, entity: str, metrics: Sequence[str]) -> DataFrame:
-    """All findings as ``(client_id, section, kind, name, text, brief)``, one row each, empty sections absent."""
-    metrics = list(metrics)[:MAX_METRICS]
+def findings(df: DataFrame, source: str, date: str, entity: str, metrics: Sequence[str], *, max_series: int | None = None) -> DataFrame:
+    """All findings as ``(client_id, section, kind, name, text, brief)``, one row each, empty sections absent.
+
+    Every metric of the list is in every block; ``max_series`` asks for the trends of the first few only.
+    """
+    metrics = list(metrics)
     df = analysis_table(df, source, date, entity, metrics)
     kpi = merge_files(kpi_findings(df, source), source).withColumn("section", kpi_section_column(F.col("kpi")))
     value_text = F.when(
@@ -228,7 +231,7 @@ def findings(df: DataFrame, source: str, date: str, entity: str, metrics: Sequen
     )
     parts.append(
         routed(
-            tenant_trends(df, date, metrics[:MAX_SERIES]), "trend",
+            tenant_trends(df, date, metrics[:max_series]), "trend",
             F.concat(F.lit("trend of "), m, F.lit(": "), "direction", F.lit(" (r²="), _shown(F.col("r_squared")), F.lit(", slope="), F.col("slope").cast("DECIMAL(20,4)").cast("string"), F.lit(")")),
             F.concat(m, F.lit(" "), "direction", F.lit(" (r²="), _shown(F.col("r_squared")), F.lit(")")),
         )
@@ -293,12 +296,12 @@ def report_texts(found: DataFrame, totals: DataFrame, processed_at: str) -> Data
     return top.unionByName(parents).unionByName(children)
 
 
-def tenant_report(df: DataFrame, files: DataFrame, source: str, date: str, entity: str, metrics: Sequence[str]) -> DataFrame:
+def tenant_report(df: DataFrame, files: DataFrame, source: str, date: str, entity: str, metrics: Sequence[str], *, max_series: int | None = None) -> DataFrame:
     """One JSON dashboard per tenant: ``overview`` and seven sections of KPIs, statistics, outliers, trends and charts.
 
-    Every block is a handful of rows per tenant by the time it is collected into the report.
+    Every metric of the list is in every block; ``max_series`` asks for the trends of the first few only. Every block is a handful of rows per tenant by the time it is collected into the report.
     """
-    metrics = list(metrics)[:MAX_METRICS]
+    metrics = list(metrics)
     df = analysis_table(df, source, date, entity, metrics)
     sections = F.array(*[F.lit(s) for s in SECTIONS])
     frame = overview(files)
@@ -314,7 +317,7 @@ def tenant_report(df: DataFrame, files: DataFrame, source: str, date: str, entit
         "kpis": per_section(kpi, "kpis", F.struct("kpi", "value", "unit", "status"), kpi_section_column(F.col("kpi"))),
         "statistics": per_section(tenant_statistics(df, metrics), "statistics", F.struct("metric", "mean", "std", "min", "max"), m),
         "outliers": per_section(tenant_outliers(df, metrics), "outliers", F.struct("metric", "outlier_count", "outlier_pct"), m),
-        "trends": per_section(tenant_trends(df, date, metrics[:MAX_SERIES]), "trends", F.struct("metric", "direction", "slope", "r_squared"), m),
+        "trends": per_section(tenant_trends(df, date, metrics[:max_series]), "trends", F.struct("metric", "direction", "slope", "r_squared"), m),
     }
     ranked = tenant_rankings(df, entity, metrics[0]).groupBy("client_id", "metric").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rank", "entity", "value"))), lambda x: F.struct(x["entity"].alias("entity"), x["value"].alias("value"))).alias("data")

@@ -481,7 +481,8 @@ for _name, _fn, _sql in (
 
 
 def found(spark, sf) -> DataFrame:
-    return dashboard.findings(tenant_fleet(spark, sf), "source_file", "load_start_time", "equipment_id", METRICS)
+    # The SQL twins have the trends of two metrics.
+    return dashboard.findings(tenant_fleet(spark, sf), "source_file", "load_start_time", "equipment_id", METRICS, max_series=2)
 
 
 _D3 = "CAST(CAST({} AS DECIMAL(20,3)) AS VARCHAR)"

@@ -1,6 +1,7 @@
 """Hand-made frames for the cases the tables do not hold."""
 
 import datetime as dt
+import json
 import math
 import random
 
@@ -442,3 +443,19 @@ def test_a_query_is_ranked_among_vectors_of_its_own_length(spark):
     for more in ({}, {"max_queries": 2, "rows_per_block": 3}, {"scope": ("tenant", "tenant")}):
         found = retrieval.nearest(vectors, queries, 1, **more).collect()
         assert sorted((r["query_id"], r["vec_id"]) for r in found) == [(1, 1), (2, 6), (3, 9)]
+
+
+def test_every_metric_of_the_list_is_in_every_block(spark, small):
+    from orepulse.plans import dashboard
+    from orepulse.plans.suite_service import METRICS, tenant_fleet, tenant_files
+
+    metrics = [*METRICS, "idle_hours"]
+    fleet = tenant_fleet(spark, small)
+    found = dashboard.findings(fleet, "source_file", "load_start_time", "equipment_id", metrics).collect()
+    whole = {kind: {r["name"] for r in found if r["kind"] == kind} for kind in ("trend", "stat", "outlier")}
+    assert whole["trend"] == whole["stat"] and len(whole["trend"]) > 2
+    report = dashboard.tenant_report(fleet, tenant_files(spark, small), "source_file", "load_start_time", "equipment_id", metrics).collect()
+    for row in report:
+        sections = json.loads(row["report"])["sections"]
+        names = {block: {x["metric"] for s in sections for x in s[block]} for block in ("statistics", "trends")}
+        assert names["statistics"] == names["trends"] and len(names["trends"]) == len(whole["trend"])
