@@ -37,11 +37,15 @@ def checkpoint_cut(df: DataFrame) -> DataFrame:
     the context's own checkpoint folder. A local session that names none (tests) gets a folder of its own;
     a cluster without a shared folder is an error, since its executors could not see each other's files.
     """
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or _own_folder(spark)
-    path = f"{folder.rstrip('/')}/orepulse-{uuid.uuid4().hex}"
+    path = shared_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def shared_path(spark: SparkSession) -> str:
+    """A new place for files of a job in the folder that the driver and all executors share."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or _own_folder(spark)
+    return f"{folder.rstrip('/')}/orepulse-{uuid.uuid4().hex}"
 
 
 def _own_folder(spark: SparkSession) -> str:
