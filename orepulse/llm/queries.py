@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orepulse.llm import chat, decontamination, lines, mixing, order_minhash, pseudonyms, quality, suffix_tree, tokens, vectors
+from orepulse.llm import chat, decontamination, lexical, lines, mixing, order_minhash, pseudonyms, quality, suffix_tree, token_files, tokens, vectors
 from orepulse.llm.common import table
 from orepulse.plans.suite import Suite
+from orepulse.session import shared_path
 
 suite = Suite()
 CHAT_COLUMNS = {"conv_id": "long", "turn": "long", "role": "string", "text": "string"}
@@ -72,3 +73,15 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return order_minhash.near_documents(docs).select("doc_id", "class_id", "kept")
+
+
+@suite.query("op12_token_id_files")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    written = shared_path(spark)
+    token_files.write_tokens(table(spark, folder, "documents"), written)
+    return token_files.digests(token_files.read_tokens(spark, written))
+
+
+@suite.query("op13_ranked_lexical_search", sql=lexical.SQL)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
