@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orepulse.llm import chat, decontamination, lexical, lines, mixing, order_minhash, pseudonyms, quality, suffix_tree, token_files, tokens, vectors
+from orepulse.llm import chat, decontamination, lexical, lines, mixing, order_minhash, pseudonyms, quality, spelling, suffix_tree, token_files, tokens, vectors
 from orepulse.llm.common import table
 from orepulse.plans.suite import Suite
 from orepulse.session import shared_path
@@ -75,6 +75,11 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
     return order_minhash.near_documents(docs).select("doc_id", "class_id", "kept")
 
 
+@suite.query("op11_spelling_variants", sql=spelling.SQL)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, folder, "documents"))
+
+
 @suite.query("op12_token_id_files")
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     written = shared_path(spark)
