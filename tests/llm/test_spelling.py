@@ -69,8 +69,8 @@ def noisy(rng, bases, letters_, n):
 def test_against_all_pairs(spark, cell, most_letters, most_asked, sample):
     rng = random.Random(cell)
     bases = ["quarry", "haulage", "conveyor", "Ärgernis", "éléphant", "aaaaaa", "ababab", "crusher", "drills", "blasting"]
-    words = noisy(rng, bases, "abelrsÉéäÿ×", 4000)
-    docs = [(i, " ".join(words[i * 10 : i * 10 + 10]) + rng.choice([".", "-", "_", "1", " ", "漢"])) for i in range(400)]
+    words = noisy(rng, bases, "abelrsÉéäÿ×", 12000)
+    docs = [(i, " ".join(words[i * 30 : i * 30 + 30]) + rng.choice([".", "-", "_", "1", " ", "漢"])) for i in range(400)]
     found = spelling_variants(spark.createDataFrame(docs, "doc_id long, text string"), modulus=7, cell=cell, most_letters=most_letters, most_asked=most_asked, sample=sample)
     got = sorted(map(tuple, found.collect()))
     want = brute(docs, 7)
