@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -117,58 +118,94 @@ def distinct_boundaries(headings: DataFrame, doc: str) -> DataFrame:
     )
 
 
-def block_texts(blocks: DataFrame, doc: str) -> DataFrame:
-    """Text of every layout block, from its own text or that of its children (two levels down).
+MOST_LEVELS = 64  # links from a block up to its outermost container; more are a cycle
+
 
-    ``blocks``: ``doc, block_id, block_type, page, top, left_pos, text, child_ids``.
+def _text_paths(blocks: DataFrame, doc: str) -> DataFrame:
+    """``doc, at, path, leaf, text``: every text with each container above it and the places that lead down from there.
+
+    A container that has a text of its own speaks for what lies below it. One round per level, each a join on (document, block), so a
+    document of many blocks is spread over the tasks.
     """
-    leaves = blocks.select(doc, "block_id", F.col("text").alias("resolved"))
-
-    def gather(parents: DataFrame, children: DataFrame) -> DataFrame:
-        kids = parents.select(doc, F.col("block_id").alias("parent"), F.posexplode("child_ids").alias("pos", "child"))
-        named = children.select(doc, F.col("block_id").alias("child"), "resolved").filter("resolved <> ''")
-        return (
-            kids.join(named, [doc, "child"])
-            .groupBy(doc, F.col("parent").alias("block_id"))
-            .agg(F.array_sort(F.collect_list(F.struct("pos", "resolved"))).alias("parts"))
-            .select(doc, "block_id", F.array_join(F.transform("parts", lambda p: p["resolved"]), " ").alias("resolved"))
-        )
+    links = checkpoint_cut(
+        blocks.filter("text IS NULL").select(doc, F.col("block_id").alias("parent"), F.posexplode("child_ids").alias("pos", "child"))
+    )
+    found, above = None, blocks.filter("text <> ''").select(
+        doc, F.col("block_id").alias("at"), F.array().cast("array<int>").alias("path"), F.col("block_id").alias("leaf"), "text"
+    )
+    for _ in range(MOST_LEVELS):
+        up = above.withColumnRenamed("at", "child").join(links, [doc, "child"])
+        above = checkpoint_cut(up.select(doc, F.col("parent").alias("at"), F.concat(F.array("pos"), "path").alias("path"), "leaf", "text"))
+        if above.isEmpty():
+            return above if found is None else found
+        found = above if found is None else found.unionByName(above)
+    raise ValueError(f"blocks lie more than {MOST_LEVELS} deep, or in a cycle")
+
+
+def _joined_texts(paths: DataFrame, doc: str) -> DataFrame:
+    parts = paths.groupBy(doc, F.col("at").alias("block_id")).agg(F.array_sort(F.collect_list(F.struct("path", "text"))).alias("parts"))
+    return parts.select(doc, "block_id", F.array_join(F.transform("parts", lambda p: p["text"]), " ").alias("resolved"))
+
 
-    inner = blocks.filter("text IS NULL AND block_type IN ('CELL', 'MERGED_CELL')")
-    cells = gather(inner, leaves.filter("resolved IS NOT NULL"))
-    outer = blocks.filter("text IS NULL AND block_type NOT IN ('CELL', 'MERGED_CELL')")
-    containers = gather(outer, leaves.filter("resolved IS NOT NULL").unionByName(cells))
-    return leaves.filter("resolved IS NOT NULL").unionByName(cells).unionByName(containers)
+def block_texts(blocks: DataFrame, doc: str) -> DataFrame:
+    """Text of every layout block, from its own text or from the texts below it in child order, however deep.
+
+    ``blocks``: ``doc, block_id, block_type, page, top, left_pos, text, child_ids``. Containers without any text have no row.
+    """
+    own = blocks.filter("text IS NOT NULL").select(doc, "block_id", F.col("text").alias("resolved"))
+    return own.unionByName(_joined_texts(_text_paths(blocks, doc), doc))
 
 
-# Layout block types that open a section, hold a table, or hold text.
-HEADER_TYPES = ("LAYOUT_SECTION_HEADER", "LAYOUT_TITLE")
+# Layout block types that open a section, hold a table, a cell of one, or text.
+HEADER_TYPES = ("LAYOUT_SECTION_HEADER",)
 TABLE_TYPES = ("TABLE",)
-TEXT_TYPES = ("LAYOUT_TEXT", "LAYOUT_LIST")
+CELL_TYPES = ("CELL", "MERGED_CELL")
+TEXT_TYPES = ("LAYOUT_TEXT", "LAYOUT_LIST", "LAYOUT_FIGURE", "LAYOUT_HEADER", "LAYOUT_FOOTER", "LAYOUT_PAGE_NUMBER")
+MIN_PART = 2  # texts of up to so many characters are page numbers and specks
+
+CELLS = "array<struct<row_index:int,col_index:int,text:string>>"
 
 
 def layout_sections(blocks: DataFrame, doc: str) -> DataFrame:
-    """Sections between header blocks, in reading order, with joined text and table rows.
+    """Sections between header blocks, in reading order: ``doc, section_no, title, body, tables, table_count, page_start, page_end``.
 
-    Section numbers are a running count of headers, taken with the block-wise scan so that one large
-    document does not sit in one task.
+    ``blocks`` as for :func:`block_texts`; table cells may have ``row_index`` and ``col_index`` (without them every cell is a row). The
+    body joins the texts of text blocks, lists, figures, page headers and footers, and of lines that lie in no block kept here. Each
+    table is its cells, in the section it stands in. Section numbers are a running count of headers, taken with the block-wise scan so
+    that one large document does not sit in one task.
     """
-    kept = blocks.filter(F.col("block_type").isin(*HEADER_TYPES, *TABLE_TYPES, *TEXT_TYPES)).join(
-        block_texts(blocks, doc), [doc, "block_id"], "left"
+    paths = _text_paths(blocks, doc)
+    texts = blocks.filter("text IS NOT NULL").select(doc, "block_id", F.col("text").alias("resolved")).unionByName(_joined_texts(paths, doc))
+    texts = checkpoint_cut(texts)
+    kept = blocks.filter(F.col("block_type").isin(*HEADER_TYPES, *TABLE_TYPES, *TEXT_TYPES))
+    children = blocks.filter("text IS NOT NULL").select(doc, F.explode("child_ids").alias("leaf"))  # these are spoken for
+    held = paths.join(kept.select(doc, F.col("block_id").alias("at")), [doc, "at"]).select(doc, "leaf").unionByName(children).distinct()
+    loose = blocks.filter("block_type = 'LINE'").join(held.withColumnRenamed("leaf", "block_id"), [doc, "block_id"], "left_anti")
+    columns = [doc, "block_id", "block_type", "page", "top", "left_pos"]
+    placed = kept.select(*columns).unionByName(loose.select(*columns)).join(texts, [doc, "block_id"], "left")
+
+    numbered = [F.col(c).cast("int") if c in blocks.columns else F.lit(None).cast("int") for c in ("row_index", "col_index")]
+    cells = blocks.filter(F.col("block_type").isin(*CELL_TYPES)).select(doc, F.col("block_id").alias("cell"), numbered[0].alias("r"), numbered[1].alias("c"))
+    inside = blocks.filter(F.col("block_type").isin(*TABLE_TYPES)).select(doc, "block_id", F.posexplode("child_ids").alias("pos", "cell"))
+    cell = F.struct(F.coalesce("r", "pos").alias("row_index"), F.coalesce("c", F.lit(0)).alias("col_index"), F.coalesce("resolved", F.lit("")).alias("text"))
+    tables = (
+        inside.join(cells, [doc, "cell"])
+        .join(texts.withColumnRenamed("block_id", "cell"), [doc, "cell"], "left")
+        .groupBy(doc, "block_id")
+        .agg(F.array_sort(F.collect_list(cell)).alias("cells"))
     )
+
     header = F.col("block_type").isin(*HEADER_TYPES)
     scanned = ordered_scan(
-        kept.select(doc, "block_id", "block_type", "page", "top", "left_pos", "resolved"),
-        [doc],
-        ["page", "top", "left_pos", "block_id"],
-        sums={"section_no": header.cast("int")},
-    )
-    place = F.struct("page", "top", "left_pos", "block_id", "resolved")
-    body = F.col("block_type").isin(*TEXT_TYPES) & (F.length(strip(F.coalesce("resolved", F.lit("")))) > 2)
+        placed.select(*columns, "resolved"), [doc], ["page", "top", "left_pos", "block_id"], sums={"section_no": header.cast("int")}
+    ).join(tables, [doc, "block_id"], "left")
+    place = [F.col(c) for c in ("page", "top", "left_pos", "block_id")]
+    table = F.col("block_type").isin(*TABLE_TYPES)
+    body = ~header & ~table & (F.length(strip(F.coalesce("resolved", F.lit("")))) > MIN_PART)
     sections = scanned.groupBy(doc, "section_no").agg(
         F.max(F.when(header, F.coalesce(F.nullif("resolved", F.lit("")), F.lit("untitled")))).alias("title"),
-        F.array_sort(F.collect_list(F.when(body, place))).alias("parts"),
-        F.count_if(F.col("block_type").isin(*TABLE_TYPES)).alias("table_count"),
+        F.array_sort(F.collect_list(F.when(body, F.struct(*place, "resolved")))).alias("parts"),
+        F.array_sort(F.collect_list(F.when(table, F.struct(*place, F.coalesce("cells", F.array().cast(CELLS)).alias("cells"))))).alias("tables"),
         F.coalesce(F.min(F.when(header, F.col("page"))), F.lit(1)).alias("page_start"),
         F.max("page").alias("page_end"),
     )
@@ -177,12 +214,28 @@ def layout_sections(blocks: DataFrame, doc: str) -> DataFrame:
         "section_no",
         F.coalesce("title", F.lit("untitled-0")).alias("title"),
         strip(F.array_join(F.transform("parts", lambda p: p["resolved"]), "\n")).alias("body"),
-        "table_count",
+        F.transform("tables", lambda t: F.struct(t["cells"].alias("cells"))).alias("tables"),
+        F.size("tables").cast("bigint").alias("table_count"),
         F.col("page_start").cast("bigint").alias("page_start"),
         F.col("page_end").cast("bigint").alias("page_end"),
     )
 
 
+def tables_text(tables: Column) -> Column:
+    """Pipe rows of an array of tables (``cells`` with ``row_index, col_index, text``), a blank line after each table."""
+
+    def row(cells: Column, number: Column) -> Column:
+        own = F.array_sort(F.filter(cells, lambda c: c["row_index"] == number))  # by column
+        return F.concat(F.lit("| "), F.array_join(F.transform(own, lambda c: F.trim(c["text"])), " | "), F.lit(" |"))
+
+    def lines(table: Column) -> Column:
+        cells = table["cells"]
+        numbers = F.array_sort(F.array_distinct(F.transform(cells, lambda c: c["row_index"])))
+        return F.concat(F.transform(numbers, lambda n: row(cells, n)), F.array(F.lit("")))
+
+    return F.array_join(F.flatten(F.transform(F.coalesce(tables, F.array().cast(f"array<struct<cells:{CELLS}>>")), lines)), "\n")
+
+
 def table_text(cells: DataFrame, keys: list[str]) -> DataFrame:
     """``(keys, table_no, row_index, col_index, text)`` to pipe rows, a blank line after each table."""
     rows = (
@@ -261,22 +314,25 @@ def group_pages(df: DataFrame, doc: str, page: str, text: str, pages_per_chunk:
 
 
 def normalise_sections(
-    df: DataFrame, source: str, order: str, title: str, body: str, tables: str | None = None
+    df: DataFrame, source: str, order: str, title: str, body: str, tables: str | None = None, *, keep: Sequence[str] = (),
+    first_part: Sequence[str] = (),
 ) -> DataFrame:
     """Clean sections, drop short ones, split long ones and number what is emitted per source.
 
-    Cleaned texts are written once: the part counts (a number per section, all that goes through the
+    ``tables`` is the column of table text that goes below the body. Columns in ``keep`` go with every part, those in ``first_part`` with
+    the first part of a section only. Cleaned texts are written once: the part counts (a number per section, all that goes through the
     running sum) and the parts themselves both read them.
     """
     text = clean_body(F.coalesce(body, F.lit("")))
-    cleaned = df.select(source, order, clean_title(F.coalesce(title, F.lit(""))).alias("_title"), text.alias("_body"),
-                        *([tables] if tables else []))
+    more = [*keep, *first_part]
+    cleaned = df.select(source, order, clean_title(F.coalesce(title, F.lit(""))).alias("_title"), text.alias("_body"), *more,
+                        *([tables] if tables and tables not in more else []))
     if tables:
         has_table = F.length(strip(F.coalesce(tables, F.lit("")))) > 0
         cleaned = cleaned.withColumn(
             "_body", F.when(has_table, F.concat("_body", F.lit("\n\n"), tables)).otherwise(F.col("_body"))
         )
-    cleaned = checkpoint_cut(cleaned.select(source, order, "_title", "_body"))
+    cleaned = checkpoint_cut(cleaned.select(source, order, "_title", "_body", *more))
     pieces = length_pieces(F.col("_body"), MAX_BODY, BODY_OVERLAP)
     cleaned = cleaned.withColumn("_parts", F.when(F.length("_body") < MIN_BODY, F.array().cast("array<string>")).otherwise(pieces))
     counts = cleaned.select(source, order, F.size("_parts").alias("_n"))
@@ -294,38 +350,111 @@ def normalise_sections(
         full.alias("title"),
         F.col("_text").alias("body"),
         (F.col("_part") == 0).alias("carries_tables"),
+        *keep,
+        *[F.when(F.col("_part") == 0, F.col(c)).alias(c) for c in first_part],
     )
 
 
+RECORD_VERSION = "1.0"
+
+
+def section_records(sections: DataFrame, source: str, order: str, *, documents: DataFrame | None = None) -> DataFrame:
+    """The full record of every section: id, title, body, pages, method, batch, tables, citations and what is known of its document.
+
+    ``sections``: ``source, order, title, body, page_start, page_end`` and, where the extraction has them, ``extraction_method``,
+    ``batch_index``, ``tables`` and ``citations``. Tables are part of the body as text, too; tables and citations stay with the first
+    part of a split section. ``documents``: ``source, doc_class, file_bytes, total_pages``.
+    """
+    given = {
+        "extraction_method": F.lit("layout"), "batch_index": F.lit(0).cast("bigint"), "tables": F.array().cast(f"array<struct<cells:{CELLS}>>"),
+        "citations": F.array().cast("array<string>"),
+    }
+    full = sections.withColumns({c: default for c, default in given.items() if c not in sections.columns})
+    full = full.withColumns({"tables": F.coalesce("tables", given["tables"]), "_tables_text": tables_text(F.col("tables"))})
+    rows = normalise_sections(
+        full, source, order, "title", "body", "_tables_text", keep=("page_start", "page_end", "extraction_method", "batch_index"),
+        first_part=("tables", "citations"),
+    )
+    rows = rows.withColumns({c: F.coalesce(c, given[c]) for c in ("tables", "citations")})
+    if documents is not None:
+        rows = rows.join(documents.select(source, "doc_class", "file_bytes", "total_pages"), source, "left")
+    else:
+        rows = rows.withColumns({"doc_class": F.lit("simple"), "file_bytes": F.lit(None).cast("bigint"), "total_pages": F.lit(None).cast("bigint")})
+    known = F.struct(F.col(source).alias("source"), "doc_class", "file_bytes", "total_pages", F.lit(RECORD_VERSION).alias("schema_version"))
+    return rows.select(
+        source, order, "section_id", "title", "body", "page_start", "page_end", "extraction_method", "batch_index", "tables", "citations",
+        known.alias("metadata"),
+    )
+
+
+def heading_sections(lines: DataFrame, doc: str) -> DataFrame:
+    """Sections of plain text between its headings: ``doc, section_no, title, body, page_start, page_end``.
+
+    ``lines``: ``doc, page, line_no, line`` as :func:`text_lines` gives them. What stands before the first heading is a section without
+    a title; documents without headings are one section.
+    """
+    heading = is_numbered_heading(F.col("line")) | is_all_caps_heading(F.col("line"))
+    marked = lines.withColumn("_heading", F.coalesce(heading, F.lit(False)))
+    scanned = ordered_scan(marked.select(doc, "page", "line_no", "line", "_heading"), [doc], ["line_no"], sums={"section_no": F.col("_heading").cast("int")})
+    return scanned.groupBy(doc, "section_no").agg(
+        F.max(F.when(F.col("_heading"), F.col("line"))).alias("title"),
+        F.array_sort(F.collect_list(F.when(~F.col("_heading"), F.struct("line_no", "line")))).alias("parts"),
+        F.min("page").cast("bigint").alias("page_start"),
+        F.max("page").cast("bigint").alias("page_end"),
+    ).select(doc, "section_no", "title", strip(F.array_join(F.transform("parts", lambda p: p["line"]), "\n")).alias("body"), "page_start", "page_end")
+
+
 def pack_batches(
-    pages: DataFrame, doc: str, *, max_pages: int = BATCH_PAGES, max_mb: float = BATCH_MB
+    pages: DataFrame, doc: str, *, max_pages: int = BATCH_PAGES, max_mb: float = BATCH_MB, bucket_rows: int = 4096
 ) -> DataFrame:
     """Greedy batches of consecutive pages, cut before a section start where one lies within the limits.
 
-    ``pages``: ``doc, page, megabytes, starts_section``. The rule is sequential, so it runs per document
-    over page metadata only (a number and two flags per page, never text).
+    ``pages``: ``doc, page, megabytes, starts_section``; the result is ``doc, batch_index, page_start, page_end, size_mb``. Where a batch
+    would end that starts at a page depends only on the next ``max_pages`` pages, so it is found for every page at once, in buckets of
+    positions. The batches that are really taken are the pages reached from the first one: pointers are doubled and followed from the
+    longest jump to the shortest, so a document of n batches takes log n joins and no task sees a whole document.
     """
+    rows = pages.select(doc, "page", F.coalesce("megabytes", F.lit(0.0)).cast("double").alias("megabytes"), F.coalesce("starts_section", F.lit(False)).alias("starts_section"))
+    size = max(bucket_rows, max_pages + 1)
+    bucket = F.floor(F.col("_i") / size)
+    ahead = (F.col("_i") % size < max_pages) & (bucket > 0)  # the first pages of a bucket are also seen from the one before
+    spread = ordered_scan(rows, [doc], ["page"], row_index="_i").withColumn("_b", F.explode(F.when(ahead, F.array(bucket, bucket - 1)).otherwise(F.array(bucket))))
+    frame = Window.partitionBy(doc, "_b").orderBy("_i").rowsBetween(0, max_pages)
+    seen = spread.withColumn("f", F.collect_list(F.struct("page", "megabytes", "starts_section")).over(frame)).filter(F.col("_b") == bucket)
+
+    start = F.struct(F.get("f", F.lit(0))["megabytes"].alias("total"), F.lit(1).alias("n"), F.lit(True).alias("open"))
+
+    def take(acc: Column, x: Column) -> Column:
+        fits = acc["open"] & (acc["total"] + x["megabytes"] <= max_mb)
+        return F.struct(
+            F.when(fits, acc["total"] + x["megabytes"]).otherwise(acc["total"]).alias("total"),
+            F.when(fits, acc["n"] + 1).otherwise(acc["n"]).alias("n"), fits.alias("open"),
+        )
 
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("page").reset_index(drop=True)
-        page, size = pdf["page"].tolist(), pdf["megabytes"].tolist()
-        starts = set(pdf.index[pdf["starts_section"]])
-        rows, at, n = [], 0, len(pdf)
-        while at < n:
-            end, total = at, size[at]
-            while end + 1 < n and end + 1 - at < max_pages and total + size[end + 1] <= max_mb:
-                end += 1
-                total += size[end]
-            if end < n - 1:
-                cuts = [c for c in range(at + 1, end + 2) if c in starts]
-                end = cuts[-1] - 1 if cuts else end
-            rows.append((pdf[doc].iloc[0], len(rows), page[at], page[end], sum(size[at : end + 1])))
-            at = end + 1
-        return pd.DataFrame(rows, columns=[doc, "batch_index", "page_start", "page_end", "size_mb"])
-
-    kind = dict(pages.dtypes)[doc]
-    schema = f"{doc} {kind}, batch_index bigint, page_start bigint, page_end bigint, size_mb double"
-    return pages.select(doc, "page", "megabytes", "starts_section").groupBy(doc).applyInPandas(pack, schema)
+    fitting = seen.withColumn("n", F.aggregate(F.slice("f", 2, max_pages - 1), start, take)["n"])
+    starts = F.filter(F.sequence(F.lit(1), F.col("n")), lambda c: F.get(F.col("f"), c)["starts_section"])
+    ended = fitting.withColumn("n", F.when(F.size("f") > F.col("n"), F.coalesce(F.array_max(starts), F.col("n"))).otherwise(F.col("n")))
+    total = F.aggregate(F.slice("f", F.lit(1), F.col("n")), F.lit(0.0), lambda acc, x: acc + x["megabytes"])
+    steps = checkpoint_cut(
+        ended.select(
+            doc, F.col("_i").alias("at"), F.col("page").alias("page_start"), F.get("f", F.col("n") - 1)["page"].alias("page_end"), total.alias("size_mb"),
+            F.when(F.size("f") > F.col("n"), F.col("_i") + F.col("n")).alias("to"),
+        )
+    )
+    jumps = [steps.filter("to IS NOT NULL").select(doc, "at", "to")]
+    while True:
+        onward = jumps[-1].select(doc, F.col("at").alias("to"), F.col("to").alias("far"))
+        longer = checkpoint_cut(jumps[-1].join(onward, [doc, "to"]).select(doc, "at", F.col("far").alias("to")))
+        if longer.isEmpty():
+            break
+        jumps.append(longer)
+    reached = steps.filter("at = 0").select(doc, "at", F.lit(0).cast("bigint").alias("batch_index"))
+    for power in range(len(jumps) - 1, -1, -1):
+        more = reached.join(jumps[power], [doc, "at"]).select(doc, F.col("to").alias("at"), (F.col("batch_index") + (1 << power)).alias("batch_index"))
+        reached = checkpoint_cut(reached.unionByName(more))
+    return reached.join(steps, [doc, "at"]).select(
+        doc, "batch_index", F.col("page_start").cast("bigint").alias("page_start"), F.col("page_end").cast("bigint").alias("page_end"), "size_mb"
+    )
 
 
 def with_previous_context(sections: DataFrame, doc: str, order: str, title: str, body: str, chars: int = 300) -> DataFrame:

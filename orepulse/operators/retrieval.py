@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -23,6 +22,9 @@ INDEX_ORDER = ("regulatory", "telemetry", "analysis")
 MAX_QUERIES = 4096
 """Query sets up to this many rows are sent to the tasks; larger ones are joined in blocks."""
 
+MAX_QUERY_BYTES = 64 << 20
+"""Query vectors of up to so many bytes are sent to the tasks."""
+
 SCORE_DECIMALS = 9
 
 
@@ -41,26 +43,17 @@ def in_tenant_scope(source_file: Column, client: Column) -> Column:
     return F.coalesce(valid_client(client) & F.startswith(source_file, F.concat(client, F.lit("/"))), F.lit(False))
 
 
-def split_by_dimension(df: DataFrame, vector: str, dimension: int) -> tuple[DataFrame, DataFrame]:
-    """Usable vectors and rejects (missing, wrong length, or with a missing element)."""
-    good = F.coalesce(
-        (F.size(vector) == dimension) & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x)), F.lit(False)
-    )
-    return df.filter(good), df.filter(~good)
+def usable_vector(vector: str) -> Column:
+    """Whether a vector has elements and all of them are finite; a length of zero or null has no direction and is not usable either."""
+    finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return F.coalesce((F.size(vector) > 0) & finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k best by (score descending, id ascending)."""
-    if len(scores) > k:
-        edge = np.partition(scores, len(scores) - k)[len(scores) - k]
-        above = np.flatnonzero(scores > edge)
-        level = np.flatnonzero(scores == edge)
-        if len(level) > k - len(above):
-            level = level[np.argsort(ids[level], kind="stable")[: k - len(above)]]
-        keep = np.concatenate([above, level])
-    else:
-        keep = np.arange(len(scores))
-    return keep[np.lexsort((ids[keep], -scores[keep]))]
+def split_by_dimension(df: DataFrame, vector: str, dimension: int) -> tuple[DataFrame, DataFrame]:
+    """Usable vectors and rejects (missing, wrong length, or with a missing or non-finite element)."""
+    finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    good = F.coalesce((F.size(vector) == dimension) & finite, F.lit(False))
+    return df.filter(good), df.filter(~good)
 
 
 def _unit_rows(matrix: np.ndarray) -> np.ndarray:
@@ -68,29 +61,64 @@ def _unit_rows(matrix: np.ndarray) -> np.ndarray:
     return np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
 
 
+POOL = 1 << 18  # hits that wait to be cut to the best of their query
+TILE_ROWS = 2048  # vectors scored against the queries of their scope at a time
+
+
 class _Partial:
     """Running k best per query over batches of vectors."""
 
     def __init__(self, queries: np.ndarray, scopes: Sequence | None, k: int):
         self.queries, self.k = _unit_rows(queries), k
-        self.scopes = None if scopes is None else np.asarray(scopes, dtype=object)
-        self.ids = [np.empty(0, dtype=np.int64) for _ in range(len(queries))]
-        self.scores = [np.empty(0) for _ in range(len(queries))]
+        self.own: dict = {}  # queries by scope
+        for q, scope in enumerate([None] * len(queries) if scopes is None else scopes):
+            self.own.setdefault(scope, []).append(q)
+        self.own = {scope: np.array(some) for scope, some in self.own.items()}
+        self.scoped = scopes is not None
+        self.bar = np.full(len(queries), -np.inf)
+        self.pool: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.held = 0
 
     def add(self, ids: np.ndarray, vectors: np.ndarray, scopes: np.ndarray | None) -> None:
-        scores = np.round(_unit_rows(vectors) @ self.queries.T, SCORE_DECIMALS)
-        for q in range(scores.shape[1]):
-            found, column = ids, scores[:, q]
-            if self.scopes is not None:
-                inside = scopes == self.scopes[q]
-                found, column = found[inside], column[inside]
-            all_ids, all_scores = np.concatenate([self.ids[q], found]), np.concatenate([self.scores[q], column])
-            keep = _best(all_scores, all_ids, self.k)
-            self.ids[q], self.scores[q] = all_ids[keep], all_scores[keep]
-
-    def rows(self, names: Sequence[int]) -> tuple[list, list, list]:
-        sizes = [len(i) for i in self.ids]
-        return np.repeat(names, sizes), np.concatenate(self.ids), np.concatenate(self.scores)
+        if not self.scoped:
+            return self._score(np.arange(len(self.queries)), ids, vectors)
+        names, inverse = np.unique(scopes.astype(str), return_inverse=True)
+        for i, name in enumerate(names):
+            some = self.own.get(name)
+            if some is not None:  # vectors of a scope that nobody asks for are not scored
+                inside = inverse == i
+                self._score(some, ids[inside], vectors[inside])
+
+    def _score(self, some: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> None:
+        for at in range(0, len(ids), TILE_ROWS):
+            tile = ids[at : at + TILE_ROWS]
+            scores = np.round(_unit_rows(vectors[at : at + TILE_ROWS]) @ self.queries[some].T, SCORE_DECIMALS)
+            if len(tile) > self.k:
+                self.bar[some] = np.maximum(self.bar[some], np.partition(scores, len(tile) - self.k, axis=0)[len(tile) - self.k])
+            row, column = np.nonzero(scores >= self.bar[some])
+            self.pool.append((some[column], tile[row], scores[row, column]))
+            self.held += len(row)
+            if self.held > POOL:
+                self._cut()
+
+    def _cut(self) -> None:
+        """Keep the k best of every query by (score descending, id ascending)."""
+        q, ids, scores = (np.concatenate(x) for x in zip(*self.pool))
+        order = np.lexsort((ids, -scores, q))
+        q, ids, scores = q[order], ids[order], scores[order]
+        first = np.searchsorted(q, q)
+        nth = np.arange(len(q)) - first
+        last = nth == self.k - 1
+        self.bar[q[last]] = np.maximum(self.bar[q[last]], scores[last])
+        keep = nth < self.k
+        self.pool, self.held = [(q[keep], ids[keep], scores[keep])], 0
+
+    def rows(self, names: Sequence[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if not self.pool:
+            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        self._cut()
+        q, ids, scores = self.pool[0]
+        return np.asarray(names, np.int64)[q], ids, scores
 
 
 def nearest(
@@ -109,10 +137,10 @@ def nearest(
     """Exact ``k`` nearest vectors per query by cosine: ``(query_id, vec_id, score, rank)``.
 
     ``scope=(vector column, query column)`` only ranks vectors whose value equals the query's, so the
-    result is the k nearest *among* the rows in scope. Null vectors, empty ones and vectors with nulls are left
-    out on both sides; each query is ranked among the vectors of its own length. Each task keeps k rows per query while it streams
-    its vectors; only those are shuffled. A query set that fits ``max_queries`` (checked) is sent to the
-    tasks, a larger one is matched block by block with bounded memory. Ids are 64-bit integers.
+    result is the k nearest *among* the rows in scope, and only those are scored. Vectors that are null, empty or zero or have null or
+    non-finite elements are left out on both sides; each query is ranked among the vectors of its own length. Each task keeps k rows
+    per query while it streams its vectors; only those are shuffled. A query set that fits ``max_queries`` and ``MAX_QUERY_BYTES`` (both
+    checked) is sent to the tasks, a larger one is matched block by block with bounded memory. Ids are 64-bit integers.
     """
     v = vectors.select(
         F.col(vector_id).cast("bigint").alias("vid"),
@@ -124,13 +152,12 @@ def nearest(
         F.col(query_vector).cast("array<double>").alias("vec"),
         (F.col(scope[1]).cast("string") if scope else F.lit("")).alias("scope"),
     )
-    whole = F.col("vec").isNotNull() & ~F.coalesce(F.exists("vec", lambda x: x.isNull()), F.lit(True))
-    q = q.filter(whole & F.col("qid").isNotNull())
-    v = v.filter(whole & F.col("vid").isNotNull())
+    q = q.filter(usable_vector("vec") & F.col("qid").isNotNull())
+    v = v.filter(usable_vector("vec") & F.col("vid").isNotNull())
     schema = "qid bigint, vid bigint, score double"
-    q, v = q.filter(F.size("vec") > 0), v.filter(F.size("vec") > 0)
-    head = q.limit(max_queries + 1).collect()
-    if len(head) <= max_queries:
+    size = q.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.size("vec")), F.lit(0)).alias("numbers")).first()
+    if size["rows"] <= max_queries and 8 * size["numbers"] <= MAX_QUERY_BYTES:
+        head = q.collect()
         lengths = sorted({len(r["vec"]) for r in head})
         v = v.filter(F.size("vec").isin(lengths)) if lengths else v.limit(0)
         by_length = {n: [r for r in head if len(r["vec"]) == n] for n in lengths}
@@ -164,15 +191,16 @@ def nearest(
 
 
 def _in_blocks(v: DataFrame, q: DataFrame, k: int, schema: str, scoped: bool, block: int, rows_per_block: int) -> DataFrame:
-    """Every block of queries meets every block of vectors once; both sides of a group are bounded."""
-    q_blocks = max(1, math.ceil(q.count() / block))
-    v_blocks = max(1, math.ceil(v.count() / rows_per_block))
+    """Every block of queries meets every block of vectors of its scope once; both sides of a group are bounded."""
+    counts = [x.groupBy("scope").agg(F.count(F.lit(1)).alias(n)) for x, n in ((q, "nq"), (v, "nv"))]
+    sizes = counts[0].join(counts[1], "scope").select("scope", F.ceil(F.col("nq") / block).alias("q_blocks"), F.ceil(F.col("nv") / rows_per_block).alias("v_blocks"))
 
-    def every(n: int) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    def every(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
 
-    left = v.withColumn("vb", F.pmod(F.xxhash64("vid"), F.lit(v_blocks)).cast("int")).withColumn("qb", every(q_blocks))
-    right = q.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(q_blocks)).cast("int")).withColumn("vb", every(v_blocks))
+    left = v.join(sizes, "scope").withColumn("vb", F.pmod(F.xxhash64("vid"), F.col("v_blocks"))).withColumn("qb", every("q_blocks"))
+    right = q.join(sizes, "scope").withColumn("qb", F.pmod(F.xxhash64("qid"), F.col("q_blocks"))).withColumn("vb", every("v_blocks"))
+    left, right = left.drop("q_blocks", "v_blocks"), right.drop("q_blocks", "v_blocks")
 
     def match(vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         parts = [pd.DataFrame({"qid": [], "vid": [], "score": []})]
@@ -186,7 +214,7 @@ def _in_blocks(v: DataFrame, q: DataFrame, k: int, schema: str, scoped: bool, bl
             parts.append(pd.DataFrame(dict(zip(("qid", "vid", "score"), best.rows(some_q["qid"].tolist())))))
         return pd.concat(parts[1:]) if len(parts) > 1 else parts[0]
 
-    return left.groupBy("vb", "qb").cogroup(right.groupBy("vb", "qb")).applyInPandas(match, schema)
+    return left.groupBy("scope", "vb", "qb").cogroup(right.groupBy("scope", "vb", "qb")).applyInPandas(match, schema)
 
 
 def collapse_to_parents(child_hits: DataFrame, children: DataFrame, parents: DataFrame) -> DataFrame:
@@ -230,6 +258,24 @@ def merge_by_score(hits: DataFrame, top: int) -> DataFrame:
     return ranked.withColumn("position", F.col("position").cast("bigint"))
 
 
+def locator(index: str, row: Mapping[str, Column] | None = None) -> Column:
+    """Where a hit comes from, as text: pages of a document, chunk of a telemetry file, or section and files of an analysis."""
+    col = lambda name: (row or {}).get(name, F.col(name)).cast("string")
+    unknown = lambda name: F.coalesce(col(name), F.lit("?"))
+    if index == "regulatory":
+        return F.concat(unknown("source"), F.lit(" p."), unknown("page_start"), F.lit("-"), unknown("page_end"))
+    if index == "telemetry":
+        return F.concat(unknown("source"), F.lit(" chunk "), unknown("chunk_index"))
+    if index == "analysis":
+        return F.concat(F.lit("analysis:"), unknown("section"), F.lit(" ("), F.coalesce(col("sources"), F.lit("")), F.lit(")"))
+    raise ValueError(f"Unknown index '{index}'")
+
+
+def text_preview(text: Column) -> Column:
+    """The first 300 characters, as result lists show them."""
+    return F.left(text, F.lit(300))
+
+
 def context_block(position: Column, locator: Column, text: Column, findings: Column | None = None) -> Column:
     """One numbered entry of retrieved context: source, text (1500 characters), exact values."""
     head = F.concat(F.lit("["), position.cast("string"), F.lit("] (source: "), locator, F.lit(")\n"), F.left(text, F.lit(1500)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -86,7 +86,11 @@ def tenant_outliers(df: DataFrame, metrics: Sequence[str], cutoff: float = 1.5)
         ["client_id"], list(metrics), "metric", "value"
     )
     counted = long.filter("value IS NOT NULL").groupBy("client_id", "metric", "value").agg(F.count(F.lit(1)).alias("n"))
-    counted = checkpoint_cut(counted)
+    return outliers_of_counts(checkpoint_cut(counted), cutoff)
+
+
+def outliers_of_counts(counted: DataFrame, cutoff: float = 1.5) -> DataFrame:
+    """IQR bounds and outlier counts from ``client_id, metric, value, n``, which must be written down."""
     quartiles = grouped_quantiles(counted, ["client_id", "metric"], "value", (0.25, 0.75))
     spread = F.col("q")[1] - F.col("q")[0]
     bounds = quartiles.select(
@@ -108,7 +112,12 @@ def tenant_trends(df: DataFrame, date: str, metrics: Sequence[str], freq: str =
     """Trend per tenant and metric; all metrics share the per-period aggregation."""
     start = F.date_trunc(FREQUENCIES[freq][0], F.col(date))
     periods = df.filter(F.col(date).isNotNull()).groupBy("client_id", start.alias("s")).agg(*[aggregate(m, "mean").alias(m) for m in metrics])
-    long = periods.unpivot(["client_id", "s"], list(metrics), "metric", "y").filter("y IS NOT NULL")
+    return trends_of_periods(periods.unpivot(["client_id", "s"], list(metrics), "metric", "y"))
+
+
+def trends_of_periods(means: DataFrame) -> DataFrame:
+    """Least-squares trend per tenant and metric over the means ``y`` of its periods ``s``: ``client_id, metric, s, y``."""
+    long = means.filter("y IS NOT NULL")
     order = Window.partitionBy("client_id", "metric").orderBy("s")
     fitted = long.withColumn("x", (F.row_number().over(order) - 1).cast("double")).groupBy("client_id", "metric").agg(
         F.count(F.lit(1)).alias("periods"), F.regr_slope("y", "x").alias("slope"),
@@ -128,6 +137,11 @@ def tenant_rankings(df: DataFrame, entity: str, metric: str, n: int = TOP_ENTITI
     means = df.filter(F.col(entity).isNotNull()).groupBy("client_id", F.col(entity).alias("entity")).agg(
         F.round(aggregate(metric, "mean"), 3).alias("value")
     )
+    return rankings_of_means(means, metric, n)
+
+
+def rankings_of_means(means: DataFrame, metric: str, n: int = TOP_ENTITIES) -> DataFrame:
+    """Top ``n`` of ``client_id, entity, value`` per tenant."""
     order = Window.partitionBy("client_id").orderBy(F.desc("value"), F.asc("entity"))
     return means.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n).select(
         "client_id", F.lit(metric).alias("metric"), F.col("rank").cast("bigint").alias("rank"), "entity", "value"
@@ -213,7 +227,16 @@ def findings(df: DataFrame, source: str, date: str, entity: str, metrics: Sequen
     """
     metrics = list(metrics)
     df = analysis_table(df, source, date, entity, metrics)
-    kpi = merge_files(kpi_findings(df, source), source).withColumn("section", kpi_section_column(F.col("kpi")))
+    blocks = {
+        "kpis": merge_files(kpi_findings(df, source), source), "outliers": tenant_outliers(df, metrics),
+        "trends": tenant_trends(df, date, metrics[:max_series]), "statistics": tenant_statistics(df, metrics), "rankings": tenant_rankings(df, entity, metrics[0]),
+    }
+    return findings_of(blocks, entity)
+
+
+def findings_of(blocks: Mapping[str, DataFrame], entity: str) -> DataFrame:
+    """The findings of ``kpis, outliers, trends, statistics`` and ``rankings``, as :func:`findings` makes them."""
+    kpi = blocks["kpis"].withColumn("section", kpi_section_column(F.col("kpi")))
     value_text = F.when(
         F.col("status") == "error", F.concat(F.col("kpi"), F.lit(" = NOT COMPUTED ("), "error", F.lit(")"))
     ).otherwise(F.concat(F.col("kpi"), F.lit(" = "), _shown(F.col("value")), F.lit(" "), "unit"))
@@ -225,25 +248,25 @@ def findings(df: DataFrame, source: str, date: str, entity: str, metrics: Sequen
     m = F.col("metric")
     parts.append(
         routed(
-            tenant_outliers(df, metrics), "outlier", F.concat(F.col("outlier_count").cast("string"), F.lit(" outliers in "), m, F.lit(" (iqr)")),
+            blocks["outliers"], "outlier", F.concat(F.col("outlier_count").cast("string"), F.lit(" outliers in "), m, F.lit(" (iqr)")),
             F.concat(F.col("outlier_count").cast("string"), F.lit(" in "), m),
         )
     )
     parts.append(
         routed(
-            tenant_trends(df, date, metrics[:max_series]), "trend",
+            blocks["trends"], "trend",
             F.concat(F.lit("trend of "), m, F.lit(": "), "direction", F.lit(" (r²="), _shown(F.col("r_squared")), F.lit(", slope="), F.col("slope").cast("DECIMAL(20,4)").cast("string"), F.lit(")")),
             F.concat(m, F.lit(" "), "direction", F.lit(" (r²="), _shown(F.col("r_squared")), F.lit(")")),
         )
     )
     parts.append(
         routed(
-            tenant_statistics(df, metrics), "stat",
+            blocks["statistics"], "stat",
             F.concat(F.lit("statistics for "), m, F.lit(": mean="), _shown(F.col("mean")), F.lit(", min="), _shown(F.col("min")), F.lit(", max="), _shown(F.col("max"))),
             F.lit(None).cast("string"),
         )
     )
-    ranked = tenant_rankings(df, entity, metrics[0]).filter("rank <= 5").groupBy("client_id", "metric").agg(
+    ranked = blocks["rankings"].filter("rank <= 5").groupBy("client_id", "metric").agg(
         F.array_sort(F.collect_list(F.struct("rank", F.concat("entity", F.lit("="), _shown(F.col("value"))).alias("t")))).alias("top")
     )
     tops = F.array_join(F.transform("top", lambda x: x["t"]), ", ")

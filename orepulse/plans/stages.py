@@ -90,10 +90,13 @@ def run_stages(
     keys = {name: digest("source", name, s.signature) for name, s in sources.items()}
     results: dict[str, StageResult] = {}
     renewed: set[str] = set()
+    opened: dict[str, DataFrame] = {}
 
     def frame(name: str) -> DataFrame:
         if name in sources:
-            return sources[name].read()
+            if name not in opened:
+                opened[name] = sources[name].read()
+            return opened[name]
         if results[name].path is None:
             raise ValueError(f"stage '{name}' has no result")
         return spark.read.parquet(results[name].path)

@@ -465,7 +465,7 @@ _OUT_ONE = (
 )
 _OUT_SQL = " UNION ALL ".join(_OUT_ONE.format(m=m) for m in METRICS)
 _TREND_SQL = " UNION ALL ".join(
-    f"SELECT group_value AS client_id, value_column AS metric, periods, slope_per_period AS slope, r_squared, pct_change_first_to_last AS pct_change, direction FROM ({trend_sql('tf', 'load_start_time', m, 'W', 'client_id')})" for m in METRICS[:2]
+    f"SELECT group_value AS client_id, value_column AS metric, periods, slope_per_period AS slope, r_squared, pct_change_first_to_last AS pct_change, direction FROM ({trend_sql('tf', 'load_start_time', m, 'W', 'client_id')})" for m in METRICS
 )
 _RANK_SQL = (
     "SELECT client_id, 'payload_tonnes' AS metric, ROW_NUMBER() OVER (PARTITION BY client_id ORDER BY value DESC, entity) AS rank, entity, value FROM (SELECT client_id, equipment_id AS entity, "
@@ -474,15 +474,14 @@ _RANK_SQL = (
 for _name, _fn, _sql in (
     ("dashboard_statistics", lambda spark, sf: dashboard.tenant_statistics(tenant_fleet(spark, sf), METRICS), _STAT_SQL),
     ("dashboard_outliers", lambda spark, sf: dashboard.tenant_outliers(tenant_fleet(spark, sf), METRICS), _OUT_SQL),
-    ("dashboard_trends", lambda spark, sf: dashboard.tenant_trends(tenant_fleet(spark, sf), "load_start_time", METRICS[:2]), _TREND_SQL),
+    ("dashboard_trends", lambda spark, sf: dashboard.tenant_trends(tenant_fleet(spark, sf), "load_start_time", METRICS), _TREND_SQL),
     ("dashboard_rankings", lambda spark, sf: dashboard.tenant_rankings(tenant_fleet(spark, sf), "equipment_id", "payload_tonnes"), _RANK_SQL),
 ):
     suite.add(_name, _fn, f"WITH {_FILES_SQL} {_sql}")
 
 
 def found(spark, sf) -> DataFrame:
-    # The SQL twins have the trends of two metrics.
-    return dashboard.findings(tenant_fleet(spark, sf), "source_file", "load_start_time", "equipment_id", METRICS, max_series=2)
+    return dashboard.findings(tenant_fleet(spark, sf), "source_file", "load_start_time", "equipment_id", METRICS)
 
 
 _D3 = "CAST(CAST({} AS DECIMAL(20,3)) AS VARCHAR)"
@@ -504,11 +503,18 @@ suite.add(
     lambda spark, sf: report_rows(spark, sf).filter("chunk_level = 'child'").select("parent_id", "client_id", "section", "kind", "text"),
     f"WITH {_FOUND_SQL} SELECT client_id || ':' || section AS parent_id, client_id, section, kind, client_id || ' ' || section || ' — ' || text AS text FROM fd WHERE section IS NOT NULL",
 )
+_BRIEF = """, br AS (SELECT client_id, section, kind, name, CASE kind WHEN 'kpi' THEN SUBSTRING(text, 5) WHEN 'outlier' THEN REPLACE(REPLACE(text, ' outliers in ', ' in '), ' (iqr)', '')
+    WHEN 'trend' THEN REGEXP_REPLACE(REPLACE(REPLACE(text, 'trend of ', ''), ': ', ' '), ', slope=.*$', ')') WHEN 'ranking' THEN 'Top' || SUBSTRING(text, 4) || '.' END AS brief FROM fd WHERE section IS NOT NULL),
+    fl AS (SELECT client_id, STRING_AGG(source_file, ', ' ORDER BY source_file) AS sources, COUNT(*) AS files, SUM(n) AS total FROM (SELECT client_id, source_file, COUNT(*) AS n FROM tf GROUP BY ALL) GROUP BY 1),
+    ls AS (SELECT client_id, section, STRING_AGG(brief, '; ' ORDER BY name) FILTER (WHERE kind = 'kpi') AS k, STRING_AGG(brief, '; ' ORDER BY name) FILTER (WHERE kind = 'trend') AS t,
+    STRING_AGG(brief, '; ' ORDER BY name) FILTER (WHERE kind = 'outlier') AS o, STRING_AGG(brief, chr(10) ORDER BY name) FILTER (WHERE kind = 'ranking') AS r FROM br GROUP BY ALL)"""
 suite.add(
     "dashboard_parent_rows",
-    lambda spark, sf: report_rows(spark, sf).filter("chunk_level = 'parent'").select("parent_id", F.substring_index("text", "(", 1).alias("head")),
-    f"WITH {_FOUND_SQL} SELECT DISTINCT client_id || ':' || section AS parent_id, 'Client ' || client_id || ' — ' || section || ' section ' AS head FROM fd WHERE section IS NOT NULL "
-    "UNION ALL SELECT DISTINCT client_id || ':overview', 'Client ' || client_id || ' — overview ' FROM fd",
+    lambda spark, sf: report_rows(spark, sf).filter("chunk_level = 'parent'").select("parent_id", "text"),
+    f"""WITH {_FOUND_SQL}{_BRIEF} SELECT client_id || ':' || section AS parent_id, CONCAT_WS(chr(10), 'Client ' || client_id || ' — ' || section || ' section (computed 2024-01-31, from ' || sources || ').',
+    'KPIs: ' || k || '.', 'Trends: ' || t || '.', 'Outliers: ' || o || '.', r) AS text FROM ls JOIN fl USING (client_id)
+    UNION ALL SELECT client_id || ':overview', 'Client ' || client_id || ' — overview (computed 2024-01-31). Files: ' || files || ', total rows: ' || CAST(total AS BIGINT) || '. KPIs computed: ' || c || '.'
+    FROM fl JOIN (SELECT client_id, COUNT(*) AS c FROM br WHERE kind = 'kpi' GROUP BY 1) USING (client_id)""",
 )
 
 

@@ -362,7 +362,13 @@ suite.add(
             F.col("source"), (F.col("doc_id") + 1).alias("page"), (F.col("n_chars") / 1000).alias("megabytes"), (F.col("doc_id") % 3 == 0).alias("starts_section")
         ),
         "source", max_pages=10, max_mb=15.0,
-    ),
+    ).withColumn("size_mb", F.round("size_mb", 6)),
+    """WITH RECURSIVE p AS (SELECT source, doc_id + 1 AS page, n_chars / 1000 AS mb, doc_id % 3 = 0 AS starts, ROW_NUMBER() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents),
+    w AS (SELECT *, LIST(mb) OVER f AS mbs, LIST(starts) OVER f AS ss, LIST(page) OVER f AS ps FROM p WINDOW f AS (PARTITION BY source ORDER BY i ROWS BETWEEN CURRENT ROW AND 10 FOLLOWING)),
+    k AS (SELECT *, LIST_MAX([1] || LIST_FILTER(RANGE(2, LEAST(LEN(mbs), 10) + 1), lambda j: LIST_SUM(mbs[1:j]) <= 15.0)) AS fit FROM w),
+    c AS (SELECT *, CASE WHEN LEN(mbs) > fit THEN COALESCE(LIST_MAX(LIST_FILTER(RANGE(1, fit + 1), lambda j: ss[j + 1])), fit) ELSE fit END AS n FROM k),
+    b AS (SELECT source, i, n, 0 AS batch_index, page, ps, mbs FROM c WHERE i = 1 UNION ALL SELECT c.source, c.i, c.n, batch_index + 1, c.page, c.ps, c.mbs FROM b JOIN c ON c.source = b.source AND c.i = b.i + b.n)
+    SELECT source, CAST(batch_index AS BIGINT) AS batch_index, CAST(page AS BIGINT) AS page_start, CAST(ps[n] AS BIGINT) AS page_end, ROUND(LIST_SUM(mbs[1:n]), 6) AS size_mb FROM b""",
 )
 
 # ---- telemetry chunks -----------------------------------------------------------------------
