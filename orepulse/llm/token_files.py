@@ -8,6 +8,8 @@ stripe in parallel; a document is found through part bounds, row index and Bloom
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Iterable
 from pathlib import Path
@@ -26,17 +28,24 @@ from orepulse.llm.common import join_bounded
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 1
 STRIPE_BYTES, ROW_GROUP, BLOOM_FPP = 16 << 20, 1000, 0.01  # a stripe is what one reader takes; a row group what an index entry covers
-MAX_REMEMBERED = 250_000  # units whose ids a worker remembers; a full memory starts afresh
+MAX_REMEMBERED = 600_000  # units whose ids a worker remembers, and as many older ones
 MAX_UNIT = 100  # longer units are encoded, not remembered
 MAX_TEXT = 1 << 20  # characters that are encoded at a time, unless one unit is longer
 MAX_IDS = 4 << 20  # ids of a batch of output rows, unless one document has more
 
 
+# The characters that lower-case text of plain Latin letters consists of, as the tokenizer's pattern sorts them.
+_SPACE, _LETTER, _NUMBER = "\t-\r \x85\xa0", "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff\u0100-\u017f", "0-9\xb2\xb3\xb9\xbc-\xbe"
+PLAIN = re.compile("[^\u0130\u0180-\U0010ffff]*")  # text whose normal form is itself and whose lower case has a letter for each letter
+PIECES = re.compile(f"[{_LETTER}]+|'(?:[stmd]|re|ve|ll)|[{_NUMBER}]|[^{_SPACE}{_LETTER}{_NUMBER}]+")
+
+
 class Encoder(dict):
     """``encoder[unit]``: the ids of a unit of text as little-endian unsigned 32-bit integers, worked out on first use.
 
-    A unit is what stands between spaces, line feeds and tabs. The tokenizers given here drop white space and make no token across it
-    (checked), so that a text's ids are those of its units in a row.
+    The tokenizer lower-cases, drops white space and makes no token across what its pattern separates. A text of plain Latin characters
+    is cut into just these pieces; any other text, and one that may hold a special token, is cut at spaces, line feeds and tabs only. So
+    a text's ids are those of its units in a row, and common units are encoded once. Tokenizers of another make are cut into nothing.
     """
 
     def __init__(self, definition: str):
@@ -44,38 +53,70 @@ class Encoder(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
-        if self._direct("a b\t. \n'S b") != self._direct("a") + self._direct("b") + self._direct(".") + self._direct("'S") + self._direct("b"):
-            raise ValueError("the tokenizer keeps white space")
-
-    def _direct(self, text: str) -> bytes:
+        self.older: dict[str, bytes] = {}
+        rules = json.loads(definition)
+        special = [t["content"] for t in rules.get("added_tokens", [])]
+        self.whole = (
+            rules.get("pre_tokenizer") != _PRE_TOKENIZER or rules.get("normalizer") != _NORMALIZER
+            or any(not t.startswith("<|") or any(c.isspace() for c in t) for t in special)
+        )
+        line = {"type": "Split", "pattern": {"String": "\n"}, "behavior": "Removed", "invert": False}
+        bare = {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [line, _PRE_TOKENIZER["pretokenizers"][1]]}}
+        self.bare = self.tokenizer if self.whole else Tokenizer.from_str(json.dumps(rules | bare))  # the same merges, for pieces one to a line
+
+    def direct(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, units: Iterable[str]) -> dict[str, bytes]:
-        """Encode the units that are not remembered, many in one go; those too long to remember are returned."""
-        if len(self) > MAX_REMEMBERED:
-            self.clear()
-        new = [u for u in units if u not in self]
-        long = {u: self._direct(u) for u in new if len(u) > MAX_UNIT}
-        new = [u for u in new if len(u) <= MAX_UNIT]
-        for at in range(0, len(new), MAX_TEXT // 16):
-            some = new[at : at + MAX_TEXT // 16]
-            whole = self.tokenizer.encode("\n".join(some), add_special_tokens=False)
-            ids = np.array(whole.ids, "<u4")
-            place = np.array([start for start, _ in whole.offsets], np.int64)
-            ends = np.cumsum([len(u) + 1 for u in some])
-            borders = np.searchsorted(place, ends).tolist()
-            data, last = ids.tobytes(), 0
-            for unit, border in zip(some, borders):
-                self[unit] = data[4 * last : 4 * border]
-                last = border
+    def learn(self, new: Iterable[str], tokenizer) -> dict[str, bytes]:
+        """Encode units that are not remembered, many in one go; those too long to remember are returned.
+
+        A full memory becomes the older one, from which units that occur again are taken over.
+        """
+        kept, older = [], self.older
+        long = {}
+        for unit in new:
+            if unit in older:
+                self[unit] = older[unit]
+            elif len(unit) <= MAX_UNIT:
+                kept.append(unit)
+            else:
+                long[unit] = self.direct(unit)
+        for at in range(0, len(kept), MAX_TEXT // 16):
+            some = kept[at : at + MAX_TEXT // 16]
+            whole = tokenizer.encode("\n".join(some), add_special_tokens=False)
+            data, offsets = np.array(whole.ids, "<u4").tobytes(), whole.offsets
+            place = np.array(next(zip(*offsets)), np.int64) if offsets else np.empty(0, np.int64)
+            ends = np.cumsum(np.fromiter(map(len, some), np.int64, len(some)) + 1)
+            borders = (4 * np.searchsorted(place, ends)).tolist()
+            self.update((unit, data[a:b]) for unit, a, b in zip(some, [0, *borders], borders))
         return long
 
     def texts(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
-        units = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-        long = self.learn(dict.fromkeys(u for us in units for u in us))
-        find = self.__getitem__ if not long else lambda u: long[u] if u in long else self[u]
-        return [b"".join(map(find, us)) for us in units]
+        if self.whole:
+            return [self.direct(t) for t in texts]
+        if len(self) > MAX_REMEMBERED:
+            self.older = dict(self)
+            self.clear()
+        plain = ["<|" not in t and (t.isascii() or PLAIN.fullmatch(t) is not None) for t in texts]
+        units = [PIECES.findall(t.lower()) if p else t.replace("\n", " ").replace("\t", " ").split(" ") for t, p in zip(texts, plain)]
+        long = self.learn({u for us, p in zip(units, plain) if p for u in us if u not in self}, self.bare)
+        if not all(plain):
+            long |= self.learn({u for us, p in zip(units, plain) if not p for u in us if u not in self}, self.tokenizer)
+        if long:
+            return [b"".join([long[u] if u in long else self[u] for u in us]) for us in units]
+        return [b"".join(map(self.__getitem__, us)) for us in units]
+
+
+# What a tokenizer must do with a text before its merges for units to be encoded apart.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 
 
 def _groups(texts: list[str]):
@@ -147,7 +188,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER, end_i
         "orc.create.index": "true", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": str(BLOOM_FPP),
         "orc.stripe.size": str(STRIPE_BYTES), "orc.row.index.stride": str(ROW_GROUP),
     }
-    encoded(docs, tokenizer, end_id).write.options(**options).orc(f"{folder}/ids", compression="zstd")
+    encoded(docs, tokenizer, end_id).write.options(**options).orc(f"{folder}/ids", compression="snappy")
     parts = _ids(docs.sparkSession, folder).groupBy("part").agg(
         F.sum("n_tokens").alias("n_tokens"), F.count("*").alias("rows"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most")
     )
