@@ -1,20 +1,24 @@
 import random
 
+import numpy as np
+import pytest
+
 import corpus_pipeline
-from orepulse.llm.lines import dedup_lines, removed_lines
+from orepulse.llm import lines as lines_module
+from orepulse.llm.lines import dedup_lines, removed_lines, shared_keys, shingles as shingle_hashes
 
-SIZE, BOUND = 12, 0.8
+BOUND = 0.8
 
 
-def shingles(line):
-    return {line[i : i + SIZE] for i in range(max(1, len(line) - SIZE + 1))}
+def shingles(line, size):
+    return {line[i : i + size] for i in range(max(1, len(line) - size + 1))}
 
 
-def brute(rows):
+def brute(rows, size):
     """Removed line numbers by (doc_id, text), by comparing every pair of lines."""
     places = sorted((d, i, line) for d, text in rows for i, line in enumerate((text or "").split("\n")) if line.strip(" "))
     kinds = sorted({line for _, _, line in places})
-    sets, parent = {k: shingles(k) for k in kinds}, {k: k for k in kinds}
+    sets, parent = {k: shingles(k, size) for k in kinds}, {k: k for k in kinds}
 
     def root(x):
         while parent[x] != x:
@@ -52,14 +56,16 @@ def corpus(n=60):
     return rows
 
 
-def test_against_every_pair(spark):
+@pytest.mark.parametrize("size,block", [(12, 256), (4, 256), (4, 3)])
+def test_against_every_pair(spark, monkeypatch, size, block):
+    monkeypatch.setattr(lines_module, "BLOCK", block)
     rows = corpus()
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    found = {r.doc_id: r.removed for r in removed_lines(docs).collect() if r.removed}
-    expected = brute(rows)
+    found = {r.doc_id: r.removed for r in removed_lines(docs, size=size).collect() if r.removed}
+    expected = brute(rows, size)
     assert sum(map(len, expected.values())) > 50
     assert found == expected
-    texts = {r.doc_id: r.text for r in dedup_lines(docs).collect()}
+    texts = {r.doc_id: r.text for r in dedup_lines(docs, size=size).collect()}
     for d, text in rows:
         assert texts[d] == "\n".join(x for i, x in enumerate(text.split("\n")) if i not in expected.get(d, []))
 
@@ -97,3 +103,38 @@ def test_one_edit_in_lines_of_usual_length(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
     left = [r for r in corpus_pipeline.cut_lines(spark, docs, "").collect() if "\n" in r.text]
     assert len(left) <= 2
+
+
+def test_shingle_hashes():
+    texts = ["a", "ab", "abcd", "abcde", "xabcd", "éé漢😀", "b" * 5000, "abcd"]
+    sets = [set(x.tolist()) for x in shingle_hashes(texts, 4)]
+    for x, p in zip(texts, sets):
+        for y, q in zip(texts, sets):
+            assert len(p & q) == len(shingles(x, 4) & shingles(y, 4)), (x, y)
+    assert [len(x) for x in sets[:4]] == [1, 1, 1, 2]
+
+
+def test_shared_keys_of_hot_and_rare_bands(spark, monkeypatch):
+    monkeypatch.setattr(lines_module, "PART_KEYS", 50)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "40")
+    rng, rows, want = np.random.default_rng(3), [], {}
+    for i in range(300):
+        keys = np.concatenate([[10**9 if i % 3 else 10**9 + i + 1], rng.choice(5000, lines_module.BANDS - 1, replace=False)]).astype(np.uint64)  # one key of two thirds
+        rows.append((i, keys.tobytes()))
+        for k in keys.tolist():
+            want.setdefault(k, set()).add(i)
+    signed = spark.createDataFrame(rows, "id long, bands binary").repartition(3)
+    got = {}
+    for r in shared_keys(signed, 300).collect():
+        got.setdefault(r.key, []).append(r.id)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items() if len(v) > 1}
+    assert len(got[10**9]) == 200
+
+
+def test_columns_with_the_names_used_inside(spark):
+    names = ["_id", "_row", "_removed", "_copy", "_times", "_whole", "h1", "pos", "line", "id"]
+    docs = spark.createDataFrame([(1, "same line\nother", *[f"{n}1" for n in names]), (2, "same line", *[f"{n}2" for n in names])], f"doc_id long, text string, {', '.join(f'{n} string' for n in names)}")
+    out = {r.doc_id: r for r in dedup_lines(docs).collect()}
+    assert out[1].text == "same line\nother" and out[2].text == ""
+    assert all(out[i][n] == f"{n}{i}" for i in (1, 2) for n in names) and dedup_lines(docs).columns == docs.columns
