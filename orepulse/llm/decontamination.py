@@ -124,9 +124,13 @@ def _of_size(docs: DataFrame, items: DataFrame, similarity: float, k: int) -> Da
 
 
 def clean(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE_WORDS) -> DataFrame:
-    """``docs`` without the documents that hold a passage like an item."""
+    """``docs`` without the documents that hold a passage like an item.
+
+    A document without an id goes with the other such documents; null and empty texts hold no passage and stay, repeated rows stay or go
+    together. All columns are as they were.
+    """
     bad = cut(contaminated(docs, items, similarity, size).select(F.col("doc_id").alias("_bad")).distinct())
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    return docs.alias("d").join(bad.alias("b"), F.col("d.doc_id").eqNullSafe(F.col("b._bad")), "left_anti")
 
 
 # For items of at least five words; windows are laid as above and every item of their length is compared.

@@ -271,10 +271,10 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE
 
 
 def _classified(docs: DataFrame, similarity: float, size: int) -> DataFrame:
-    """``docs`` with ``_class_id`` and ``_kept``."""
+    """The rows of ``docs``, each as the one value ``_whole`` so that no column name can clash, with ``_class_id`` and ``_kept``."""
     found = cut(classes(docs, similarity, size))
     k1, k2 = F.xxhash64("text"), F.xxhash64("text", F.lit(1))
-    keyed = docs.withColumns({"_k1": F.when(F.col("text").isNotNull(), k1), "_k2": k2})
+    keyed = docs.select(F.struct(*docs.columns).alias("_whole"), "doc_id", F.when(F.col("text").isNotNull(), k1).alias("_k1"), k2.alias("_k2"))
     put = found.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("keeper").alias("_keeper"))
     placed = join_bounded(keyed, put, ["_k1", "_k2"], "left")
     chosen = F.col("_keeper").isNull() | (
@@ -299,10 +299,11 @@ def near_documents(docs: DataFrame, similarity: float = SIMILARITY, size: int =
     equal rows one. Columns of ``docs`` that have these names are replaced.
     """
     found = _classified(docs, similarity, size)
-    others = [c for c in docs.columns if c not in ("class_id", "kept")]
+    others = [F.col("_whole").getField(c).alias(c) for c in docs.columns if c not in ("class_id", "kept")]
     return found.select(*others, F.col("_class_id").alias("class_id"), F.col("_kept").alias("kept"))
 
 
 def drop_near_documents(docs: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE_WORDS) -> DataFrame:
-    """One document of each class, with the columns of ``docs``."""
-    return _classified(docs, similarity, size).where("_kept").select(*docs.columns)
+    """One document of each class, with the columns of ``docs``; null texts all stay."""
+    found = _classified(docs, similarity, size).where("_kept")
+    return found.select(*[F.col("_whole").getField(c).alias(c) for c in docs.columns])

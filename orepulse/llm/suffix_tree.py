@@ -81,7 +81,8 @@ def count_grams(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
 def tree(full: DataFrame, depth: int = DEPTH, least_gain: float = LEAST_GAIN) -> DataFrame:
     """``gram, level, p``: smoothed probabilities of the next symbol in every kept context, level 0 being the empty context.
 
-    The smoothing of Witten and Bell: ``(n + kinds * parent) / (total + kinds)``. Every context that passes the test is kept.
+    The smoothing of Witten and Bell: ``(n + kinds * parent) / (total + kinds)``. Every context that passes the test is kept, and every
+    suffix of it, so that the probabilities of a state's 256 next bytes sum to 1.
     """
     level = full.select("gram", "n")
     levels = {depth: level}
@@ -106,6 +107,11 @@ def tree(full: DataFrame, depth: int = DEPTH, least_gain: float = LEAST_GAIN) ->
         kept.append(gains.where((F.col("gain") >= least_gain) | F.lit(d == 0)).select("context"))
         parent = smooth
         levels[d] = smooth
+    closed = cut(kept[depth])  # with a context all its shorter forms are kept, so that what it leaves over goes to its own parent
+    kept[depth] = closed
+    for d in range(depth - 1, -1, -1):
+        parents = closed.select(F.col("context").bitwiseAND((1 << (8 * d)) - 1).alias("context"))
+        closed = kept[d] = cut(kept[d].unionByName(parents).distinct())
     out = None
     for d in range(depth + 1):
         here = levels[d].join(kept[d], "context").select(
@@ -227,16 +233,17 @@ def score_texts(
     if model.count() <= most_grams:
         held_model = model.toArrow().to_pandas()
         columns = (("gram", np.int64), ("p", np.float64), ("back", np.float64))
-        scorer_ = Scorer([Scorer.level(*(held_model.loc[held_model["level"] == d, c].to_numpy(t) for c, t in columns)) for d in range(depth + 1)], depth)
+        arrays = [Scorer.level(*(held_model.loc[held_model["level"] == d, c].to_numpy(t) for c, t in columns)) for d in range(depth + 1)]
     else:  # the same probabilities, worked out for the distinct sequences of all texts; the frequent ones are sent to the tasks
         sequences = cut(count_grams(rows, depth))
         values = cut(sequences.join(sequence_values(sequences, model, depth), "gram"))
         frequent = values.orderBy(F.desc("n"), "gram").limit(most_grams).toArrow()
-        scorer_ = Cache(frequent["gram"].to_numpy(), frequent["value"].to_numpy(), depth)
-    shipped = spark.sparkContext.broadcast(scorer_)
+        arrays = frequent["gram"].to_numpy(), frequent["value"].to_numpy()
+    shipped = spark.sparkContext.broadcast(arrays)  # plain arrays: workers need not be able to import this package
+    make = Scorer if values is None else lambda held, d: Cache(*held, d)
 
     def run(batches):
-        scorer, logs = shipped.value, known_words.value
+        scorer, logs = make(shipped.value, depth), known_words.value
         for batch in batches:
             for part in _chunks(batch["text"].to_numpy()):
                 frame = batch[["row", "doc_id", "held_out"]].iloc[[r for r, _, _ in part]]

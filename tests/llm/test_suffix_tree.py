@@ -4,7 +4,7 @@ from collections import Counter
 
 import numpy as np
 
-from orepulse.llm.suffix_tree import score_texts, spelled, words_of
+from orepulse.llm.suffix_tree import Scorer, count_grams, score_texts, spelled, tree, words_of
 
 DEPTH, GAIN = 3, 2.0
 
@@ -36,6 +36,8 @@ def brute(rows):
                 gain += n * math.log(n / total / parent)
             if level == 0 or gain >= GAIN:
                 kept[level].add(context)
+    for level in range(DEPTH, 0, -1):
+        kept[level - 1] |= {context[1:] for context in kept[level]}
     n, v = words.total(), len(words)
 
     def chance(found, symbol, level):
@@ -81,3 +83,17 @@ def test_a_model_above_the_bound_scores_the_same(spark, small):
 def test_no_training_rows(spark):
     docs = spark.createDataFrame([(1, "x")], "doc_id long, text string").limit(0)
     assert score_texts(docs).count() == 0
+
+
+def test_every_state_is_a_distribution(spark, small):
+    """The kept contexts are closed under suffixes, and the probabilities of the 256 next bytes sum to 1 in each of them."""
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("text")
+    model = tree(count_grams(docs, DEPTH), DEPTH, GAIN).toPandas()
+    states = [set((model.loc[model["level"] == d, "gram"].to_numpy(np.int64) >> 8).tolist()) for d in range(DEPTH + 1)]
+    for d in range(1, DEPTH + 1):
+        assert len(states[d]) > 10 and {c & ((1 << (8 * (d - 1))) - 1) for c in states[d]} <= states[d - 1]
+    columns = (("gram", np.int64), ("p", np.float64), ("back", np.float64))
+    scorer = Scorer([Scorer.level(*(model.loc[model["level"] == d, c].to_numpy(t) for c, t in columns)) for d in range(DEPTH + 1)], DEPTH)
+    some = [c for d in range(DEPTH + 1) for c in sorted(states[d])[:: max(1, len(states[d]) // 60)]]
+    for context in some:
+        assert math.isclose((10 ** scorer.log10((context << 8) + np.arange(256))).sum(), 1.0, rel_tol=1e-9), context
