@@ -149,6 +149,18 @@ def percent_text(value: Column, decimals: int = 1) -> Column:
     return F.concat(F.format_string(f"%.{decimals}f", F.round(value, decimals)), F.lit("%"))
 
 
+def thousands_text(value: Column, decimals: int = 0) -> Column:
+    """A number with commas between thousands; null stays null."""
+    return F.format_number(F.round(value, decimals), decimals)
+
+
+def rounded_or_same(value: Column, decimals: int = 3) -> Column:
+    """Text of a number rounded to ``decimals``; what is no number, or not a finite one, passes through unchanged."""
+    number = value.cast("string").try_cast("double")
+    finite = number.isNotNull() & ~F.isnan(number) & (F.abs(number) < float("inf"))
+    return F.when(finite, F.round(number, decimals).cast("string")).otherwise(value.cast("string"))
+
+
 def quantise(vector: Column) -> Column:
     return F.transform(vector, lambda x: F.round(x * 127).cast("tinyint"))
 

@@ -39,9 +39,11 @@ def drop_ignorable(df: DataFrame) -> DataFrame:
     return df.drop(*[c for c in df.columns if re.sub("[^a-z0-9]", "", c.lower()) in keys])
 
 
-# Date layouts that are read besides ISO, tried in this order; of two numbers with a slash the month comes first.
+# Date layouts that are read besides ISO, tried in this order. Of two numbers with a slash the month comes first, unless there
+# is no such month; numbers with dots or dashes before the year begin with the day.
 DATE_FORMATS = (
     "M/d/yyyy[ H:mm[:ss]]", "yyyy/M/d[ H:mm[:ss]]", "d-MMM-yyyy[ H:mm[:ss]]", "d MMM yyyy[ H:mm[:ss]]", "MMM d yyyy[ H:mm[:ss]]", "MMM d, yyyy[ H:mm[:ss]]", "yyyyMMdd",
+    "d/M/yyyy[ H:mm[:ss]]", "d.M.yyyy[ H:mm[:ss]]", "d-M-yyyy[ H:mm[:ss]]",
 )
 
 
