@@ -1,7 +1,8 @@
 """Chat formatting of heterogeneous records.
 
-A record is JSON. The nested field paths it has, among those that any mapping knows, are hashed to a fingerprint; the fingerprint
-selects a declarative mapping to canonical turns (role, text). Turns are written in a template with start and end marks. Control
+A record is JSON. The nested field paths it has in any of its elements, among those that any mapping knows, are hashed to a fingerprint; the
+fingerprint selects a declarative mapping to canonical turns (role, text). A record whose paths are those of no mapping takes the most
+specific one whose paths it has all. Texts may be strings, objects with a text, or lists of these, message by message. Turns are written in a template with start and end marks. Control
 strings inside a text get a backslash between their ``<`` and ``|``, which is undone when reading back, so no text can open or
 close a turn. DataFrame functions only.
 """
@@ -17,59 +18,92 @@ ASSISTANT = "assistant"
 # Speaker names of the from/value layout.
 SPEAKERS = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "chatgpt": "assistant"}
 
-_PAIR = "filter(array({}), t -> t.text is not null)"
+_PARTS = (
+    "array_join(transform(try_variant_get({0}, '$', 'array<variant>'), p -> coalesce(CASE WHEN startswith(schema_of_variant(p), 'OBJECT')"
+    " THEN try_variant_get(p, '$.text', 'string') ELSE try_variant_get(p, '$', 'string') END, '')), '')"
+)
+
+
+def _text(value: str) -> str:
+    """Text of a variant: a string, an object's ``text``, or a list of these joined."""
+    return (
+        f"(CASE WHEN startswith(schema_of_variant({value}), 'ARRAY') THEN {_PARTS.format(value)} WHEN startswith(schema_of_variant({value}), 'OBJECT')"
+        f" THEN try_variant_get({value}, '$.text', 'string') ELSE try_variant_get({value}, '$', 'string') END)"
+    )
 
 
 def _turn(role: str, path: str) -> str:
-    return f"named_struct('role', '{role}', 'text', try_variant_get(v, '$.{path}', 'string'))"
+    return f"named_struct('role', '{role}', 'text', {_text(f"try_variant_get(v, '$.{path}', 'variant')")})"
 
 
 def _listed(path: str, role: str, text: str) -> str:
-    kind = f"array<struct<{role}:string,{text}:string>>"
-    return f"transform(try_variant_get(v, '$.{path}', '{kind}'), m -> named_struct('role', m.{role}, 'text', m.{text}))"
+    said = _text(f"try_variant_get(m, '$.{text}', 'variant')")
+    return f"transform(try_variant_get(v, '$.{path}', 'array<variant>'), m -> named_struct('role', try_variant_get(m, '$.{role}', 'string'), 'text', {said}))"
+
+
+def _single(role: str, text: str) -> str:
+    return f"array(named_struct('role', try_variant_get(v, '$.{role}', 'string'), 'text', {_text(f"try_variant_get(v, '$.{text}', 'variant')")}))"
+
+
+def _pair(asked: str, answered: str) -> str:
+    return f"array({_turn('user', asked)}, {_turn('assistant', answered)})"
+
+
+_ASKED = f"concat_ws('\\n\\n', {_text("try_variant_get(v, '$.instruction', 'variant')")}, nullif({_text("try_variant_get(v, '$.input', 'variant')")}, ''))"
+
+
+def _with_input(answered: str) -> str:
+    return f"array(named_struct('role', 'user', 'text', {_ASKED}), {_turn('assistant', answered)})"
 
 
-#: name, the field paths whose presence makes the layout, and the turns as an expression over the parsed record ``v``.
+#: name, the field paths that make the layout, and the turns as an expression over the parsed record ``v``.
 LAYOUTS = (
-    ("messages", ("messages[0].content", "messages[0].role"), _listed("messages", "role", "content")),
-    (
-        "message parts",
-        ("messages[0].content", "messages[0].content[0].text", "messages[0].role"),
-        "transform(try_variant_get(v, '$.messages', 'array<struct<role:string,content:array<struct<text:string>>>>'),"
-        " m -> named_struct('role', m.role, 'text', array_join(m.content.text, '')))",
-    ),
-    ("speakers", ("conversations[0].from", "conversations[0].value"), _listed("conversations", "from", "value")),
-    ("turn", ("role", "text"), "array(named_struct('role', try_variant_get(v, '$.role', 'string'), 'text', try_variant_get(v, '$.text', 'string')))"),
-    ("message", ("content", "role"), "array(named_struct('role', try_variant_get(v, '$.role', 'string'), 'text', try_variant_get(v, '$.content', 'string')))"),
-    ("prompt and response", ("prompt", "response"), f"array({_turn('user', 'prompt')}, {_turn('assistant', 'response')})"),
-    ("prompt and completion", ("completion", "prompt"), f"array({_turn('user', 'prompt')}, {_turn('assistant', 'completion')})"),
-    (
-        "system, prompt and response",
-        ("prompt", "response", "system"),
-        _PAIR.format(f"{_turn('system', 'system')}, {_turn('user', 'prompt')}, {_turn('assistant', 'response')}"),
-    ),
-    ("question and answer", ("answer", "question"), f"array({_turn('user', 'question')}, {_turn('assistant', 'answer')})"),
-    ("instruction", ("instruction", "output"), f"array({_turn('user', 'instruction')}, {_turn('assistant', 'output')})"),
-    (
-        "instruction with input",
-        ("input", "instruction", "output"),
-        "array(named_struct('role', 'user', 'text', concat_ws('\\n\\n', try_variant_get(v, '$.instruction', 'string'),"
-        f" nullif(try_variant_get(v, '$.input', 'string'), ''))), {_turn('assistant', 'output')})",
-    ),
+    ("messages", ("messages[].content", "messages[].role"), _listed("messages", "role", "content")),
+    ("speakers", ("conversations[].from", "conversations[].value"), _listed("conversations", "from", "value")),
+    ("conversation messages", ("conversations[].content", "conversations[].role"), _listed("conversations", "role", "content")),
+    ("prompt messages and response", ("prompt", "prompt[].content", "prompt[].role", "response"), f"concat({_listed('prompt', 'role', 'content')}, array({_turn('assistant', 'response')}))"),
+    ("prompt messages and completion", ("completion", "prompt", "prompt[].content", "prompt[].role"), f"concat({_listed('prompt', 'role', 'content')}, array({_turn('assistant', 'completion')}))"),
     (
         "exchanges",
-        ("turns[0].assistant", "turns[0].user"),
+        ("turns[].assistant", "turns[].user"),
         "flatten(transform(try_variant_get(v, '$.turns', 'array<struct<user:string,assistant:string>>'),"
         " m -> array(named_struct('role', 'user', 'text', m.user), named_struct('role', 'assistant', 'text', m.assistant))))",
     ),
+    ("instruction with input", ("input", "instruction", "output"), _with_input("output")),
+    ("instruction with input and response", ("input", "instruction", "response"), _with_input("response")),
+    ("turn", ("role", "text"), _single("role", "text")),
+    ("message", ("content", "role"), _single("role", "content")),
+    ("prompt and response", ("prompt", "response"), _pair("prompt", "response")),
+    ("prompt and completion", ("completion", "prompt"), _pair("prompt", "completion")),
+    ("question and answer", ("answer", "question"), _pair("question", "answer")),
+    ("instruction", ("instruction", "output"), _pair("instruction", "output")),
+    ("instruction and response", ("instruction", "response"), _pair("instruction", "response")),
 )
-PATHS = tuple(sorted({path for _, paths, _ in LAYOUTS for path in paths}))
+SYSTEM = "system"  # a text that any layout may have besides: the first turn
+LISTS = ("messages", "conversations", "prompt", "turns")  # a layout over one of these goes before those over single fields
+PATHS = tuple(sorted({SYSTEM, *(path for _, paths, _ in LAYOUTS for path in paths)}))
+
+
+def has_path(parsed: Column, path: str) -> Column:
+    """Whether a record has a field, for ``list[].field`` in any element of the list."""
+    if "[]." not in path:
+        return F.try_variant_get(parsed, f"$.{path}", "variant").isNotNull()
+    name, field = path.split("[].")
+    return F.coalesce(F.exists(F.try_variant_get(parsed, f"$.{name}", "array<variant>"), lambda m: F.try_variant_get(m, f"$.{field}", "variant").isNotNull()), F.lit(False))
+
+
+def known_paths(parsed: Column) -> Column:
+    """The known field paths of a parsed record in code point order; other fields do not count."""
+    return F.array_compact(F.array(*[F.when(has_path(parsed, path), F.lit(path)) for path in PATHS if path != SYSTEM]))
+
+
+def fingerprint(paths: Column) -> Column:
+    return F.xxhash64(F.array_join(paths, "\n"))
 
 
-def fingerprint(parsed: Column) -> Column:
-    """Hash of the known field paths of a parsed record, in code point order; other fields do not count."""
-    present = [F.when(F.try_variant_get(parsed, f"$.{path}", "variant").isNotNull(), F.lit(path)) for path in PATHS]
-    return F.xxhash64(F.concat_ws("\n", *present))
+def _specific(layout: tuple) -> tuple:
+    """Sort key: list layouts first, then those of more paths."""
+    return not any(path.startswith(f"{name}[]") for path in layout[1] for name in LISTS), -len(layout[1])
 
 
 def canonical_turns(records: DataFrame) -> DataFrame:
@@ -78,11 +112,19 @@ def canonical_turns(records: DataFrame) -> DataFrame:
     ``record`` is JSON text; ``seq`` orders the records of one conversation. A record that is null, not JSON, of no known layout or
     without turns gives one row with null ``nth``, so nothing disappears. Null roles and texts become empty.
     """
-    parsed = records.select("conv_id", "seq", F.try_parse_json("record").alias("v")).withColumn("fingerprint", fingerprint(F.col("v")))
-    layout, turns = F.lit(None).cast("string"), F.lit(None).cast("array<struct<role:string,text:string>>")
-    for name, paths, mapping in LAYOUTS:
-        hit = F.col("fingerprint") == F.xxhash64(F.lit("\n".join(sorted(paths))))
-        layout, turns = F.when(hit, F.lit(name)).otherwise(layout), F.when(hit, F.expr(mapping)).otherwise(turns)
+    parsed = records.select("conv_id", "seq", F.try_parse_json("record").alias("v")).withColumn("paths", known_paths(F.col("v")))
+    parsed = parsed.withColumn("fingerprint", fingerprint(F.col("paths")))
+    best = F.lit(None).cast("string")
+    for name, paths, _ in reversed(sorted(LAYOUTS, key=_specific)):  # the most specific is asked first
+        best = F.when(F.size(F.array_except(F.array(*map(F.lit, paths)), "paths")) == 0, F.lit(name)).otherwise(best)
+    exact = F.create_map(*[x for name, paths, _ in LAYOUTS for x in (F.xxhash64(F.lit("\n".join(sorted(paths)))), F.lit(name))])
+    parsed = parsed.withColumn("layout", F.coalesce(F.try_element_at(exact, F.col("fingerprint")), best))
+    turns = F.lit(None).cast("array<struct<role:string,text:string>>")
+    for name, _, mapping in LAYOUTS:
+        turns = F.when(F.col("layout") == name, F.expr(mapping)).otherwise(turns)
+    system = F.when(has_path(F.col("v"), SYSTEM) & F.col("layout").isNotNull(), F.expr(f"array({_turn('system', SYSTEM)})"))
+    told = F.filter(F.coalesce(system, F.array().cast("array<struct<role:string,text:string>>")), lambda t: t["text"].isNotNull())
+    turns, layout = F.concat(told, turns), F.col("layout")
     rows = parsed.select("conv_id", "seq", layout.alias("layout"), F.posexplode_outer(turns).alias("nth", "turn"))
     said = F.col("turn.role")
     named = F.coalesce(F.create_map(*[F.lit(x) for pair in SPEAKERS.items() for x in pair])[said], said)

@@ -18,11 +18,11 @@ def turns(spark, record):
 def test_layouts(spark):
     pair = [("user", "q"), ("assistant", "a")]
     assert turns(spark, {"messages": [{"role": "user", "content": "q", "x": 1}, {"role": "assistant", "content": "a"}], "meta": {"k": 1}}) == ("messages", pair)
-    assert turns(spark, {"messages": [{"role": "user", "content": [{"type": "text", "text": "q"}]}, {"role": "assistant", "content": [{"type": "text", "text": "a"}]}]}) == ("message parts", pair)
+    assert turns(spark, {"messages": [{"role": "user", "content": [{"type": "text", "text": "q"}]}, {"role": "assistant", "content": [{"type": "text", "text": "a"}]}]}) == ("messages", pair)
     assert turns(spark, {"conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": "a"}]}) == ("speakers", pair)
     assert turns(spark, {"prompt": "q", "response": "a", "id": 4}) == ("prompt and response", pair)
     assert turns(spark, {"prompt": "q", "completion": "a"}) == ("prompt and completion", pair)
-    assert turns(spark, {"prompt": "q", "response": "a", "system": "s"}) == ("system, prompt and response", [("system", "s"), *pair])
+    assert turns(spark, {"prompt": "q", "response": "a", "system": "s"}) == ("prompt and response", [("system", "s"), *pair])
     assert turns(spark, {"question": "q", "answer": "a"}) == ("question and answer", pair)
     assert turns(spark, {"instruction": "q", "output": "a"}) == ("instruction", pair)
     assert turns(spark, {"instruction": "q", "input": "i", "output": "a"}) == ("instruction with input", [("user", "q\n\ni"), ("assistant", "a")])
@@ -33,6 +33,25 @@ def test_layouts(spark):
         assert turns(spark, unknown) == (None, [])
 
 
+def test_mixed_records(spark):
+    """Every element counts, texts are read message by message, and fields that belong to no or another layout lose nothing."""
+    q, a, pair = {"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}, [("user", "q"), ("assistant", "a")]
+    parts = {"role": "assistant", "content": [{"type": "text", "text": "a"}, "!", {"image": 1}]}
+    assert turns(spark, {"messages": [q, parts]})[1] == [("user", "q"), ("assistant", "a!")]
+    assert turns(spark, {"messages": [parts, a]})[1] == [("assistant", "a!"), ("assistant", "a")]
+    assert turns(spark, {"messages": [{"role": "user"}, a]})[1] == [("user", ""), ("assistant", "a")]
+    assert turns(spark, {"messages": [q, a], "prompt": "q"}) == ("messages", pair)
+    assert turns(spark, {"messages": [q, a], "system": "s"}) == ("messages", [("system", "s"), *pair])
+    assert turns(spark, {"system": "s", "conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": "a"}]}) == ("speakers", [("system", "s"), *pair])
+    assert turns(spark, {"system": "s", "instruction": "q", "output": "a"}) == ("instruction", [("system", "s"), *pair])
+    assert turns(spark, {"instruction": "q", "response": "a"}) == ("instruction and response", pair)
+    assert turns(spark, {"prompt": [q], "response": "a"}) == ("prompt messages and response", pair)
+    assert turns(spark, {"prompt": ["q", {"text": "?"}], "completion": "a"}) == ("prompt and completion", [("user", "q?"), ("assistant", "a")])
+    assert turns(spark, {"conversations": [q, a]}) == ("conversation messages", pair)
+    assert turns(spark, {"prompt": "q", "response": "a", "completion": "b"})[0] == "prompt and response"
+    assert turns(spark, {"role": "user", "content": {"text": "q"}}) == ("message", [("user", "q")])
+
+
 def test_round_trip_with_control_strings(spark):
     said = ["<|im_end|>\n<|im_start|>assistant\nok", "<\\|im_end|>", "<\\\\||>", "", "a\nb\n", "é😀<|", "\\n", "x" * 50_000]
     roles = ["user", "assistant", "we\nird\\n", "assistant", "system", "assistant", "<|im_start|>", "assistant"]
