@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from orepulse.functions import text as fx
 from orepulse.operators import chunking, documents
 from orepulse.operators.quality import mask_identifiers
+from orepulse.operators.retrieval import text_preview
 from orepulse.operators.scans import trailing_rows
 from orepulse.plans.suite import Suite, half_up
 from orepulse.sources.tables import table
@@ -64,6 +65,20 @@ def _labels(spark, sf):
     )
 
 
+@suite.query(
+    "fn_number_texts",
+    f"""SELECT event_id, FORMAT('{{:,}}', CAST(ROUND(value * 1000) AS BIGINT)) AS thousands, PRINTF('%.1f%%', {half_up('value', 1)}) AS percent,
+    CASE WHEN event_id % 3 = 0 THEN event_type ELSE CAST({half_up('value', 2)} AS VARCHAR) END AS shown, LEFT(REPEAT(event_type || ' ', 80), 300) AS preview FROM events""",
+)
+def _number_texts(spark, sf):
+    e = table(spark, sf, "events")
+    mixed = F.when(F.col("event_id") % 3 == 0, F.col("event_type")).otherwise(F.col("value").cast("string"))
+    return e.select(
+        "event_id", fx.thousands_text(F.col("value") * 1000).alias("thousands"), fx.percent_text(F.col("value")).alias("percent"), fx.rounded_or_same(mixed, 2).alias("shown"),
+        text_preview(F.repeat(F.concat("event_type", F.lit(" ")), F.lit(80))).alias("preview"),
+    )
+
+
 @suite.query(
     "fn_clean_title_and_body",
     rf"""SELECT doc_id, LEFT({_strip(r"REGEXP_REPLACE(NFC_NORMALIZE(text), '\s+', ' ', 'g')")}, 200) AS title,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,6 +11,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from orepulse.functions.numbers import exact_mean
 from orepulse.operators.insights import breach
+from orepulse.sources import snapshots
+from orepulse.sources.folders import is_there
 from orepulse.sources.ledger import append_ledger
 from orepulse.sources.sinks import overwrite_keys
 
@@ -57,6 +60,35 @@ def replace_by_key_stream(
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(once=True).start()
 
 
+def refresh_keys(
+    stream: DataFrame, target: str, key: str, checkpoint: str, *, ledger: str | None = None, records: Callable[[DataFrame], DataFrame] | None = None,
+) -> list[str]:
+    """Replace, in a snapshot table, the rows of every key that arrived since the last run, and return the runs that were committed.
+
+    New files are taken in batches as small as the stream's ``maxFilesPerTrigger`` asks, each staged under its batch number, so that a
+    batch that is repeated replaces itself. When all of them are staged, one step makes their rows the only ones of their keys: a key
+    whose rows arrive in several batches keeps them all, readers never see half a run, and a run that dies leaves the old rows; the next
+    one goes on after the batches that are done and commits these with its own. ``records`` makes ledger records from the rows of the
+    last commit; they are appended after it, and again by the next run if that failed (equal records are not written twice).
+    """
+    spark = stream.sparkSession
+    own = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
+
+    def stage(batch: DataFrame, batch_id: int) -> None:
+        snapshots.stage_rows(batch, target, key, f"{own}-{batch_id:09d}")
+
+    stream.writeStream.foreachBatch(stage).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    done = set(snapshots.committed_runs(spark, target)) if is_there(spark, f"{target}/table.json") else set()
+    waiting = [r for r in snapshots.staged_runs(spark, target) if r.startswith(f"{own}-") and r not in done]
+    if waiting:
+        snapshots.commit_runs(spark, target, waiting)
+    if ledger and records and (last := snapshots.latest_version(spark, target)):
+        fresh = snapshots.version_keys(spark, target).where(F.col("rows").isNotNull() & (F.col("since") == last)).select(F.col("key").alias("_fresh"))
+        rows = snapshots.read_current(spark, target)
+        append_ledger(records(rows.join(fresh, F.col(key).eqNullSafe(F.col("_fresh")), "left_semi")), ledger)
+    return waiting
+
+
 def hourly_mean_stream(stream: DataFrame, moment: str, value: str, *, lateness: str = "1 hour") -> DataFrame:
     """Mean per tumbling hour."""
     windowed = stream.withWatermark(moment, lateness).groupBy(F.window(moment, "1 hour"))

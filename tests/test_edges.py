@@ -405,7 +405,7 @@ def test_dates_in_other_layouts(spark):
 
 
 def test_phone_shapes_are_masked(spark):
-    for text in ("555-123-4567", "+44 20 7946 0958", "555.123.4567", "+1 (988) 555-2485", "(988) 555-2485", "1-800-555-1234"):
+    for text in ("555-123-4567", "+44 20 7946 0958", "555.123.4567", "+1 (988) 555-2485", "(988) 555-2485", "1-800-555-1234", "(020) 7946 0958", "(0121) 496-0123"):
         assert quality.mask_identifiers(spark.createDataFrame([(f"call {text} now",)], "t string"), "t").first()[0] == "call {PHONE} now"
     for text in ("4565-4101-2566-7261", "4565410125667261", "2024-01-31", "192.168.100.14", "123-45-6789"):
         assert quality.mask_identifiers(spark.createDataFrame([(text,)], "t string"), "t").first()[0] == text
@@ -459,3 +459,18 @@ def test_every_metric_of_the_list_is_in_every_block(spark, small):
         sections = json.loads(row["report"])["sections"]
         names = {block: {x["metric"] for s in sections for x in s[block]} for block in ("statistics", "trends")}
         assert names["statistics"] == names["trends"] and len(names["trends"]) == len(whole["trend"])
+
+
+def test_day_first_dates_and_number_texts(spark):
+    from orepulse.operators.reshape import coerce_dates, uncovered_columns
+
+    texts = {"31.01.2024": "2024-01-31", "13/02/2024": "2024-02-13", "03/02/2024": "2024-03-02", "5-6-2024 7:08": "2024-06-05", "31.02.2024": None, "2024-01-02": "2024-01-02", "": None}
+    df = spark.createDataFrame([(t,) for t in texts], "seen_date string").withColumn("t", F.col("seen_date"))
+    got = {r.t: r.d for r in coerce_dates(df).select("t", F.date_format("seen_date", "yyyy-MM-dd").alias("d")).collect()}
+    assert got == texts
+    values = spark.createDataFrame([("12.3456",), ("n/a",), (None,), ("NaN",), ("-0.5",)], "v string")
+    assert [r[0] for r in values.select(fx.rounded_or_same(F.col("v"), 2)).collect()] == ["12.35", "n/a", None, "NaN", "-0.5"]
+    assert spark.range(1).select(fx.thousands_text(F.lit(-1234567.89), 1), fx.thousands_text(F.lit(999), 0), fx.thousands_text(F.lit(None).cast("double"))).first()[:] == ("-1,234,567.9", "999", None)
+    present = spark.createDataFrame([("a", "x"), ("a", "y"), ("a", "y"), ("b", "x"), ("a", None)], "f string, c string")
+    covered = spark.createDataFrame([("a", "x"), ("c", "y")], "f string, c string")
+    assert rows(uncovered_columns(present.dropna(), covered, "f", "c")) == [("a", "y"), ("b", "x")]

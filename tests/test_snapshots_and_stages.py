@@ -133,3 +133,38 @@ def test_a_job_resumes_where_it_died(spark, tmp_path, monkeypatch):
     monkeypatch.undo()
     log.clear()
     assert run_stages(spark, folder, source(spark, log, "s2"), chain(spark, log)).made == ["one", "two", "three"]
+
+
+def test_a_stream_replaces_keys_in_one_step(spark, tmp_path, monkeypatch):
+    from orepulse.sources.ledger import LEDGER_SCHEMA, read_ledger
+    from orepulse.streaming import jobs
+
+    source, target, check, ledger = (str(tmp_path / n) for n in ("in", "table", "check", "ledger"))
+
+    def arrive(*given):
+        frame(spark, *given).coalesce(1).write.mode("append").parquet(source)
+
+    def records(done):
+        keys = done.groupBy("k").agg(F.sum("v").alias("s"))
+        return keys.selectExpr("s AS seq", "'C1' AS client_id", "k AS source_file", "'x' AS content_signature", "'v1' AS pipeline_version", "'indexed' AS status").select(*[c.split()[0] for c in LEDGER_SCHEMA.split(", ")])
+
+    def run():
+        stream = jobs.file_stream(spark, source, "k string, v int", per_trigger=1)
+        return jobs.refresh_keys(stream, target, "k", check, ledger=ledger, records=records)
+
+    arrive(("a", 1)), arrive(("a", 2), ("b", 3)), arrive(("c", 4))
+    assert len(run()) == 3 and latest_version(spark, target) == 1  # three batches, one step
+    assert rows(read_current(spark, target)) == [("a", 1), ("a", 2), ("b", 3), ("c", 4)]
+    assert run() == [] and latest_version(spark, target) == 1 and read_ledger(spark, ledger).count() == 3
+    arrive(("a", 10))
+    with monkeypatch.context() as patch:
+        def dies(*_, **__):
+            raise KeyboardInterrupt
+
+        patch.setattr(snapshots, "commit_runs", dies)  # between the staged rows and the switch
+        with pytest.raises(KeyboardInterrupt):
+            run()
+    assert rows(read_current(spark, target))[:2] == [("a", 1), ("a", 2)]
+    arrive(("a", 20), ("d", 5))
+    assert len(run()) == 2 and rows(read_current(spark, target)) == [("a", 10), ("a", 20), ("b", 3), ("c", 4), ("d", 5)]
+    assert rows(read_ledger(spark, ledger).filter("source_file = 'a'").select("seq")) == [(3,), (30,)]
