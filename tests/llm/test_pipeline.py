@@ -6,6 +6,7 @@ import corpus_pipeline
 from orepulse.llm.decontamination import contaminated
 from orepulse.llm.mixing import mix
 from tests.llm.test_decontamination import brute as leaks
+from orepulse.llm.lines import SHORT_SHINGLE
 from tests.llm.test_lines import brute as repeated
 from tests.llm.test_order_minhash import labelled, similar
 
@@ -47,7 +48,7 @@ def test_stages_against_brute_force(spark, folder):
     assert {r.doc_id for r in good.collect()} == {d for d in range(120) if d % 5 != 1}  # empty texts have none of a good text's features and go too
     short = stages["lines"](spark, good, folder).cache()
     assert short.columns == columns
-    gone = repeated([(r.doc_id, r.text) for r in good.where("doc_id <> 5").collect()])
+    gone = repeated([(r.doc_id, r.text) for r in good.where("doc_id <> 5").collect()], SHORT_SHINGLE)
     before = {r.doc_id: r.text for r in good.collect()}
     for r in short.where("doc_id <> 5").collect():
         assert r.text == (None if before[r.doc_id] is None else "\n".join(x for i, x in enumerate(before[r.doc_id].split("\n")) if i not in gone.get(r.doc_id, [])))
