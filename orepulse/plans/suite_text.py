@@ -259,12 +259,12 @@ suite.add(
 )
 suite.add(
     "doc_layout_sections",
-    lambda spark, sf: documents.layout_sections(layout_blocks(spark, sf), "doc_id"),
+    lambda spark, sf: documents.layout_sections(layout_blocks(spark, sf), "doc_id").withColumn("tables", documents.tables_text(F.col("tables"))),
     rf"""WITH l AS (SELECT doc_id, UNNEST(STRING_SPLIT(text, chr(10))) AS line, GENERATE_SUBSCRIPTS(STRING_SPLIT(text, chr(10)), 1) - 1 AS i FROM documents),
-    b AS (SELECT doc_id, i // 3 AS c, COALESCE(STRING_AGG(line, ' ' ORDER BY i) FILTER (WHERE line <> ''), '') AS t FROM l GROUP BY ALL),
+    b AS (SELECT doc_id, i // 3 AS c, COALESCE(STRING_AGG(line, ' ' ORDER BY i) FILTER (WHERE line <> ''), '') AS t, STRING_AGG('| ' || TRIM(line) || ' |', chr(10) ORDER BY i) AS rows_ FROM l GROUP BY ALL),
     k AS (SELECT *, CASE WHEN c % 5 = 2 THEN 'H' WHEN c % 7 = 3 THEN 'T' ELSE 'X' END AS kind, c // 10 + 1 AS page FROM b),
     s AS (SELECT *, SUM(CASE WHEN kind = 'H' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY c) AS section_no FROM k)
-    SELECT doc_id, CAST(section_no AS BIGINT) AS section_no, COALESCE(MAX(CASE WHEN kind = 'H' THEN COALESCE(NULLIF(t, ''), 'untitled') END), 'untitled-0') AS title,
+    SELECT doc_id, COALESCE(STRING_AGG(CASE WHEN kind = 'T' THEN rows_ || chr(10) END, chr(10) ORDER BY c), '') AS tables, CAST(section_no AS BIGINT) AS section_no, COALESCE(MAX(CASE WHEN kind = 'H' THEN COALESCE(NULLIF(t, ''), 'untitled') END), 'untitled-0') AS title,
     {_strip("COALESCE(STRING_AGG(CASE WHEN kind = 'X' AND LENGTH(" + _strip('t') + ") > 2 THEN t END, chr(10) ORDER BY c), '')")} AS body,
     COUNT(*) FILTER (WHERE kind = 'T') AS table_count, CAST(COALESCE(MIN(CASE WHEN kind = 'H' THEN page END), 1) AS BIGINT) AS page_start, CAST(MAX(page) AS BIGINT) AS page_end
     FROM s GROUP BY doc_id, section_no""",
