@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from orepulse.session import checkpoint_cut
+from orepulse.session import checkpoint_cut, release_shuffles  # noqa: F401
 
 WORD = r"[^\x20\x09-\x0D]+"
 SHINGLE_WORDS = 5
@@ -39,12 +38,6 @@ def drop_cut(df: DataFrame) -> None:
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of finished jobs now, not when the driver happens to collect its garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def join_bounded(big: DataFrame, small: DataFrame, on, how: str = "inner", most_rows: int = 400_000) -> DataFrame:
     """Join with a narrow table: sent to every task if its counted rows stay below the bound, shuffled on the key otherwise."""
     return big.join(F.broadcast(small) if small.count() <= most_rows else small, on, how)

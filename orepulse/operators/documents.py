@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from orepulse.functions.text import clean_body, clean_title, file_slug, section_id, strip
 from orepulse.operators.scans import ordered_scan
-from orepulse.session import checkpoint_cut
+from orepulse.session import checkpoint_cut, release_shuffles
 
 # Classification limits and the document-type tags that decide a class.
 MIN_PAGE_CHARS = 200
@@ -121,30 +121,64 @@ def distinct_boundaries(headings: DataFrame, doc: str) -> DataFrame:
 MOST_LEVELS = 64  # links from a block up to its outermost container; more are a cycle
 
 
-def _text_paths(blocks: DataFrame, doc: str) -> DataFrame:
-    """``doc, at, path, leaf, text``: every text with each container above it and the places that lead down from there.
+# Layout block types that open a section, hold a table, a cell of one, or text.
+HEADER_TYPES = ("LAYOUT_SECTION_HEADER",)
+TABLE_TYPES = ("TABLE",)
+CELL_TYPES = ("CELL", "MERGED_CELL")
+TEXT_TYPES = ("LAYOUT_TEXT", "LAYOUT_LIST", "LAYOUT_FIGURE", "LAYOUT_HEADER", "LAYOUT_FOOTER", "LAYOUT_PAGE_NUMBER")
+KEPT_TYPES = (*HEADER_TYPES, *TABLE_TYPES, *TEXT_TYPES)
+MIN_PART = 2  # texts of up to so many characters are page numbers and specks
+
+def _below(holders: DataFrame, leaves: DataFrame, doc: str) -> tuple[DataFrame, DataFrame]:
+    """Texts below containers, as ``doc, at, kept, shown, cell, text, lines`` where ``text`` is all there is, and with a ``path`` where it is a part.
 
-    A container that has a text of its own speaks for what lies below it. One round per level, each a join on (document, block), so a
+    ``holders`` are the blocks without a text: a container that has one speaks for what lies below it. ``leaves``: ``doc, block_id,
+    block_type, text``. The texts directly in a container that holds no other containers are joined to one, so what goes up level by level
+    is text and no longer a row per word. ``path`` are the places that lead down to a part, ``lines`` the ids of its LINE blocks; ``kept``,
+    ``shown`` (kept or a line) and ``cell`` tell the kind of the container. One round per level, each a join on (document, block), so a
     document of many blocks is spread over the tasks.
     """
-    links = checkpoint_cut(
-        blocks.filter("text IS NULL").select(doc, F.col("block_id").alias("parent"), F.posexplode("child_ids").alias("pos", "child"))
+    line, nothing = F.when(F.col("block_type") == "LINE", F.col("block_id")), F.lit(None).cast("string")
+    kinds = {"kept": F.col("block_type").isin(*KEPT_TYPES), "shown": F.col("block_type").isin(*KEPT_TYPES, "LINE"), "cell": F.col("block_type").isin(*CELL_TYPES)}
+    texts = leaves.select(doc, F.col("block_id").alias("child"), "text", line.alias("line"), F.lit(False).alias("holds"))
+    known = holders.select(doc, F.col("block_id").alias("child"), nothing.alias("text"), nothing.alias("line"), F.lit(True).alias("holds")).distinct()
+    links = holders.select(doc, F.col("block_id").alias("parent"), *[c.alias(n) for n, c in kinds.items()], F.posexplode("child_ids").alias("pos", "child"))
+    inside = F.struct("pos", "text", "line", F.when(F.col("holds"), F.col("child")).alias("holder"))
+    direct = links.join(texts.unionByName(known), [doc, "child"]).groupBy(doc, "parent").agg(
+        F.array_sort(F.collect_list(inside)).alias("inside"), *[F.coalesce(F.max(n), F.lit(False)).alias(n) for n in kinds]
     )
-    found, above = None, blocks.filter("text <> ''").select(
-        doc, F.col("block_id").alias("at"), F.array().cast("array<int>").alias("path"), F.col("block_id").alias("leaf"), "text"
+    # Where an id stands for several containers, their texts may have to be mixed: there every text stays on its own.
+    twice = checkpoint_cut(holders.filter(F.size("child_ids") > 0).groupBy(doc, "block_id").count().filter("count > 1").select(doc).distinct())
+    mixed = F.lit(False)
+    if not twice.isEmpty():
+        direct, mixed = direct.join(twice.withColumn("twice", F.lit(True)), doc, "left"), F.col("twice").isNotNull()
+    own, held = F.filter("inside", lambda x: x["holder"].isNull()), F.filter("inside", lambda x: x["holder"].isNotNull())
+    found = direct.select(
+        doc, "parent", *kinds, own.alias("own"), F.transform(held, lambda x: F.struct(x["pos"].alias("pos"), x["holder"].alias("child"))).alias("held"), mixed.alias("mixed")
     )
+    one = F.struct(F.array(F.get("own", F.lit(0))["pos"]).alias("path"), F.array_join("own.text", " ").alias("text"), F.array_compact("own.line").alias("lines"))
+    each = F.transform("own", lambda x: F.struct(F.array(x["pos"]).alias("path"), x["text"].alias("text"), F.array_compact(F.array(x["line"])).alias("lines")))
+    whole = (F.size("held") == 0) & (F.size("own") > 0) & ~F.col("mixed")
+    direct = checkpoint_cut(found.select(doc, "parent", *kinds, "held", whole.alias("whole"), F.when(whole, F.array(one)).otherwise(each).alias("parts")), codec="zstd")
+    release_shuffles(direct.sparkSession)
+    up = direct.select(doc, "parent", *kinds, F.inline("held"))
+    level = direct.select(doc, F.col("parent").alias("at"), *kinds, "whole", F.inline("parts"))
+    complete, parts = level.filter("whole").drop("whole", "path"), level.filter("NOT whole").drop("whole")
+    level = level.drop("whole", *kinds)
     for _ in range(MOST_LEVELS):
-        up = above.withColumnRenamed("at", "child").join(links, [doc, "child"])
-        above = checkpoint_cut(up.select(doc, F.col("parent").alias("at"), F.concat(F.array("pos"), "path").alias("path"), "leaf", "text"))
-        if above.isEmpty():
-            return above if found is None else found
-        found = above if found is None else found.unionByName(above)
+        more = level.withColumnRenamed("at", "child").join(up, [doc, "child"])
+        level = checkpoint_cut(more.select(doc, F.col("parent").alias("at"), *kinds, F.concat(F.array("pos"), "path").alias("path"), "text", "lines"))
+        if level.isEmpty():
+            return complete, parts
+        parts, level = parts.unionByName(level), level.drop(*kinds)
     raise ValueError(f"blocks lie more than {MOST_LEVELS} deep, or in a cycle")
 
 
-def _joined_texts(paths: DataFrame, doc: str) -> DataFrame:
-    parts = paths.groupBy(doc, F.col("at").alias("block_id")).agg(F.array_sort(F.collect_list(F.struct("path", "text"))).alias("parts"))
-    return parts.select(doc, "block_id", F.array_join(F.transform("parts", lambda p: p["text"]), " ").alias("resolved"))
+def _joined_texts(complete: DataFrame, parts: DataFrame, doc: str) -> DataFrame:
+    texts = F.array_sort(F.collect_list(F.struct("path", "text")))
+    ordered = parts.groupBy(doc, F.col("at").alias("block_id")).agg(texts.alias("parts"), F.max("shown").alias("shown"), F.max("cell").alias("cell"))
+    joined = ordered.select(doc, "block_id", F.array_join("parts.text", " ").alias("resolved"), "shown", "cell")
+    return complete.select(doc, F.col("at").alias("block_id"), F.col("text").alias("resolved"), "shown", "cell").unionByName(checkpoint_cut(joined))
 
 
 def block_texts(blocks: DataFrame, doc: str) -> DataFrame:
@@ -153,16 +187,9 @@ def block_texts(blocks: DataFrame, doc: str) -> DataFrame:
     ``blocks``: ``doc, block_id, block_type, page, top, left_pos, text, child_ids``. Containers without any text have no row.
     """
     own = blocks.filter("text IS NOT NULL").select(doc, "block_id", F.col("text").alias("resolved"))
-    return own.unionByName(_joined_texts(_text_paths(blocks, doc), doc))
+    return own.unionByName(_joined_texts(*_below(blocks.filter("text IS NULL"), blocks.filter("text <> ''"), doc), doc).drop("shown", "cell"))
 
 
-# Layout block types that open a section, hold a table, a cell of one, or text.
-HEADER_TYPES = ("LAYOUT_SECTION_HEADER",)
-TABLE_TYPES = ("TABLE",)
-CELL_TYPES = ("CELL", "MERGED_CELL")
-TEXT_TYPES = ("LAYOUT_TEXT", "LAYOUT_LIST", "LAYOUT_FIGURE", "LAYOUT_HEADER", "LAYOUT_FOOTER", "LAYOUT_PAGE_NUMBER")
-MIN_PART = 2  # texts of up to so many characters are page numbers and specks
-
 CELLS = "array<struct<row_index:int,col_index:int,text:string>>"
 
 
@@ -174,31 +201,49 @@ def layout_sections(blocks: DataFrame, doc: str) -> DataFrame:
     table is its cells, in the section it stands in. Section numbers are a running count of headers, taken with the block-wise scan so
     that one large document does not sit in one task.
     """
-    paths = _text_paths(blocks, doc)
-    texts = blocks.filter("text IS NOT NULL").select(doc, "block_id", F.col("text").alias("resolved")).unionByName(_joined_texts(paths, doc))
-    texts = checkpoint_cut(texts)
-    kept = blocks.filter(F.col("block_type").isin(*HEADER_TYPES, *TABLE_TYPES, *TEXT_TYPES))
-    children = blocks.filter("text IS NOT NULL").select(doc, F.explode("child_ids").alias("leaf"))  # these are spoken for
-    held = paths.join(kept.select(doc, F.col("block_id").alias("at")), [doc, "at"]).select(doc, "leaf").unionByName(children).distinct()
-    loose = blocks.filter("block_type = 'LINE'").join(held.withColumnRenamed("leaf", "block_id"), [doc, "block_id"], "left_anti")
+    line = F.col("block_type") == "LINE"
+    main = line | F.col("block_type").isin(*KEPT_TYPES, *CELL_TYPES)
+    # All but the words, and without the texts of lines: read several times below.
+    far = F.coalesce(line & (F.col("text") != ""), F.lit(False))
+    few = blocks.filter(F.col("text").isNull() | main | (F.size("child_ids") > 0))
+    few = checkpoint_cut(few.withColumns({"text": F.when(~far, F.col("text")), "far": far, "holds": F.col("text").isNull()}))
+    kept = few.filter(F.col("block_type").isin(*KEPT_TYPES))
+    complete, parts = _below(few.filter("holds"), blocks.filter("text <> ''"), doc)
+    lines = complete.filter("kept").select(doc, "lines").unionByName(parts.filter("kept").select(doc, "lines"))
+    children = few.filter("NOT holds").select(doc, F.explode("child_ids").alias("block_id"))  # these are spoken for
+    held = lines.select(doc, F.explode("lines").alias("block_id")).unionByName(children)
     columns = [doc, "block_id", "block_type", "page", "top", "left_pos"]
-    placed = kept.select(*columns).unionByName(loose.select(*columns)).join(texts, [doc, "block_id"], "left")
+    loose = checkpoint_cut(few.filter(line).select(*columns, "text", "far").join(held, [doc, "block_id"], "left_anti"))
+
+    # Texts of what is placed and of cells; several texts of one id are told apart by their number.
+    given = few.filter(F.col("block_type").isin(*KEPT_TYPES, *CELL_TYPES)).select(doc, "block_id", "text").unionByName(loose.filter("NOT far").select(doc, "block_id", "text"))
+    apart = loose.filter("far").select(doc, "block_id").distinct()
+    if not apart.isEmpty():
+        given = given.unionByName(blocks.filter(line & (F.col("text") != "")).select(doc, "block_id", "text").join(apart, [doc, "block_id"], "left_semi"))
+    number = F.row_number().over(Window.partitionBy(doc, "block_id").orderBy("text"))
+    own = checkpoint_cut(given.filter("text IS NOT NULL").select(doc, "block_id", F.col("text").alias("resolved"), number.alias("text_no")))
+    below = _joined_texts(complete.filter("shown OR cell"), parts.filter("shown OR cell"), doc).withColumn("text_no", F.lit(0))
+    known = own.withColumns({"shown": F.lit(True), "cell": F.lit(True)}).unionByName(below)
+    texts, cell_texts = [known.filter(c).drop("shown", "cell") for c in ("shown", "cell")]
 
     numbered = [F.col(c).cast("int") if c in blocks.columns else F.lit(None).cast("int") for c in ("row_index", "col_index")]
-    cells = blocks.filter(F.col("block_type").isin(*CELL_TYPES)).select(doc, F.col("block_id").alias("cell"), numbered[0].alias("r"), numbered[1].alias("c"))
-    inside = blocks.filter(F.col("block_type").isin(*TABLE_TYPES)).select(doc, "block_id", F.posexplode("child_ids").alias("pos", "cell"))
+    cells = few.filter(F.col("block_type").isin(*CELL_TYPES)).select(doc, F.col("block_id").alias("cell"), numbered[0].alias("r"), numbered[1].alias("c"))
+    inside = few.filter(F.col("block_type").isin(*TABLE_TYPES)).select(doc, "block_id", F.posexplode("child_ids").alias("pos", "cell"))
     cell = F.struct(F.coalesce("r", "pos").alias("row_index"), F.coalesce("c", F.lit(0)).alias("col_index"), F.coalesce("resolved", F.lit("")).alias("text"))
     tables = (
         inside.join(cells, [doc, "cell"])
-        .join(texts.withColumnRenamed("block_id", "cell"), [doc, "cell"], "left")
+        .join(cell_texts.withColumnRenamed("block_id", "cell"), [doc, "cell"], "left")
         .groupBy(doc, "block_id")
         .agg(F.array_sort(F.collect_list(cell)).alias("cells"))
     )
 
+    # Places are put in order without their texts; these come to the sections afterwards.
     header = F.col("block_type").isin(*HEADER_TYPES)
-    scanned = ordered_scan(
-        placed.select(*columns, "resolved"), [doc], ["page", "top", "left_pos", "block_id"], sums={"section_no": header.cast("int")}
-    ).join(tables, [doc, "block_id"], "left")
+    placed = kept.select(*columns).unionByName(loose.select(*columns)).join(texts.drop("resolved"), [doc, "block_id"], "left")
+    order = ["page", "top", "left_pos", "block_id"]
+    scanned = ordered_scan(placed, [doc], [*order, "text_no"], sums={"section_no": header.cast("int")})
+    release_shuffles(blocks.sparkSession)
+    scanned = scanned.join(tables, [doc, "block_id"], "left").join(texts, [doc, "block_id", "text_no"], "left")
     place = [F.col(c) for c in ("page", "top", "left_pos", "block_id")]
     table = F.col("block_type").isin(*TABLE_TYPES)
     body = ~header & ~table & (F.length(strip(F.coalesce("resolved", F.lit("")))) > MIN_PART)

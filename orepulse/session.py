@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -29,7 +30,7 @@ def spark_session(master: str | None = None, app: str = "orepulse", **conf: str)
     return builder.getOrCreate()
 
 
-def checkpoint_cut(df: DataFrame) -> DataFrame:
+def checkpoint_cut(df: DataFrame, codec: str = "snappy") -> DataFrame:
     """Cut lineage by writing the rows to the shared checkpoint folder and reading them back.
 
     The written table survives lost executors, and being parquet it is compressed and lets each reader
@@ -38,10 +39,16 @@ def checkpoint_cut(df: DataFrame) -> DataFrame:
     a cluster without a shared folder is an error, since its executors could not see each other's files.
     """
     path = shared_path(df.sparkSession)
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished jobs now, not when the driver happens to collect its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def shared_path(spark: SparkSession) -> str:
     """A new place for files of a job in the folder that the driver and all executors share."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or _own_folder(spark)

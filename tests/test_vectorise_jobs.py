@@ -155,6 +155,38 @@ def test_layout_sections_hold_everything(spark):
     assert [r[0] for r in text.collect()] == ["| km | per hour |\n|  | 7 |\n", "", ""]
 
 
+def test_words_go_up_as_one_text_per_line(spark, monkeypatch):
+    """What is written down between the rounds is a row per container, not one per word."""
+    columns = "doc string, block_id string, block_type string, page bigint, top double, left_pos double, text string, child_ids array<string>"
+    rows_ = [("d", f"W{i:03d}", "WORD", 1, 0.0, 0.0, f"w{i}", []) for i in range(300)]
+    rows_ += [("d", f"N{n}", "GROUP", 1, 0.0, 0.0, None, [f"W{n * 100 + i:03d}" for i in range(100)]) for n in range(3)]
+    rows_ += [("d", "B", "LAYOUT_TEXT", 1, 0.0, 0.0, None, ["N0", "W000", "N1", "N2"])]
+    blocks, written = spark.createDataFrame(rows_, columns), []
+    cut = documents.checkpoint_cut
+
+    def counted(df, *args, **kwargs):
+        done = cut(df, *args, **kwargs)
+        written.append(done.count())
+        return done
+
+    monkeypatch.setattr(documents, "checkpoint_cut", counted)
+    found = documents.layout_sections(blocks, "doc").collect()
+    words = [f"w{i}" for i in range(300)]
+    assert [r.body for r in found] == [" ".join([*words[:100], "w0", *words[100:]])]
+    assert sum(written) < 30
+
+
+def test_repeated_containers_mix_their_texts(spark):
+    """Two containers of one id: their texts follow by place, as every other text does."""
+    columns = "doc string, block_id string, block_type string, page bigint, top double, left_pos double, text string, child_ids array<string>"
+    leaf = [("d", i, "LINE", 1, 0.0, 0.0, t, []) for i, t in (("a", "one"), ("b", "two"), ("c", "three"), ("e", "four"), ("e", "five"))]
+    twice = [("d", "G", "GROUP", 1, 0.0, 0.0, None, ["a", "b"]), ("d", "G", "GROUP", 1, 0.0, 0.0, None, ["c", "e"])]
+    top = [("d", "T", "LAYOUT_TEXT", 1, 0.0, 0.0, None, ["G"]), ("f", "T", "LAYOUT_TEXT", 1, 0.0, 0.0, None, ["G"])]
+    found = {(r.doc, r.block_id): r.resolved for r in documents.block_texts(spark.createDataFrame([*leaf, *twice, *top], columns), "doc").collect()}
+    assert found["d", "T"] == found["d", "G"] == "one three five four two"
+    assert ("f", "T") not in found
+
+
 def test_section_records(spark):
     sections = documents.layout_sections(deep_blocks(spark), "doc").withColumn("body", F.when(F.col("section_no") == 1, F.concat("body", F.repeat(F.lit(" more words"), 900))).otherwise(F.col("body")))
     known = spark.createDataFrame([("d", "simple", 1234, 2)], "doc string, doc_class string, file_bytes long, total_pages long")
