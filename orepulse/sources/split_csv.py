@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from orepulse.operators.reshape import header_name
+from orepulse.session import checkpoint_cut
 
 MOST_LINES = 100_000  # lines of one record; a longer one has lost its closing quote and is given line by line as corrupt
 CORRUPT = "_corrupt_record"
@@ -106,32 +107,90 @@ def line_states(lines: DataFrame, separator: str = ",", comment: str | None = No
 
 def block_states(states: DataFrame) -> DataFrame:
     """``file, block, quoted, before``: per block whether it starts inside a quoted field and how many records began before it."""
-    last = F.struct("out0", "out1", "rec0", "rec1")
-    ends = states.groupBy("file", "block").agg(F.max_by(last, "line_no").alias("e"))
+    last = [F.max_by(c, "line_no").alias(c) for c in ("out0", "out1")] + [F.max(c).alias(c) for c in ("rec0", "rec1")]  # counts only grow
+    ends = states.groupBy("file", "block").agg(*last)
     order = Window.partitionBy("file").orderBy("block")  # one row per block of a file
-    fixed, turned = F.col("e.out0") == F.col("e.out1"), F.col("e.out0") & ~F.col("e.out1")
+    fixed, turned = F.col("out0") == F.col("out1"), F.col("out0") & ~F.col("out1")
     turns = ends.withColumn("turns", F.sum(turned.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     odd = F.col("turns") % 2 == 1
-    seen = turns.withColumn("base", F.when(fixed, F.col("e.out0") != odd))
+    seen = turns.withColumn("base", F.when(fixed, F.col("out0") != odd))
     upto = order.rowsBetween(Window.unboundedPreceding, -1)
     base = F.coalesce(F.last("base", ignorenulls=True).over(upto), F.lit(False))
     odd_before = F.coalesce(F.lag("turns").over(order), F.lit(0)) % 2 == 1
     known = seen.withColumn("quoted", base != odd_before)
-    begun = F.when(F.col("quoted"), F.col("e.rec1")).otherwise(F.col("e.rec0"))
+    begun = F.when(F.col("quoted"), F.col("rec1")).otherwise(F.col("rec0"))
     return known.withColumn("before", F.coalesce(F.sum(begun).over(upto), F.lit(0))).select("file", "block", "quoted", "before")
 
 
+def joined_lines(placed: DataFrame, most_lines: int = MOST_LINES) -> DataFrame:
+    """Records that lie within one block as ``file, record_no, record`` rows, and the lines of all others with ``piece`` true.
+
+    ``placed``: ``file, block, line_no, line, starts_in, ends_in, record_no`` in the order of the file within a task. A task holds the lines
+    of one record, at most ``most_lines``.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, held, open_piece = None, [], False  # held: lines of a record that began in this block; open_piece: its lines go out one by one
+
+        def rows(file, block, found):
+            numbers, texts, ends, line_nos, pieces = map(list, zip(*found)) if found else ([],) * 5
+            n = len(numbers)
+            made = [pa.array([file] * n, pa.string()), pa.array([block] * n, pa.int64()), pa.array(line_nos, pa.int64()), pa.array(numbers, pa.int64())]
+            made += [pa.array(texts, pa.string()), pa.array(ends, pa.bool_()), pa.array(pieces, pa.bool_())]
+            return pa.RecordBatch.from_arrays(made, names=["file", "block", "line_no", "record_no", "record", "ends_in", "piece"])
+
+        def loose():
+            return [(*line, True) for line in held]
+
+        for batch in batches:
+            files, blocks = batch.column("file").to_pylist(), batch.column("block").to_pylist()
+            n = len(batch)
+            borders = [i for i in range(1, n) if files[i] != files[i - 1] or blocks[i] != blocks[i - 1]]
+            for first, stop in zip([0, *borders], [*borders, n]):
+                if (files[first], blocks[first]) != place:
+                    if held:
+                        yield rows(*place, loose())
+                    place, held, open_piece = (files[first], blocks[first]), [], True  # what the block begins with may have begun before it
+                part = batch.slice(first, stop - first)
+                columns = [part.column(c).to_pylist() for c in ("record_no", "line", "ends_in", "line_no", "starts_in")]
+                found = []
+                for number, text, ends, line_no, starts in zip(*columns):
+                    line = (number, text, ends, line_no)
+                    if not starts:
+                        held, open_piece = [], False
+                        if not ends:
+                            found.append((*line, False))
+                            continue
+                    if open_piece:
+                        found.append((*line, True))
+                        continue
+                    held.append(line)
+                    if len(held) > most_lines:
+                        found += loose()
+                        held, open_piece = [], True
+                    elif not ends:
+                        found.append((number, "\n".join(x[1] for x in held), False, line_no, False))
+                        held = []
+                yield rows(*place, found)
+        if held:
+            yield rows(*place, loose())
+
+    return placed.mapInArrow(run, "file string, block bigint, line_no bigint, record_no bigint, record string, ends_in boolean, piece boolean")
+
+
 def records_of(spark: SparkSession, path: str, separator: str = ",", comment: str | None = None, most_lines: int = MOST_LINES) -> DataFrame:
     """``file, record_no, record, whole`` of the CSV files below ``path``, in any number of tasks per file; numbers start at 1 per file.
 
-    ``whole`` is false for the lines of a record that never ends within ``most_lines``.
+    ``whole`` is false for the lines of a record that never ends within ``most_lines``. The files are read twice: for the state at the start
+    of every block (one row per block, sent to the tasks), and for the records. Only records that cross a block border, or have too many
+    lines, are shuffled.
     """
     lines = spark.read.option("lineSep", "\n").option("recursiveFileLookup", "true").text(path).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("line")
     )
     states = line_states(lines, separator, comment)
     blocks = block_states(states.drop("line")).select(F.col("file").alias("f"), F.col("block").alias("b"), "quoted", "before")
-    here = states.join(blocks, (F.col("file") == F.col("f")) & (F.col("block") == F.col("b")), "left")
+    here = states.join(F.broadcast(blocks), (F.col("file") == F.col("f")) & (F.col("block") == F.col("b")), "left")  # keeps the order of the lines
     known = F.when(F.col("quoted").isNull(), F.raise_error(F.lit("the files changed while they were read"))).otherwise(F.col("quoted"))
     pick = lambda name: F.when(known, F.col(f"{name}1")).otherwise(F.col(f"{name}0"))
     placed = here.select(
@@ -140,18 +199,18 @@ def records_of(spark: SparkSession, path: str, separator: str = ",", comment: st
     blank = ~F.col("starts_in") & ((F.trim("line") == "") | (F.trim("line") == "\r"))
     if comment:
         blank = blank | (~F.col("starts_in") & F.col("line").startswith(comment))
-    placed = placed.filter(~blank)
-    several = F.col("starts_in") | F.col("ends_in")
-    single = placed.filter(~several).select("file", "record_no", F.regexp_replace("line", "\r$", "").alias("record"), F.lit(True).alias("whole"))
-    parts = placed.filter(several)
+    found = checkpoint_cut(joined_lines(placed.filter(~blank), most_lines), codec="zstd")
+    ended = lambda text: F.regexp_replace(text, "\r$", "").alias("record")
+    inside = found.filter("NOT piece").select("file", "record_no", ended("record"), F.lit(True).alias("whole"))
+    parts = found.filter("piece").withColumnRenamed("record", "line")
     sizes = parts.groupBy("file", "record_no").agg(F.count(F.lit(1)).alias("n"))
     sized = parts.join(sizes, ["file", "record_no"])
     joined = sized.filter(F.col("n") <= most_lines).groupBy("file", "record_no").agg(F.array_sort(F.collect_list(F.struct("block", "line_no", "line", "ends_in"))).alias("l"))
     whole = ~F.element_at("l", -1)["ends_in"]
-    text = F.regexp_replace(F.array_join(F.transform("l", lambda x: x["line"]), "\n"), "\r$", "")
-    joined = joined.select("file", "record_no", text.alias("record"), whole.alias("whole"))
+    text = F.array_join(F.transform("l", lambda x: x["line"]), "\n")
+    joined = joined.select("file", "record_no", ended(text), whole.alias("whole"))
     loose = sized.filter(F.col("n") > most_lines).select("file", "record_no", F.col("line").alias("record"), F.lit(False).alias("whole"))
-    return single.unionByName(joined).unionByName(loose)
+    return inside.unionByName(joined).unionByName(loose)
 
 
 def read_csv(

@@ -84,3 +84,24 @@ def test_corrupt_records_are_kept(spark, tmp_path):
     assert '5,6.5,"never closed' in loose and "to the end" in loose
     write(f"{tmp_path}/none/a.csv", "\n\n")
     assert read_csv(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_records_within_a_block_are_not_shuffled(spark, tmp_path):
+    """Only the records at block borders are gathered by their number; the others are put together where they are read."""
+    write(f"{tmp_path}/in/a.csv", "id,t\n" + "".join(f'{i},"line\n\n{"x" * (i % 40)}\r\nend"\r\n' for i in range(400)) + '400,"left open\nto the end\n')
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        records = records_of(spark, f"{tmp_path}/in")
+        plan = records._jdf.queryExecution().optimizedPlan().toString()
+        assert "line_states" not in plan and "MapInArrow" not in plan  # read from what was written once
+        got = {r.record_no: (r.record, r.whole) for r in records.collect()}
+        want = {i + 2: (f'{i},"line\n\n{"x" * (i % 40)}\r\nend"', True) for i in range(400)} | {1: ("id,t", True)}
+        last = got.pop(402)
+        assert got == want and last[0].startswith('400,"left open\nto the end') and not last[1]
+        for most in (3, 4):
+            whole = [r for r in records_of(spark, f"{tmp_path}/in", most_lines=most).collect() if r.whole]
+            assert len(whole) == (1 if most == 3 else 401)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
