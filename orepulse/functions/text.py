@@ -5,15 +5,28 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-@F.pandas_udf(T.StringType())
-def nfc(text: pd.Series) -> pd.Series:
-    """Unicode NFC; Spark has no built-in for it."""
-    return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
+NFC_ROWS = 256
+
+
+@F.arrow_udf(T.StringType())
+def nfc_texts(text: pa.Array) -> pa.Array:
+    """Unicode NFC. Of a batch only ``NFC_ROWS`` texts at a time are Python objects, the rest stays in Arrow."""
+
+    def normal(part: pa.Array) -> pa.Array:
+        return pa.array([t if t is None or t.isascii() else unicodedata.normalize("NFC", t) for t in part.to_pylist()], part.type)
+
+    return pa.concat_arrays([normal(text.slice(at, NFC_ROWS)) for at in range(0, max(len(text), 1), NFC_ROWS)])
+
+
+def nfc(text: Column) -> Column:
+    """Unicode NFC; Spark has no built-in for it. Texts of characters below U+0300 are in that form and do not go to Python."""
+    return F.coalesce(nfc_texts(F.when(text.rlike(r"[^\x{0}-\x{2FF}]"), text)), text)
 
 
 @F.pandas_udf(T.StringType())
