@@ -438,3 +438,13 @@ def test_evaluation_matrix(spark):
     got = {r.client_id: r for r in retrieve.evaluation_matrix(answers).collect()}
     assert (got["C1"].answers, got["C1"].failed, got["C1"].documents, got["C1"].telemetry_hits, got["C1"].analysis_hits, got["C1"].regulatory_hits) == (2, 1, 3, 1, 2, 0)
     assert (got["C1"].answer_chars, got["C1"].mean_seconds, got["C1"].max_seconds, got["C2"].documents) == (3, 5.25, 9.0, 0)
+
+
+def test_vectors_are_made_once(spark):
+    """Whether a vector can be used is read off the vector itself, not from a second run of the embedder."""
+    made = spark.createDataFrame([("a", "s1", "ore haul"), ("a", "s2", None), ("b", "s1", "pit")], "doc string, section_id string, body string")
+    half = lambda t: F.when(t == "pit", F.array(F.lit(1.0))).when(t.isNotNull(), F.array(F.lit(1.0), F.lit(2.0)))
+    found = vectorise._with_vectors(made, "section_id", "body", 2, half, keys=["doc"])
+    assert {(r.doc, r.section_id): r.usable for r in found.collect()} == {("a", "s1"): True, ("a", "s2"): False, ("b", "s1"): False}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1
