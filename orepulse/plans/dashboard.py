@@ -25,9 +25,12 @@ def kpi_findings(df: DataFrame, source: str, names: Sequence[str] | None = None)
     return calculate_kpi(df, names, group_by=["client_id", source])
 
 
-def analysis_table(df: DataFrame, source: str, date: str, entity: str, metrics: Sequence[str]) -> DataFrame:
-    """The columns an analysis reads, written once: five aggregations follow, and a joined view is costly to repeat."""
-    inputs = {c for n in feasible_kpis(df.columns) for c in REGISTRY[n].required}
+def analysis_table(df: DataFrame, source: str, date: str, entity: str, metrics: Sequence[str], *, kpi_inputs: bool = True) -> DataFrame:
+    """The columns an analysis reads, written once: several aggregations follow, and a joined view is costly to repeat.
+
+    ``kpi_inputs=False`` leaves out what only KPIs read: one aggregation over the view costs less than writing these many columns.
+    """
+    inputs = {c for n in feasible_kpis(df.columns) for c in REGISTRY[n].required} if kpi_inputs else set()
     wanted = {"client_id", source, date, entity, *metrics, *inputs}
     return checkpoint_cut(df.select(*[c for c in df.columns if c in wanted]))
 
@@ -226,9 +229,10 @@ def findings(df: DataFrame, source: str, date: str, entity: str, metrics: Sequen
     Every metric of the list is in every block; ``max_series`` asks for the trends of the first few only.
     """
     metrics = list(metrics)
-    df = analysis_table(df, source, date, entity, metrics)
+    kpis = checkpoint_cut(merge_files(kpi_findings(df, source), source))  # callers read the findings several times
+    df = analysis_table(df, source, date, entity, metrics, kpi_inputs=False)
     blocks = {
-        "kpis": merge_files(kpi_findings(df, source), source), "outliers": tenant_outliers(df, metrics),
+        "kpis": kpis, "outliers": tenant_outliers(df, metrics),
         "trends": tenant_trends(df, date, metrics[:max_series]), "statistics": tenant_statistics(df, metrics), "rankings": tenant_rankings(df, entity, metrics[0]),
     }
     return findings_of(blocks, entity)
@@ -325,7 +329,8 @@ def tenant_report(df: DataFrame, files: DataFrame, source: str, date: str, entit
     Every metric of the list is in every block; ``max_series`` asks for the trends of the first few only. Every block is a handful of rows per tenant by the time it is collected into the report.
     """
     metrics = list(metrics)
-    df = analysis_table(df, source, date, entity, metrics)
+    kpi = merge_files(kpi_findings(df, source), source)
+    df = analysis_table(df, source, date, entity, metrics, kpi_inputs=False)
     sections = F.array(*[F.lit(s) for s in SECTIONS])
     frame = overview(files)
 
@@ -334,7 +339,6 @@ def tenant_report(df: DataFrame, files: DataFrame, source: str, date: str, entit
         grouped = placed.groupBy("client_id", "section").agg(F.array_sort(F.collect_list("cell")).alias("cells"))
         return grouped.groupBy("client_id").agg(F.map_from_entries(F.collect_list(F.struct("section", "cells"))).alias(name))
 
-    kpi = merge_files(kpi_findings(df, source), source)
     m = column_section(F.col("metric"))
     blocks = {
         "kpis": per_section(kpi, "kpis", F.struct("kpi", "value", "unit", "status"), kpi_section_column(F.col("kpi"))),
