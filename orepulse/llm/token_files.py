@@ -63,6 +63,11 @@ class Encoder(dict):
         line = {"type": "Split", "pattern": {"String": "\n"}, "behavior": "Removed", "invert": False}
         bare = {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [line, _PRE_TOKENIZER["pretokenizers"][1]]}}
         self.bare = self.tokenizer if self.whole else Tokenizer.from_str(json.dumps(rules | bare))  # the same merges, for pieces one to a line
+        suffix, vocabulary = rules["model"].get("end_of_word_suffix"), rules["model"].get("vocab")
+        self.last = None  # whether a token ends a piece, if tokens show that
+        if suffix and isinstance(vocabulary, dict):
+            self.last = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+            self.last[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
 
     def direct(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -83,14 +88,28 @@ class Encoder(dict):
                 long[unit] = self.direct(unit)
         for at in range(0, len(kept), MAX_TEXT // 16):
             some = kept[at : at + MAX_TEXT // 16]
-            whole = tokenizer.encode("\n".join(some), add_special_tokens=False)
-            data, offsets = np.array(whole.ids, "<u4").tobytes(), whole.offsets
-            place = np.array(next(zip(*offsets)), np.int64) if offsets else np.empty(0, np.int64)
-            ends = np.cumsum(np.fromiter(map(len, some), np.int64, len(some)) + 1)
-            borders = (4 * np.searchsorted(place, ends)).tolist()
+            data, ends = self.lines(some, tokenizer)
+            borders = (4 * ends).tolist()
             self.update((unit, data[a:b]) for unit, a, b in zip(some, [0, *borders], borders))
         return long
 
+    def lines(self, units: list[str], tokenizer) -> tuple[bytes, np.ndarray]:
+        """The ids of units, encoded one to a line, and after how many ids each unit ends.
+
+        Pieces end with their only token that can end one; a count that differs shows that these are no pieces, and places in the text decide.
+        """
+        text = "\n".join(units)
+        if tokenizer is self.bare and self.last is not None:
+            ids = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(units):
+                return ids.tobytes(), ends
+        whole = tokenizer.encode(text, add_special_tokens=False)
+        offsets = whole.offsets
+        place = np.array(next(zip(*offsets)), np.int64) if offsets else np.empty(0, np.int64)
+        ends = np.cumsum(np.fromiter(map(len, units), np.int64, len(units)) + 1)
+        return np.array(whole.ids, "<u4").tobytes(), np.searchsorted(place, ends)
+
     def texts(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
         if self.whole:
@@ -100,7 +119,7 @@ class Encoder(dict):
             self.clear()
         plain = ["<|" not in t and (t.isascii() or PLAIN.fullmatch(t) is not None) for t in texts]
         units = [PIECES.findall(t.lower()) if p else t.replace("\n", " ").replace("\t", " ").split(" ") for t, p in zip(texts, plain)]
-        long = self.learn({u for us, p in zip(units, plain) if p for u in us if u not in self}, self.bare)
+        long = self.learn([u for u in set().union(*[us for us, p in zip(units, plain) if p]) if u not in self], self.bare)
         if not all(plain):
             long |= self.learn({u for us, p in zip(units, plain) if not p for u in us if u not in self}, self.tokenizer)
         if long:

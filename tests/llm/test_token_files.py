@@ -43,6 +43,25 @@ def test_units_give_the_ids_of_whole_texts(exact):
             assert np.frombuffer(data, "<u4").tolist() == exact.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_pieces_end_with_their_last_token(exact):
+    """New pieces need no places in the text; where the ends do not fit the pieces, places decide."""
+    encoder = Encoder(open(TOKENIZER, encoding="utf-8").read())
+    bare = encoder.bare
+
+    class Fast:
+        def encode_batch_fast(self, *args, **options):
+            return bare.encode_batch_fast(*args, **options)
+
+    text = "Don't STOP, \x00 éÀ 12 ~~ " + " ".join(chr(c) for c in range(0x21, 0x180)) + " " + "q" * 90
+    encoder.bare = Fast()
+    ids = np.frombuffer(encoder.texts([text.replace("\u0130", "")])[0], "<u4").tolist()
+    assert ids == exact.encode(text.replace("\u0130", ""), add_special_tokens=False).ids
+    for last in (np.zeros_like(encoder.last), np.ones_like(encoder.last), None):
+        again = Encoder(open(TOKENIZER, encoding="utf-8").read())
+        again.last = last
+        assert np.frombuffer(again.texts([text])[0], "<u4").tolist() == exact.encode(text, add_special_tokens=False).ids
+
+
 def test_a_full_memory_starts_afresh(exact, monkeypatch):
     monkeypatch.setattr(token_files, "MAX_REMEMBERED", 3)
     monkeypatch.setattr(token_files, "MAX_TEXT", 64)
