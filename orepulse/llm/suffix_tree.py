@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orepulse.llm.common import cut, remainder
@@ -65,17 +65,25 @@ def _chunks(texts, size: int = CHUNK):
         yield held
 
 
-def count_grams(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """``gram, n``: counts of the full-depth byte sequences of all texts, summed per chunk before the shuffle."""
+def count_grams(docs: DataFrame, depth: int = DEPTH, held_out: Column | None = None) -> DataFrame:
+    """``gram, n, held``: counts of the full-depth byte sequences of all texts, and in the texts for which ``held_out`` is true.
+
+    Counts are summed per chunk before the shuffle; texts held out are in chunks of their own.
+    """
 
     def run(batches):
         for batch in batches:
-            for held in _chunks(batch["text"]):
-                values, n = np.unique(grams([d for _, _, d in held], depth), return_counts=True)
-                for at in range(0, len(values), 500_000):
-                    yield pd.DataFrame({"gram": values[at : at + 500_000], "n": n[at : at + 500_000]})
+            apart = batch["held_out"].to_numpy(bool)
+            for own in (False, True):
+                for held in _chunks(batch["text"][apart == own]):
+                    values, n = np.unique(grams([d for _, _, d in held], depth), return_counts=True)
+                    for at in range(0, len(values), 500_000):
+                        some = n[at : at + 500_000]
+                        yield pd.DataFrame({"gram": values[at : at + 500_000], "n": some, "held": some * own})
 
-    return docs.select("text").mapInPandas(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    apart = F.lit(False) if held_out is None else F.coalesce(held_out, F.lit(False))
+    counted = docs.select("text", apart.alias("held_out")).mapInPandas(run, "gram long, n long, held long")
+    return counted.groupBy("gram").agg(F.sum("n").alias("n"), F.sum("held").alias("held"))
 
 
 def tree(full: DataFrame, depth: int = DEPTH, least_gain: float = LEAST_GAIN) -> DataFrame:
@@ -228,14 +236,16 @@ def score_texts(
     frequent = vocabulary.orderBy(F.desc("c"), "word").limit(most_words).toArrow()
     logs = np.log10((frequent["c"].to_numpy() + 1) / (n + v + 1)).tolist()
     known_words = spark.sparkContext.broadcast(dict(zip(frequent["word"].to_pylist(), logs)))
-    model = cut(tree(cut(count_grams(training, depth)), depth, least_gain))
+    counted = cut(count_grams(rows, depth, F.col("held_out")))  # of all texts, as a large model is looked up for the sequences of all texts
+    learned = counted.select("gram", (F.col("n") - F.col("held")).alias("n")).where("n > 0")
+    model = cut(tree(learned, depth, least_gain))
     values = None
     if model.count() <= most_grams:
         held_model = model.toArrow().to_pandas()
         columns = (("gram", np.int64), ("p", np.float64), ("back", np.float64))
         arrays = [Scorer.level(*(held_model.loc[held_model["level"] == d, c].to_numpy(t) for c, t in columns)) for d in range(depth + 1)]
     else:  # the same probabilities, worked out for the distinct sequences of all texts; the frequent ones are sent to the tasks
-        sequences = cut(count_grams(rows, depth))
+        sequences = counted.select("gram", "n")
         values = cut(sequences.join(sequence_values(sequences, model, depth), "gram"))
         frequent = values.orderBy(F.desc("n"), "gram").limit(most_grams).toArrow()
         arrays = frequent["gram"].to_numpy(), frequent["value"].to_numpy()

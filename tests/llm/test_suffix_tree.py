@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from orepulse.llm.suffix_tree import Scorer, count_grams, score_texts, spelled, tree, words_of
 
@@ -97,3 +98,21 @@ def test_every_state_is_a_distribution(spark, small):
     some = [c for d in range(DEPTH + 1) for c in sorted(states[d])[:: max(1, len(states[d]) // 60)]]
     for context in some:
         assert math.isclose((10 ** scorer.log10((context << 8) + np.arange(256))).sum(), 1.0, rel_tol=1e-9), context
+
+
+def test_texts_are_counted_once(spark, monkeypatch):
+    """One count serves the model and, if that is too large to send, the sequences of all texts; held-out texts are not learned from."""
+    from orepulse.llm import suffix_tree
+
+    rows = [(i, f"alpha beta{i % 7} gamma{'' if i % 5 else ' delta'}") for i in range(120)] + [(500, None), (501, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    calls, count = [], suffix_tree.count_grams
+    monkeypatch.setattr(suffix_tree, "count_grams", lambda *args: calls.append(1) or count(*args))
+    scored = {most: {r.doc_id: r for r in score_texts(docs, most_grams=most).collect()} for most in (1 << 20, 10)}
+    assert len(calls) == 2
+    for i, r in scored[10].items():
+        assert abs(r.score - scored[1 << 20][i].score) < 1e-9
+    learned = docs.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2)
+    split = count(docs, 5, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2)
+    want = {r.gram: r.n for r in count(learned, 5).collect()}
+    assert {r.gram: r.n - r.held for r in split.collect() if r.n > r.held} == want
