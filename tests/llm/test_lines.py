@@ -138,3 +138,27 @@ def test_columns_with_the_names_used_inside(spark):
     out = {r.doc_id: r for r in dedup_lines(docs).collect()}
     assert out[1].text == "same line\nother" and out[2].text == ""
     assert all(out[i][n] == f"{n}{i}" for i in (1, 2) for n in names) and dedup_lines(docs).columns == docs.columns
+
+
+def test_blocks_are_compared_many_at_a_time(spark, monkeypatch):
+    """Several blocks in one call give the links of each block on its own, and the classes do not depend on how blocks are dealt."""
+    import pandas as pd
+
+    rng, rows = random.Random(8), []
+    for key in range(40):
+        base = "".join(rng.choice("abcdefgh ") for _ in range(80))
+        for n in range(rng.randrange(1, 7)):
+            rows.append((key, n % 2, 0, rng.random() < 0.5, len(rows), rng.randrange(3), rng.choice([base, base[:-1] + "#", base[::-1], "x"])))
+    group = pd.DataFrame(rows, columns=["key", "i", "j", "left", "id", "component", "line"]).sample(frac=1, random_state=1)
+    want = []
+    for _, block in group.groupby(["key", "i", "j"]):
+        sides = [block[block["left"]], block[~block["left"]]]
+        want += lines_module.links_across(*sides, BOUND, 4) if all(map(len, sides)) else []
+    found = lines_module.links_of_blocks(group, BOUND, 4)
+    assert sorted(found) == sorted(want) and len(want) > 10
+    assert lines_module.links_of_blocks(group.iloc[:0], BOUND, 4) == []
+    docs = spark.createDataFrame(corpus(), "doc_id long, text string")
+    expected = brute(corpus(), 4)
+    for size in (1, 4000):
+        monkeypatch.setattr(lines_module, "PART_LINES", size)
+        assert {r.doc_id: r.removed for r in removed_lines(docs, size=4).collect() if r.removed} == expected
