@@ -162,3 +162,46 @@ def test_blocks_are_compared_many_at_a_time(spark, monkeypatch):
     for size in (1, 4000):
         monkeypatch.setattr(lines_module, "PART_LINES", size)
         assert {r.doc_id: r.removed for r in removed_lines(docs, size=4).collect() if r.removed} == expected
+
+
+def test_line_classes_need_no_python_workers(spark, monkeypatch):
+    """DataFrame functions alone give the classes of all pairs, as the way on Arrow batches does."""
+    docs = spark.createDataFrame(corpus(), "doc_id long, text string")
+    by_arrow = {tuple(r)[:2]: tuple(r.keeper) for r in lines_module.line_classes(docs, size=4, native=False).collect()}
+
+    def refused(*_, **__):
+        raise AssertionError("Python workers")
+
+    for kind, names in ((type(docs), ["mapInArrow", "mapInPandas"]), (type(docs.groupBy("doc_id")), ["applyInArrow", "applyInPandas"])):
+        for name in names:
+            monkeypatch.setattr(kind, name, refused)
+    assert {tuple(r)[:2]: tuple(r.keeper) for r in lines_module.line_classes(docs, size=4).collect()} == by_arrow and by_arrow
+    assert {r.doc_id: r.removed for r in removed_lines(docs, size=4).collect() if r.removed} == brute(corpus(), 4)
+
+
+def test_pairs_at_the_bound_share_a_key(spark):
+    """Sets of shingles that all differ, of sizes around every change of the keys; the pairs lose at most 1.5 %, the smallest nothing."""
+    rng, rows, kinds = random.Random(15), [], [(4, 5), (5, 6), (9, 9), (8, 10), (10, 12), (13, 13), (14, 15), (16, 18), (36, 36), (80, 100), (144, 144), (238, 242), (300, 370)]
+    for k, (m, n) in enumerate(kinds):
+        for i in range(200):
+            line = [chr(rng.randrange(0x4E00, 0x9F00)) for _ in range(n)]
+            other = line[:m] if m < n else [*(chr(0xE000 + j) for j in range(n // 9)), *line[n // 9 :]]
+            rows += [(2 * len(rows), "".join(line), k, i), (2 * len(rows) + 1, "".join(other), k, i)]
+    lines = spark.createDataFrame(rows, "id long, line string, kind int, i int")
+    keys = lines.join(lines_module.line_keys(lines, BOUND, 1), "id").groupBy("kind", "i", "key").count().where("count = 2")
+    found = {r.kind: r["count"] for r in keys.select("kind", "i").distinct().groupBy("kind").count().collect()}
+    assert all(found[k] >= 197 for k in range(len(kinds))) and all(found[k] == 200 for k in (0, 1, 2))
+
+
+def test_sketches_differ_in_no_more_bits_than_sets(spark):
+    rng = random.Random(2)
+    base = ["".join(rng.choice("abcd ") for _ in range(n)) for n in (3, 20, 80, 400, 3000) for _ in range(4)]
+    texts = [*base, *(x[: len(x) // 2] + "#" + x[len(x) // 2 + 1 :] for x in base)]
+    drawn = lines_module.sketches(spark.createDataFrame(list(enumerate(texts)), "id long, line string"), 4).collect()
+    seen = {r.id: r for r in drawn}
+    mask = (1 << 64) - 1
+    for i, x in enumerate(texts):
+        assert seen[i]["size"] == len(shingles(x, 4))
+        for j, y in enumerate(texts):
+            bits = sum(((seen[i][f"s{w}"] ^ seen[j][f"s{w}"]) & mask).bit_count() for w in range(lines_module.WIDTH))
+            assert bits <= len(shingles(x, 4) ^ shingles(y, 4))
