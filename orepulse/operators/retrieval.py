@@ -49,15 +49,15 @@ def usable_vector(vector: str) -> Column:
     return F.coalesce((F.size(vector) > 0) & finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def usable_vector(vector: str, dimension: int) -> Column:
-    """Whether a vector is there, has the right length and finite elements only."""
+def fits_dimension(vector: str, dimension: int) -> Column:
+    """Whether a vector is there, has the right length and finite elements only; its length may be zero."""
     finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return F.coalesce((F.size(vector) == dimension) & finite, F.lit(False))
 
 
 def split_by_dimension(df: DataFrame, vector: str, dimension: int) -> tuple[DataFrame, DataFrame]:
     """Usable vectors and rejects (missing, wrong length, or with a missing or non-finite element)."""
-    good = usable_vector(vector, dimension)
+    good = fits_dimension(vector, dimension)
     return df.filter(good), df.filter(~good)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from orepulse.operators import chunking, documents
 from orepulse.operators.quality import intake_verdict, mask_identifiers
 from orepulse.operators.reshape import coerce_dates, run_recipe
-from orepulse.operators.retrieval import embed, usable_vector
+from orepulse.operators.retrieval import embed, fits_dimension
 from orepulse.operators.schema import absent_in_scope, presence_manifest, reconcile, vocabulary
 from orepulse.plans.stages import JobResult, Source, Stage, run_stages
 from orepulse.session import checkpoint_cut
@@ -126,7 +126,7 @@ def _with_vectors(made: DataFrame, key: str, text: str, dimension: int, embedder
     """``made`` with ``embedding`` and ``usable``; texts that an embedder gives no vector of the right length are not usable."""
     numbered = made.withColumn("_key", F.xxhash64(*keys, key))
     vectors = embed(numbered.select("_key", text), "_key", text, dimension=dimension, embedder=embedder)
-    return numbered.join(vectors, "_key", "left").withColumn("usable", usable_vector("embedding", dimension)).drop("_key")
+    return numbered.join(vectors, "_key", "left").withColumn("usable", fits_dimension("embedding", dimension)).drop("_key")
 
 
 def vectorise_stale_files(
