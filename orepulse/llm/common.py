@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from orepulse.session import checkpoint_cut, release_shuffles  # noqa: F401
+from orepulse.session import checkpoint_cut, drop_cut, release_shuffles  # noqa: F401
 
 WORD = r"[^\x20\x09-\x0D]+"
 SHINGLE_WORDS = 5
@@ -29,15 +29,6 @@ def remainder(id_column: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(id_column.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def drop_cut(df: DataFrame) -> None:
-    """Delete the files of a table written by ``cut`` once nothing reads it any more."""
-    spark = df.sparkSession
-    jvm = spark._jvm
-    for path in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
-        place = jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-
-
 def join_bounded(big: DataFrame, small: DataFrame, on, how: str = "inner", most_rows: int = 400_000) -> DataFrame:
     """Join with a narrow table: sent to every task if its counted rows stay below the bound, shuffled on the key otherwise."""
     return big.join(F.broadcast(small) if small.count() <= most_rows else small, on, how)

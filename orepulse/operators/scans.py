@@ -13,18 +13,24 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orepulse.session import checkpoint_cut
+from orepulse.session import checkpoint_cut, release_shuffles
 
 BLOCK = "_scan_block"
+MOST_CARRIED = 400_000  # summary rows that are sent to the tasks; more are joined by a shuffle
 
 
 def ordered_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Contiguous blocks of the order ``(keys, order)``, numbered in ``_block``.
 
-    Block borders come from sampling, so they are fixed by a checkpoint before anything depends on them.
+    Block borders come from sampling, so they are fixed by a checkpoint before anything depends on them. Rows that have a block number
+    from a scan before keep it.
     """
-    ranged = df.repartitionByRange(*[F.col(c) for c in [*keys, *order]])
-    return checkpoint_cut(ranged.withColumn(BLOCK, F.spark_partition_id()))
+    if BLOCK in df.columns:
+        blocks = checkpoint_cut(df, "zstd")
+    else:  # held by no name, so that its shuffle files can go
+        blocks = checkpoint_cut(df.repartitionByRange(*[F.col(c) for c in [*keys, *order]]).withColumn(BLOCK, F.spark_partition_id()), "zstd")
+    release_shuffles(df.sparkSession)
+    return blocks
 
 
 def ordered_scan(
@@ -36,12 +42,14 @@ def ordered_scan(
     sums: Mapping[str, Column] | None = None,
     fills: Mapping[str, str] | None = None,
     previous: Mapping[str, str] | None = None,
+    keep_blocks: bool = False,
 ) -> DataFrame:
     """Add prefix results per ``keys`` in ``order`` (which must be unique within a key).
 
     row_index: name of a 0-based dense position; sums: ``{output: numeric column}`` running sums up to
     and including the row; fills: ``{output: column}`` last non-null value so far; previous:
-    ``{output: column}`` value of the row before (null on the first).
+    ``{output: column}`` value of the row before (null on the first). ``keep_blocks`` leaves the block numbers in the result, so that a
+    next scan with the same keys and order need not put the rows in order again.
     """
     sums, fills, previous = dict(sums or {}), dict(fills or {}), dict(previous or {})
     keys = list(keys)
@@ -88,8 +96,10 @@ def ordered_scan(
 
     same = [F.col(BLOCK) == F.col("_scan_cb")]
     same += [F.col(k).eqNullSafe(F.col(f"_scan_ck_{i}")) for i, k in enumerate(keys)]
+    carry = checkpoint_cut(carry)  # its size is known before the rows are joined, which are not shuffled for a small one
+    carry = F.broadcast(carry) if carry.count() <= MOST_CARRIED else carry
     joined = blocks.withColumns(local).join(carry, reduce(lambda a, b: a & b, same))
-    result = [F.col(c) for c in df.columns]
+    result = [F.col(c) for c in df.columns if c != BLOCK]
     if row_index:
         result.append((F.col("_scan_b_rows") + F.col("_scan_n") - 1).alias(row_index))
     for i, out in enumerate(sums):
@@ -99,7 +109,7 @@ def ordered_scan(
         result.append(F.coalesce(F.col(f"_scan_fill_{i}"), F.col(f"_scan_b_fill_{i}")).alias(out))
     for i, out in enumerate(previous):
         result.append(F.coalesce(F.col(f"_scan_prev_{i}"), F.col(f"_scan_b_prev_{i}"))["v"].alias(out))
-    return joined.select(*result)
+    return joined.select(*result, *([BLOCK] if keep_blocks else []))
 
 
 def trailing_rows(

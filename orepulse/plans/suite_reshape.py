@@ -10,6 +10,7 @@ from orepulse.operators import quality, reshape, schema
 from orepulse.operators.kpi import REGISTRY
 from orepulse.operators.scans import ordered_scan
 from orepulse.plans.suite import Suite, half_up
+from orepulse.session import drop_cut
 from orepulse.sources.tables import FLEET_ORDER, fleet_sql, fleet_view, table
 
 suite = Suite()
@@ -273,10 +274,11 @@ _HOURS_SQL = (
 )
 
 
-def engine_hours(spark, sf) -> DataFrame:
+def engine_hours(spark, sf, keep_blocks: bool = False) -> DataFrame:
     """The fleet view with a running hour meter per equipment."""
     rows = fleet_view(spark, sf).select(*_HOURS)
-    metered = ordered_scan(rows, ["equipment_id"], _HOUR_ORDER, sums={"engine_hours": F.col("operating_hours").cast("DECIMAL(18,4)")})
+    hours = F.col("operating_hours").cast("DECIMAL(18,4)")
+    metered = ordered_scan(rows, ["equipment_id"], _HOUR_ORDER, sums={"engine_hours": hours}, keep_blocks=keep_blocks)
     return metered.withColumn("engine_hours", F.col("engine_hours").cast("double"))
 
 
@@ -285,11 +287,18 @@ suite.add(
     lambda spark, sf: engine_hours(spark, sf).select("equipment_id", *FLEET_ORDER, "engine_hours"),
     _HOURS_SQL + f"SELECT equipment_id, {', '.join(FLEET_ORDER)}, engine_hours FROM h",
 )
+
+
+def counter_difference(spark, sf) -> DataFrame:
+    metered = engine_hours(spark, sf, keep_blocks=True)
+    scanned = ordered_scan(metered, ["equipment_id"], _HOUR_ORDER, previous={"before": "engine_hours"})
+    drop_cut(metered)  # the second scan has blocks of its own
+    return scanned.select("equipment_id", *FLEET_ORDER, (F.col("engine_hours") - F.col("before")).alias("interval_hours"))
+
+
 suite.add(
     "window_counter_difference",
-    lambda spark, sf: ordered_scan(engine_hours(spark, sf), ["equipment_id"], _HOUR_ORDER, previous={"before": "engine_hours"}).select(
-        "equipment_id", *FLEET_ORDER, (F.col("engine_hours") - F.col("before")).alias("interval_hours")
-    ),
+    counter_difference,
     _HOURS_SQL + f"SELECT equipment_id, {', '.join(FLEET_ORDER)}, engine_hours - LAG(engine_hours) OVER (PARTITION BY equipment_id "
     f"ORDER BY {', '.join(_HOUR_ORDER)}) AS interval_hours FROM h",
 )
