@@ -1,10 +1,13 @@
 """Vectorisation of telemetry and documents, analysis from stored states, retrieval over stored indexes."""
 
 import json
+import os
 import random
+from functools import reduce
 
 import numpy as np
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orepulse.operators import documents, retrieval
@@ -13,6 +16,7 @@ from orepulse.plans import dashboard, incremental, retrieve, vectorise
 from orepulse.plans.stages import Source
 from orepulse.plans.suite_service import METRICS, tenant_files, tenant_fleet, tenant_queries, tenant_vectors
 from orepulse.plans.suite_text import _documents_of_chunks, layout_blocks, telemetry
+from orepulse.session import shared_path
 from orepulse.sources.ledger import read_ledger
 from orepulse.sources.snapshots import latest_version, read_current
 
@@ -144,6 +148,23 @@ def test_blocks_at_any_depth(spark):
         documents.block_texts(loop, "doc").collect()
 
 
+def cuts(spark):
+    folder = os.path.dirname(shared_path(spark))
+    return {n for n in os.listdir(folder) if n.startswith("orepulse-")}
+
+
+def test_groups_of_documents_give_the_same_sections_and_leave_nothing(spark, monkeypatch):
+    one = deep_blocks(spark)
+    blocks = reduce(DataFrame.unionByName, [one.withColumn("doc", F.lit(name).cast("string")) for name in ("d", "e", "f", None)])
+    text = lambda df: sorted(str(r) for r in df.collect())
+    before = cuts(spark)
+    whole = documents.layout_sections(blocks, "doc")
+    assert len(cuts(spark) - before) == 1  # the sections; what they were made from is deleted
+    monkeypatch.setattr(documents, "MOST_LINKS", 40)
+    parts = documents.layout_sections(blocks, "doc")
+    assert len(cuts(spark) - before) > 2 and text(parts) == text(whole) and len(text(whole)) >= 9
+
+
 def test_layout_sections_hold_everything(spark):
     first, second, third = documents.layout_sections(deep_blocks(spark), "doc").orderBy("section_no").collect()
     assert first.title == "untitled-0" and first.body == "stray line\nBig Title" and first.page_start == 1
