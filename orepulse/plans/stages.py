@@ -16,6 +16,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from orepulse.session import passing_cuts
 from orepulse.sources.folders import get_record, names_in, put_record
 
 
@@ -115,8 +116,10 @@ def run_stages(
         path = f"{place}/{key}-{attempt:06d}"
         counted = Observation()
         try:
-            rows = stage.work(*[frame(n) for n in stage.needs]).observe(counted, F.count(F.lit(1)).alias("rows"))
-            rows.write.mode("overwrite").parquet(path)
+            given = [frame(n) for n in stage.needs]  # what is read for later stages too is read outside of this one
+            with passing_cuts(spark):
+                rows = stage.work(*given).observe(counted, F.count(F.lit(1)).alias("rows"))
+                rows.write.mode("overwrite").option("compression", "zstd").parquet(path)
             made = {"path": path, "rows": counted.get["rows"], "needs": {n: keys[n] for n in stage.needs}, "version": stage.version, "settings": dict(stage.settings)}
             put_record(spark, f"{path}.json", made)
         except Exception as error:  # noqa: BLE001 - the job's result names it

@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 from orepulse.operators import documents, retrieval
 from orepulse.operators.vector_index import build_index, learn_index, search_index
 from orepulse.plans import dashboard, incremental, retrieve, vectorise
-from orepulse.plans.stages import Source
+from orepulse.plans.stages import Source, Stage, run_stages
 from orepulse.plans.suite_service import METRICS, tenant_files, tenant_fleet, tenant_queries, tenant_vectors
 from orepulse.plans.suite_text import _documents_of_chunks, layout_blocks, telemetry
-from orepulse.session import shared_path
+from orepulse.session import checkpoint_cut, settled, shared_path
 from orepulse.sources.ledger import read_ledger
 from orepulse.sources.snapshots import latest_version, read_current
 
@@ -165,6 +165,18 @@ def test_groups_of_documents_give_the_same_sections_and_leave_nothing(spark, mon
     assert len(cuts(spark) - before) > 2 and text(parts) == text(whole) and len(text(whole)) >= 9
 
 
+def test_a_stage_leaves_only_its_result(spark, tmp_path):
+    source = Source("s", lambda: checkpoint_cut(spark.range(5).withColumn("x", F.col("id") * 2)))
+    stages = [
+        Stage("one", lambda given: checkpoint_cut(given.filter("id > 1")), ("given",)),
+        Stage("two", lambda first, given: settled(spark, lambda: checkpoint_cut(first).join(checkpoint_cut(given), ["id", "x"])), ("one", "given")),
+    ]
+    before = cuts(spark)
+    done = run_stages(spark, str(tmp_path), {"given": source}, stages)
+    assert done.success and sorted(r["x"] for r in spark.read.parquet(done.path("two")).collect()) == [4, 6, 8]
+    assert len(cuts(spark) - before) == 1  # what the source read for both stages
+
+
 def test_layout_sections_hold_everything(spark):
     first, second, third = documents.layout_sections(deep_blocks(spark), "doc").orderBy("section_no").collect()
     assert first.title == "untitled-0" and first.body == "stray line\nBig Title" and first.page_start == 1
