@@ -3,6 +3,7 @@
 import json
 import os
 import random
+import uuid
 from functools import reduce
 
 import numpy as np
@@ -10,13 +11,14 @@ import pytest
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orepulse import session
 from orepulse.operators import documents, retrieval
 from orepulse.operators.vector_index import build_index, learn_index, search_index
 from orepulse.plans import dashboard, incremental, retrieve, vectorise
 from orepulse.plans.stages import Source, Stage, run_stages
 from orepulse.plans.suite_service import METRICS, tenant_files, tenant_fleet, tenant_queries, tenant_vectors
 from orepulse.plans.suite_text import _documents_of_chunks, layout_blocks, telemetry
-from orepulse.session import checkpoint_cut, settled, shared_path
+from orepulse.session import checkpoint_cut, settled
 from orepulse.sources.ledger import read_ledger
 from orepulse.sources.snapshots import latest_version, read_current
 
@@ -148,33 +150,34 @@ def test_blocks_at_any_depth(spark):
         documents.block_texts(loop, "doc").collect()
 
 
-def cuts(spark):
-    folder = os.path.dirname(shared_path(spark))
-    return {n for n in os.listdir(folder) if n.startswith("orepulse-")}
+@pytest.fixture
+def cuts(tmp_path, monkeypatch):
+    """How many tables lie in a checkpoint folder that only one test uses."""
+    os.mkdir(f"{tmp_path}/cuts")
+    monkeypatch.setattr(session, "shared_path", lambda spark: f"{tmp_path}/cuts/orepulse-{uuid.uuid4().hex}")
+    return lambda: len(os.listdir(f"{tmp_path}/cuts"))
 
 
-def test_groups_of_documents_give_the_same_sections_and_leave_nothing(spark, monkeypatch):
+def test_groups_of_documents_give_the_same_sections_and_leave_nothing(spark, monkeypatch, cuts):
     one = deep_blocks(spark)
     blocks = reduce(DataFrame.unionByName, [one.withColumn("doc", F.lit(name).cast("string")) for name in ("d", "e", "f", None)])
     text = lambda df: sorted(str(r) for r in df.collect())
-    before = cuts(spark)
     whole = documents.layout_sections(blocks, "doc")
-    assert len(cuts(spark) - before) == 1  # the sections; what they were made from is deleted
+    assert cuts() == 1  # the sections; what they were made from is deleted
     monkeypatch.setattr(documents, "MOST_LINKS", 40)
     parts = documents.layout_sections(blocks, "doc")
-    assert len(cuts(spark) - before) > 2 and text(parts) == text(whole) and len(text(whole)) >= 9
+    assert cuts() > 2 and text(parts) == text(whole) and len(text(whole)) >= 9
 
 
-def test_a_stage_leaves_only_its_result(spark, tmp_path):
+def test_a_stage_leaves_only_its_result(spark, tmp_path, cuts):
     source = Source("s", lambda: checkpoint_cut(spark.range(5).withColumn("x", F.col("id") * 2)))
     stages = [
         Stage("one", lambda given: checkpoint_cut(given.filter("id > 1")), ("given",)),
         Stage("two", lambda first, given: settled(spark, lambda: checkpoint_cut(first).join(checkpoint_cut(given), ["id", "x"])), ("one", "given")),
     ]
-    before = cuts(spark)
-    done = run_stages(spark, str(tmp_path), {"given": source}, stages)
+    done = run_stages(spark, f"{tmp_path}/job", {"given": source}, stages)
     assert done.success and sorted(r["x"] for r in spark.read.parquet(done.path("two")).collect()) == [4, 6, 8]
-    assert len(cuts(spark) - before) == 1  # what the source read for both stages
+    assert cuts() == 1  # what the source read for both stages
 
 
 def test_layout_sections_hold_everything(spark):
